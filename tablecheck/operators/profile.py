@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
 
-from tablecheck.functions.cells import canonical_text, is_empty, try_numeric
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from tablecheck.functions.cells import canonical_text, is_empty, is_float_type, try_numeric
 from tablecheck.operators.rownum import first_n
 
 
-def unpivot_cells(df: DataFrame, row: str, ids: list[str] | None = None) -> DataFrame:
-    """Wide table to (ids, row, col, value) with every value in canonical text form."""
-    ids = list(ids or [])
-    cols = [f for f in df.schema.fields if f.name not in {row, *ids}]
-    texts = df.select(row, *ids, *[canonical_text(F.col(f.name), f.dataType).alias(f.name) for f in cols])
-    return texts.unpivot([row, *ids], [f.name for f in cols], "col", "value")
+def unpivot_cells(df: DataFrame, ids: list[str]) -> DataFrame:
+    """Wide table to (ids, col, value) with every value in canonical text form."""
+    cols = [f for f in df.schema.fields if f.name not in ids]
+    texts = df.select(*ids, *[canonical_text(F.col(f.name), f.dataType).alias(f.name) for f in cols])
+    return texts.unpivot(ids, [f.name for f in cols], "col", "value")
 
 
 def dtype_of(non_null: Column, numeric: Column) -> Column:
@@ -26,19 +27,17 @@ def dtype_of(non_null: Column, numeric: Column) -> Column:
     )
 
 
-def _numeric_only(stat: Column) -> Column:
-    return F.when(F.col("dtype") == "numeric", stat)
+def _finite_number(text: Column) -> Column:
+    x = try_numeric(text)
+    return F.when(~F.isnan(x), x)
 
 
-def column_profile(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Profile of every column of a long table; ``keys`` names the column (and its table).
+def _value_counts(cells: DataFrame, keys: list[str], number: Column) -> DataFrame:
+    """Equal values counted once: one frequent value costs one row per map task."""
+    return cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")).withColumn("x", number)
 
-    Equal values are counted first, so one frequent value costs one row per
-    map task, and distinct counts need no row expansion.
-    """
-    counted = cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    x = try_numeric(F.col("value"))
-    counted = counted.withColumn("x", F.when(~F.isnan(x), x))
+
+def _summarise(counted: DataFrame, keys: list[str]) -> DataFrame:
     present, number = F.col("value").isNotNull(), F.col("x").isNotNull()
     out = counted.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("non_null"),
@@ -48,14 +47,45 @@ def column_profile(cells: DataFrame, keys: list[str]) -> DataFrame:
         F.min("x").alias("_min"),
         F.max("x").alias("_max"),
         F.sum(F.col("x") * F.col("n")).alias("_sum"),
+        F.min(F.col("value").cast("string")).alias("_first"),
+        F.max(F.col("value").cast("string")).alias("_last"),
     )
     return _finish(out, keys)
 
 
+def column_profile(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Profile of every column of a long text table; ``keys`` names the column (and its table)."""
+    return _summarise(_value_counts(cells, keys, _finite_number(F.col("value"))), keys)
+
+
+def profile_table(df: DataFrame) -> DataFrame:
+    """Profile of every column of a wide table.
+
+    Columns are unpivoted per storage class, so whole and floating numbers are
+    never printed and parsed again, and each class scans only its own columns.
+    """
+    groups: dict[str, list[Column]] = {"bigint": [], "double": [], "string": []}
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, (T.IntegralType, T.BooleanType)):
+            groups["bigint"].append(c.cast("bigint").alias(f.name))
+        elif is_float_type(f.dataType):
+            groups["double"].append(F.when(~F.isnan(c), c.cast("double")).alias(f.name))
+        else:
+            groups["string"].append(canonical_text(c, f.dataType).alias(f.name))
+    parts = []
+    for kind, cols in groups.items():
+        if cols:
+            narrow = df.select(*cols)
+            cells = narrow.unpivot([], narrow.columns, "col", "value")
+            number = _finite_number(F.col("value")) if kind == "string" else F.col("value").cast("double")
+            parts.append(_summarise(_value_counts(cells, ["col"], number), ["col"]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def column_profile_approx(cells: DataFrame, keys: list[str], rsd: float = 0.02) -> DataFrame:
     """Same profile with an approximate distinct count: one aggregate, no shuffle of values."""
-    x = try_numeric(F.col("value"))
-    cells = cells.withColumn("x", F.when(~F.isnan(x), x))
+    cells = cells.withColumn("x", _finite_number(F.col("value")))
     out = cells.groupBy(*keys).agg(
         F.count("value").alias("non_null"),
         F.count_if(F.col("value").isNull()).alias("null_count"),
@@ -64,22 +94,27 @@ def column_profile_approx(cells: DataFrame, keys: list[str], rsd: float = 0.02)
         F.min("x").alias("_min"),
         F.max("x").alias("_max"),
         F.sum("x").alias("_sum"),
+        F.min("value").alias("_first"),
+        F.max("value").alias("_last"),
     )
     return _finish(out, keys)
 
 
 def _finish(out: DataFrame, keys: list[str]) -> DataFrame:
     out = out.withColumn("dtype", dtype_of(F.col("non_null"), F.col("numeric_count")))
+    numeric, textual = F.col("dtype") == "numeric", F.col("dtype") == "string"
     return out.select(
         *keys,
         "dtype",
         "non_null",
         "null_count",
         "unique_count",
-        _numeric_only(F.col("_min")).alias("num_min"),
-        _numeric_only(F.col("_max")).alias("num_max"),
-        _numeric_only(F.col("_sum") / F.col("numeric_count")).alias("num_mean"),
-        _numeric_only(F.col("_sum")).alias("num_sum"),
+        F.when(numeric, F.col("_min")).alias("num_min"),
+        F.when(numeric, F.col("_max")).alias("num_max"),
+        F.when(numeric, F.col("_sum") / F.col("numeric_count")).alias("num_mean"),
+        F.when(numeric, F.col("_sum")).alias("num_sum"),
+        F.when(textual, F.col("_first")).alias("text_min"),
+        F.when(textual, F.col("_last")).alias("text_max"),
     )
 
 

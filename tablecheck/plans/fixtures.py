@@ -132,7 +132,7 @@ _FIXTURES["f3"] = "\nUNION ALL\n".join([
     _grid("p_partkey", "part", "generated", "Parts List", _PART),
     _grid("c_custkey", "customer", "generated", "Segments", _SEG),
     _grid("c_custkey", "customer", "source", "customer", _CUST_SRC),
-    _grid("p_partkey", "part", "source", "parts", _PART_SRC),
+    _grid("p_partkey", "part", "source", "part list", _PART_SRC),
 ])
 _FIXTURES["f3_visibility"] = """
 SELECT DISTINCT case_id, sheet,

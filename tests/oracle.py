@@ -89,7 +89,8 @@ def main(argv):
     oracles = entry.oracle_sql()
     bad = 0
     for name, fn in entry.queries().items():
-        if only and not any(name == o or (o.endswith("*") and name.startswith(o[:-1])) for o in only):
+        mod = getattr(fn, '__module__', '').rsplit('.', 1)[-1]
+        if only and not any(mod == o or name == o or (o.endswith("*") and name.startswith(o[:-1])) for o in only):
             continue
         t = time.time()
         try:
