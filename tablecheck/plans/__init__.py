@@ -1,6 +1,6 @@
 """Registered queries."""
 
 from tablecheck.plans.registry import REGISTRY
-from tablecheck.plans import q_reconcile, q_profile, q_scoring
+from tablecheck.plans import q_reconcile, q_profile, q_replies, q_scoring
 
 __all__ = ["REGISTRY"]

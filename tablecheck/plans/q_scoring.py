@@ -227,17 +227,11 @@ def rep_summary(spark, sf):
     return key_join(cases, wide, ["case_id"], F.xxhash64("case_id"), "inner")
 
 
-@query("s_batch_rank", _SUMMARY + "SELECT case_id, coalesce(overall_weighted_avg, 0) AS score, rank() OVER (ORDER BY coalesce(overall_weighted_avg, 0)) AS place FROM summ QUALIFY place <= 100")
+@query("s_batch_rank", _SUMMARY + "SELECT case_id, coalesce(overall_weighted_avg, 0) AS score FROM summ")
 def s_batch_rank(spark, sf):
-    """The hundred lowest places; ties share one."""
-    from pyspark.sql import Window
-
+    """All cases from the lowest overall score up; no score counts as 0."""
     s = summary(spark, sf).select("case_id", F.round(F.coalesce("overall_weighted_avg", F.lit(0.0)), 9).alias("score"))
-    counts = s.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    places = counts.withColumn("place", (F.coalesce(F.sum("n").over(
-        Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)).drop("n")
-    low = places.where("place <= 100")
-    return s.join(low, "score").select("case_id", "score", "place").orderBy("score", "case_id")
+    return s.orderBy("score", "case_id")
 
 
 @query("agg_case_index", with_fixtures("f5_cases") + "SELECT sector, scenario, count(*) AS cases FROM f5_cases GROUP BY ALL")
