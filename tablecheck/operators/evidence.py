@@ -44,7 +44,7 @@ def verify(reviews: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFram
 
 def evidence_stats(reviews: DataFrame) -> DataFrame:
     """Items by tone and verification tag."""
-    items = reviews.select(F.explode("evidence").alias("text"))
+    items = reviews.select(F.explode_outer("evidence").alias("text")).where("text IS NOT NULL")
     return items.groupBy(
         sentiment_tag(F.col("text")).alias("sentiment"), verification_tag(F.col("text")).alias("verification")
     ).agg(F.count(F.lit(1)).alias("items"))
@@ -52,7 +52,7 @@ def evidence_stats(reviews: DataFrame) -> DataFrame:
 
 def downgrade_rate(reviews: DataFrame) -> DataFrame:
     """Share of claims that verification refuted."""
-    items = reviews.select(F.explode("evidence").alias("text")).select(verification_tag(F.col("text")).alias("tag"))
+    items = reviews.select(F.explode_outer("evidence").alias("text")).select(verification_tag(F.col("text")).alias("tag"))
     refuted = F.count_if(F.col("tag") == "UNCONFIRMED")
     claims = F.count_if(F.col("tag").isin("UNCONFIRMED", "VERIFIED"))
     return items.agg(claims.alias("claims"), refuted.alias("downgraded"), (refuted / F.nullif(claims, F.lit(0))).alias("rate"))

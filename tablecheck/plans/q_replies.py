@@ -41,12 +41,17 @@ _VERIFIED = _P + _V + """
 
 
 def parsed(spark, sf):
-    p = fixture(spark, sf, "f8").withColumn("p", rp.parse_reply(F.col("reply")))
-    return p.select("case_id", "dimension", "dim_idx", "k", "stop_reason", "reply", "p.*")
+    return rp.parse_replies(fixture(spark, sf, "f8"))
+
+
+def items(reviews):
+    """Evidence items with their place.  The outer form spares a second evaluation as a filter."""
+    long = reviews.select(*KEYS, F.posexplode_outer("evidence").alias("pos", "text"))
+    return long.where("pos IS NOT NULL")
 
 
 def verified(spark, sf):
-    reviews = parsed(spark, sf).where("ok").select(*KEYS, "evidence")
+    reviews = parsed(spark, sf).select(*KEYS, "evidence")
     return ev.verify(reviews, fixture(spark, sf, "f8_verdicts"), KEYS)
 
 
@@ -153,20 +158,20 @@ def f_parse_verify(spark, sf):
 @query("w_evidence_renumber", _P + "SELECT case_id, dimension, pos, text, claim_no FROM claims")
 def w_evidence_renumber(spark, sf):
     """Claims to verify numbered 1..k inside their review."""
-    return parsed(spark, sf).where("ok").select(*KEYS, F.inline(ev.claim_numbers(F.col("evidence"))))
+    claims = parsed(spark, sf).select(*KEYS, F.inline_outer(ev.claim_numbers(F.col("evidence"))))
+    return claims.where("pos IS NOT NULL")
 
 
 @query("j_verify", _VERIFIED + "SELECT case_id, dimension, pos, text FROM verified")
 def j_verify(spark, sf):
     """Evidence after verification, item by item."""
-    return verified(spark, sf).select(*KEYS, F.posexplode("evidence").alias("pos", "text"))
+    return items(verified(spark, sf))
 
 
 @query("f_downgrade", _P + "SELECT case_id, dimension, pos, regexp_replace(text, '(?i)VERIFIED', 'UNCONFIRMED', 'g') AS text FROM claims WHERE is_claim")
 def f_downgrade(spark, sf):
     """Wording of a refuted claim."""
-    items = parsed(spark, sf).where("ok").select(*KEYS, F.posexplode("evidence").alias("pos", "text"))
-    return items.where(rp.needs_verification(F.col("text"))).withColumn("text", rp.downgrade(F.col("text")))
+    return items(parsed(spark, sf)).where(rp.needs_verification(F.col("text"))).withColumn("text", rp.downgrade(F.col("text")))
 
 
 _TAGS = """CASE WHEN starts_with(trim(text), '+') THEN 'good' WHEN starts_with(trim(text), '-') THEN 'bad' ELSE 'neutral' END AS sentiment,
@@ -189,14 +194,12 @@ def agg_downgrade_rate(spark, sf):
 
 @query("f_sentiment_tag", _P + f"SELECT case_id, dimension, pos, sentiment FROM (SELECT *, {_TAGS} FROM items) t")
 def f_sentiment_tag(spark, sf):
-    items = parsed(spark, sf).where("ok").select(*KEYS, F.posexplode("evidence").alias("pos", "text"))
-    return items.select(*KEYS, "pos", rp.sentiment_tag(F.col("text")).alias("sentiment"))
+    return items(parsed(spark, sf)).select(*KEYS, "pos", rp.sentiment_tag(F.col("text")).alias("sentiment"))
 
 
 @query("f_verification_tag", _P + f"SELECT case_id, dimension, pos, verification FROM (SELECT *, {_TAGS} FROM items) t")
 def f_verification_tag(spark, sf):
-    items = parsed(spark, sf).where("ok").select(*KEYS, F.posexplode("evidence").alias("pos", "text"))
-    return items.select(*KEYS, "pos", rp.verification_tag(F.col("text")).alias("verification"))
+    return items(parsed(spark, sf)).select(*KEYS, "pos", rp.verification_tag(F.col("text")).alias("verification"))
 
 
 _WORDS = lambda ws: r"(?i)\b(" + "|".join(ws) + r")\b"
