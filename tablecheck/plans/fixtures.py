@@ -204,6 +204,25 @@ FROM (
   FROM (SELECT o_orderkey AS k, {{each:1,4}} AS col_idx FROM orders) a
 ) b"""
 
+# Layout items, defined names and charts.
+_FIXTURES["f7_layout"] = f"""
+SELECT case_id, sheet, kind, ord, item FROM (
+  SELECT CONCAT('case_', LPAD(CAST({idiv('k', 400)} AS VARCHAR(20)), 6, '0')) AS case_id, CASE k % 2 WHEN 0 THEN 'Main' ELSE 'Aux' END AS sheet,
+         CASE WHEN k % 400 < 2 THEN 'freeze' WHEN k % 5 = 0 THEN 'merged' WHEN k % 7 = 0 THEN 'rule' END AS kind, k AS ord,
+         CASE WHEN k % 400 < 2 THEN 'A2' WHEN k % 5 = 0 THEN CONCAT('A', CAST(k AS VARCHAR(20)), ':B', CAST(k AS VARCHAR(20))) ELSE CONCAT('B', CAST(k AS VARCHAR(20))) END AS item
+  FROM (SELECT o_orderkey AS k FROM orders) a) b
+WHERE kind IS NOT NULL"""
+_FIXTURES["names"] = """
+SELECT CONCAT('rng_', CAST(p_partkey AS VARCHAR(20))) AS name, CAST(CASE p_partkey % 4 WHEN 3 THEN 2 ELSE 1 END AS INT) AS destinations,
+       CASE p_partkey % 4 WHEN 0 THEN 'Data!$A$1' WHEN 1 THEN '$A$1' WHEN 2 THEN '#REF!$A$1' ELSE 'Data!$A$1,Other!$B$2' END AS attr_text
+FROM part"""
+_FIXTURES["charts"] = f"""
+SELECT CONCAT('case_', LPAD(CAST({idiv('p_partkey', 1000)} AS VARCHAR(20)), 6, '0')) AS case_id, 'Customers' AS sheet, p_partkey AS chart_idx,
+       CASE p_partkey % 7 WHEN 0 THEN 'bar' WHEN 1 THEN 'line' WHEN 2 THEN 'pie' WHEN 3 THEN 'area' WHEN 4 THEN 'scatter' ELSE 'unknown' END AS chart_type,
+       CASE WHEN p_partkey % 3 > 0 THEN p_name END AS title, p_partkey % 2 = 0 AS has_legend,
+       CASE WHEN p_partkey % 70 = 0 THEN 'x' END AS x_title, CASE WHEN p_partkey % 71 = 1 THEN 'y' END AS y_title
+FROM part WHERE p_partkey % 50 = 0 OR p_size = 11"""
+
 # F8: reviewer replies, one per case and dimension.
 _TICKS = "```"
 _FIXTURES["f8"] = f"""
@@ -269,7 +288,7 @@ FROM documents"""
 
 
 def _expand(text: str, engine: str) -> str:
-    for name in re.findall(r"\{(f\d\w*)\}", text):
+    for name in re.findall(r"\{(f\d\w*|names|charts)\}", text):
         text = text.replace("{" + name + "}", _expand(_FIXTURES[name], engine))
     each = r"\{each:(\d+),(\d+)\}"
     if engine == "spark":
