@@ -24,7 +24,7 @@ def _percent_decimals(fmt: Column) -> Column:
 
 def fixed(x: Column, places: Column, thousands: Column) -> Column:
     """Fixed-point text, halves to even; whole numbers never show a negative zero."""
-    text = F.format_number(x, places)
+    text = F.call_function("format_number", x, places.cast("int"))
     text = F.when((places == 0) & (text == "-0"), "0").otherwise(text)
     return F.when(thousands, text).otherwise(F.replace(text, F.lit(","), F.lit("")))
 

@@ -287,6 +287,18 @@ SELECT doc_id, source, lang,
 FROM documents"""
 
 
+# Documents as the sheets of one case per source, with the texts a review of it would carry.
+_FIXTURES["f9_cases"] = """
+SELECT source AS case_id, CASE WHEN no % 5 = 0 THEN '' ELSE CONCAT('scan of ', source, ' ', REPEAT('x', CAST(no * 40 AS INT))) END AS scan_text,
+       CASE no % 4 WHEN 0 THEN '' WHEN 1 THEN base WHEN 2 THEN REPEAT(base, 400) ELSE REPEAT(base, 2000) END AS grounding,
+       n * 7 % 150 AS expected_fills, CONCAT('Check ', source) AS prompt, 'general' AS scenario
+FROM (SELECT source, CAST(SUBSTR(source, 4) AS INT) AS no, COUNT(*) AS n, SUBSTR(MAX_BY(text, doc_id), 1, 600) AS base FROM documents GROUP BY source) s"""
+_FIXTURES["f9_sheets"] = f"""
+SELECT source AS case_id, CONCAT('doc ', CAST(doc_id AS VARCHAR(20))) AS sheet, text AS csv_text, doc_id,
+       LENGTH(text) - LENGTH(REPLACE(text, CHR(10), '')) + 1 AS row_count, doc_id % 7 + 1 AS col_count, doc_id % 11 = 0 AS hidden
+FROM ({{f9}}) f"""
+
+
 def _expand(text: str, engine: str) -> str:
     for name in re.findall(r"\{(f\d\w*|names|charts)\}", text):
         text = text.replace("{" + name + "}", _expand(_FIXTURES[name], engine))
