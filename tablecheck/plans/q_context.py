@@ -10,6 +10,7 @@ from tablecheck.operators.rownum import first_n
 from tablecheck.plans.fixtures import fixture, with_fixtures
 from tablecheck.plans.q_profile import SHEETS_SQL, sheet_texts
 from tablecheck.plans.registry import query, table
+from tablecheck.session import cut_lineage
 
 _LINES = "string_split({0}, chr(10))"
 _TOK = "CAST(floor(length({0}) / 4) AS BIGINT)"
@@ -160,8 +161,11 @@ def f_slugify(spark, sf):
 
 
 def facts(spark, sf):
-    """All fact tables of the corpus; each dimension reads only its own."""
-    sheets = sheet_texts(spark, sf).where("NOT hidden")
+    """All fact tables of the corpus; each dimension reads only its own.
+
+    Sheet texts serve every dimension, so they are written once.
+    """
+    sheets = cut_lineage(sheet_texts(spark, sf).where("NOT hidden"), "sheets")
     names = sheets.select("case_id").distinct()
     cases = names.select("case_id", F.concat(F.lit("scan of "), "case_id").alias("scan_text"), F.repeat(F.lit("a,b,c\n"), 500).alias("grounding"),
                          F.lit(3).alias("expected_fills"), F.lit("general").alias("scenario"), F.concat(F.lit("Check "), "case_id").alias("prompt"))
