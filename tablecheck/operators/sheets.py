@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablecheck.functions.cells import is_empty
-from tablecheck.operators.rownum import positions
+from tablecheck.operators.rownum import first_n
 from tablecheck.operators.skew import key_join
 
 MAX_ROWS_FULL = 500
@@ -20,36 +20,57 @@ def trim_columns(cells: DataFrame, table: list[str], row_id: Column) -> DataFram
     return out.where(F.col("col_idx") <= F.coalesce("last_col", F.lit(1))).drop("last_col")
 
 
-def filled_rows(cells: DataFrame, table: list[str]) -> DataFrame:
-    """One row per non-empty table row: its values in column order."""
-    rows = cells.groupBy(*table, "row_idx").agg(
-        F.array_sort(F.collect_list(F.struct("col_idx", "value"))).alias("sig"),
-        F.bool_and(is_empty(F.col("value"))).alias("empty_row"),
-    )
-    return rows.where(~F.col("empty_row")).select(*table, "row_idx", F.transform("sig", lambda c: c["value"]).alias("row_values"))
-
-
 def csv_field(c: Column) -> Column:
     """Quote a field only when it needs quoting."""
     quoted = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(c.rlike('[,"\n\r]'), quoted).otherwise(F.coalesce(c, F.lit("")))
 
 
+def row_bounds(cells: DataFrame, table: list[str], head: int, tail: int) -> DataFrame:
+    """Non-empty rows of every table and the row indexes where its head ends and its tail begins.
+
+    Works on (table, row_idx) alone, and each boundary keeps only ``head`` or
+    ``tail`` rows per task before the shuffle.
+    """
+    rows = cells.groupBy(*table, "row_idx").agg(F.bool_or(~is_empty(F.col("value"))).alias("filled"))
+    rows = rows.where("filled").select(*table, "row_idx")
+    n = rows.groupBy(*table).agg(F.count(F.lit(1)).alias("n_rows"))
+    first = first_n(rows, table, ["row_idx"], head).groupBy(*table).agg(F.max("row_idx").alias("head_max"))
+    last = first_n(rows, table, [F.desc("row_idx")], tail).groupBy(*table).agg(F.min("row_idx").alias("tail_min"))
+    return n.join(first, table).join(last, table)
+
+
 def truncate_rows(
-    rows: DataFrame, table: list[str], max_full: int = MAX_ROWS_FULL, head: int = HEAD_ROWS, tail: int = TAIL_ROWS
+    cells: DataFrame, table: list[str], max_full: int = MAX_ROWS_FULL, head: int = HEAD_ROWS, tail: int = TAIL_ROWS
 ) -> DataFrame:
-    """Long tables keep their first and last rows and one marker row.
+    """Non-empty rows; long tables keep their first and last rows and one marker row.
 
-    Adds ``pos`` (0-based place among the rows), ``n_rows``, ``kind``
-    (row / marker) and ``omitted``.
+    Cells between the boundaries are dropped before rows are put together, so
+    the values of a long table are never shuffled.  Returns ``pos`` (0-based
+    place among the rows), ``n_rows``, ``kind`` (row / marker), ``omitted``,
+    ``row_idx`` and ``row_values``.
     """
-    numbered = positions(rows, "row_idx", table)
-    totals = rows.groupBy(*table).agg(F.count(F.lit(1)).alias("n_rows"))
-    with_n = key_join(numbered, totals, table, F.xxhash64(*table, "row_idx"))
-    long = F.col("n_rows") > max_full
-    kept = with_n.where(~long | (F.col("pos") < head) | (F.col("pos") >= F.col("n_rows") - tail))
-    kept = kept.withColumn("kind", F.lit("row")).withColumn("omitted", F.lit(0).cast("bigint"))
-    marker = totals.where(long).select(
+    bounds = row_bounds(cells, table, head, tail)
+    near = key_join(cells, bounds, table, F.xxhash64(*table, "row_idx", "col_idx"), "inner")
+    short = F.col("n_rows") <= max_full
+    near = near.where(short | (F.col("row_idx") <= F.col("head_max")) | (F.col("row_idx") >= F.col("tail_min")))
+    rows = near.groupBy(*table, "row_idx").agg(
+        F.array_sort(F.collect_list(F.struct("col_idx", "value"))).alias("sig"),
+        F.bool_or(~is_empty(F.col("value"))).alias("filled"),
+        F.max("n_rows").alias("n_rows"),
+    )
+    rows = rows.where("filled").withColumn("_k", F.row_number().over(Window.partitionBy(*table).orderBy("row_idx")) - 1)
+    beyond = (F.col("n_rows") > max_full) & (F.col("_k") >= head)
+    kept = rows.select(
+        *table,
+        F.when(beyond, F.col("n_rows") - tail - head + F.col("_k")).otherwise(F.col("_k")).alias("pos"),
+        "n_rows",
+        F.lit("row").alias("kind"),
+        F.lit(0).cast("bigint").alias("omitted"),
+        "row_idx",
+        F.transform("sig", lambda c: c["value"]).alias("row_values"),
+    )
+    marker = bounds.where(~short).select(
         *table,
         F.lit(head).cast("bigint").alias("pos"),
         "n_rows",
@@ -64,7 +85,7 @@ def sheet_texts(cells: DataFrame, table: list[str]) -> DataFrame:
     headers = cells.groupBy(*table).agg(
         F.array_sort(F.collect_set(F.struct("col_idx", "col_name"))).alias("head_cells"),
     )
-    rows = truncate_rows(filled_rows(cells, table), table)
+    rows = truncate_rows(cells, table)
     rows = rows.join(headers, table)
     names = F.transform("head_cells", lambda c: c["col_name"])
     mark = F.format_string("[... %d rows truncated ...]", "omitted")

@@ -160,27 +160,42 @@ def f_slugify(spark, sf):
     return table(spark, sf, "pages").select("page_id", naming.slugify(F.col("url")).alias("slug"))
 
 
+class Facts(dict):
+    """Fact tables by name, each written once when first asked for."""
+
+    def __init__(self, makers):
+        super().__init__()
+        self.makers = makers
+
+    def __missing__(self, name):
+        self[name] = cut_lineage(self.makers[name](), name)
+        return self[name]
+
+
 def facts(spark, sf):
-    """All fact tables of the corpus; each dimension reads only its own.
-
-    Sheet texts serve every dimension, so they are written once.
-    """
-    sheets = cut_lineage(sheet_texts(spark, sf).where("NOT hidden"), "sheets")
-    names = sheets.select("case_id").distinct()
-    cases = names.select("case_id", F.concat(F.lit("scan of "), "case_id").alias("scan_text"), F.repeat(F.lit("a,b,c\n"), 500).alias("grounding"),
-                         F.lit(3).alias("expected_fills"), F.lit("general").alias("scenario"), F.concat(F.lit("Check "), "case_id").alias("prompt"))
-    found = wb.formulas(fixture(spark, sf, "f6"))
-    styles, layout = fixture(spark, sf, "f7"), fixture(spark, sf, "f7_layout")
-    fmt = wb.fonts_used(styles).join(wb.color_palette(styles), "case_id", "left").join(wb.layout_lists(layout), "case_id")
-    return {
-        "sheets": sheets,
+    """Fact tables of the corpus; a dimension causes only its own to be computed."""
+    found = lambda: wb.formulas(fixture(spark, sf, "f6"))
+
+    def cases():
+        names = out["sheets"].select("case_id").distinct()
+        return names.select(
+            "case_id", F.concat(F.lit("scan of "), "case_id").alias("scan_text"), F.repeat(F.lit("a,b,c\n"), 500).alias("grounding"),
+            F.lit(3).alias("expected_fills"), F.lit("general").alias("scenario"), F.concat(F.lit("Check "), "case_id").alias("prompt"))
+
+    def formatting():
+        styles, layout = fixture(spark, sf, "f7"), fixture(spark, sf, "f7_layout")
+        return wb.fonts_used(styles).join(wb.color_palette(styles), "case_id", "left").join(wb.layout_lists(layout), "case_id")
+
+    out = Facts({
+        "sheets": lambda: sheet_texts(spark, sf).where("NOT hidden"),
         "cases": cases,
-        "totals": cx.budget_totals(sheets, cases),
-        "formula_stats": wb.formula_stats(found),
-        "cross_refs": wb.cross_sheet_refs(found, fixture(spark, sf, "f6").select("case_id", "sheet")),
-        "formatting": fmt,
-        "charts": fixture(spark, sf, "charts"),
-    }
+        "totals": lambda: cx.budget_totals(out["sheets"], out["cases"]),
+        "formula_stats": lambda: wb.formula_stats(found()),
+        "cross_refs": lambda: wb.cross_sheet_refs(found(), fixture(spark, sf, "f6").select("case_id", "sheet")),
+        "formatting": formatting,
+        "charts": lambda: fixture(spark, sf, "charts"),
+    })
+    return out
 
 
 @query("p_context_columns")

@@ -320,14 +320,14 @@ _TRUNC = with_fixtures("f3") + _ROWSIG + """
 @query("w_truncate_head_tail", _TRUNC + "SELECT * FROM t")
 def w_truncate_head_tail(spark, sf):
     """First 100 rows, a marker and the last 50 rows of tables above 500 rows."""
-    rows = sh.truncate_rows(sh.filled_rows(fixture(spark, sf, "f3"), SHEET), SHEET)
+    rows = sh.truncate_rows(fixture(spark, sf, "f3"), SHEET)
     return rows.select(*SHEET, "pos", "n_rows", "kind", "omitted", "row_idx")
 
 
 @query("set_union_all", _TRUNC + "SELECT case_id, side, sheet, kind, count(*) AS n FROM t GROUP BY ALL")
 def set_union_all(spark, sf):
     """Kept rows and markers in one table."""
-    rows = sh.truncate_rows(sh.filled_rows(fixture(spark, sf, "f3"), SHEET), SHEET)
+    rows = sh.truncate_rows(fixture(spark, sf, "f3"), SHEET)
     return rows.groupBy(*SHEET, "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
