@@ -243,7 +243,7 @@ def f_score_band(spark, sf):
 
 
 @query("f_score_pct", """
-SELECT o_orderkey, coalesce(greatest(0, least(100, s / 4.0 * 100)), 0) AS pct
+SELECT o_orderkey, CASE WHEN s IS NULL THEN 0 ELSE greatest(0, least(100, s / 4.0 * 100)) END AS pct
 FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 9 THEN (o_orderkey % 10) - 2.0 END AS s FROM orders) t""")
 def f_score_pct(spark, sf):
     s = F.when(F.col("o_orderkey") % 10 != 9, (F.col("o_orderkey") % 10) - F.lit(2.0))
