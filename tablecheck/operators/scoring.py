@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tablecheck.functions.replies import NO_SCREEN_CAP
-from tablecheck.operators.skew import key_join
+from tablecheck.functions.replies import MAX_SCORE, NO_SCREEN_CAP
 
 # Dimensions by block.
 CONTENT_DIMS = ["data_accuracy", "completeness", "formula_logic", "relevance"]
@@ -68,6 +67,18 @@ def blended_weights(blends: DataFrame, weights: DataFrame | None = None) -> Data
     return known
 
 
+def blend_weight(dimension: Column, detected: Column, blend: Column) -> Column:
+    """Blended default weight of one dimension, without a join."""
+    table = F.create_map(*[
+        F.lit(x) for s, ws in WEIGHTS.items() for d, w in zip(DIMENSIONS, ws) for x in (f"{s}/{d}", w)
+    ])
+    weight = lambda scenario: F.element_at(table, F.concat(scenario, F.lit("/"), dimension))
+    mixed = F.aggregate(
+        F.map_entries(blend), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(weight(e["key"]), F.lit(0.0))
+    )
+    return F.when(F.coalesce(F.size(blend), F.lit(0)) > 0, mixed).otherwise(F.coalesce(weight(detected), F.lit(1.0)))
+
+
 def status_of(
     dimension: Column, skip: Column, applicable: Column, n_screens: Column, evaluated: Column
 ) -> Column:
@@ -99,65 +110,67 @@ def cost_of(price: Column, tokens_in: Column, tokens_out: Column) -> Column:
     return tokens_in * price["in_cost"] + tokens_out * price["out_cost"]
 
 
+SCORES = range(MAX_SCORE + 1)
 RUN_COLS = ["status", "feedback", "input_tokens", "output_tokens", "latency_ms"]
 
 
 def merge_runs(runs: DataFrame, keys: list[str] = ["case_id", "dimension"], keep: list[str] = RUN_COLS) -> DataFrame:
     """Median over repeated runs with the representative run's other columns.
 
-    Runs are first folded per score (at most six rows per review, combined on
-    the map side), so neither the median nor the list of scores in the note ever
-    gathers the runs themselves.
+    Scores are 0-4, so five counts and the earliest run of each score are all an
+    aggregate needs: the state of a review is bounded, combines before the
+    shuffle, and gives the median, the nearest run and the list in the note.
     """
     present = [c for c in keep if c in runs.columns]
-    per_score = runs.groupBy(*keys, "score").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.struct("run", *present)).alias("pick"),
-    )
-    hist = per_score.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("score", "n", "pick"))).alias("h"))
-    scored = F.filter("h", lambda x: x["score"].isNotNull())
-    hist = hist.withColumn("scored", scored).withColumn(
-        "n_scored", F.aggregate("scored", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    )
-    # Score at 1-based rank r of the sorted list, from the counts alone.
-    at_rank = lambda r: F.aggregate(
-        "scored",
-        F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("score")),
-        lambda acc, x: F.struct(
-            (acc["seen"] + x["n"]).alias("seen"),
-            F.when(acc["score"].isNull() & (acc["seen"] + x["n"] >= r), x["score"]).otherwise(acc["score"]).alias("score"),
-        ),
-        lambda acc: acc["score"],
+    one = F.struct("run", *present)
+    counted = runs.groupBy(*keys).agg(
+        *[F.count_if(F.col("score") == s).alias(f"_n{s}") for s in SCORES],
+        *[F.min(F.when(F.col("score") == s, one)).alias(f"_p{s}") for s in SCORES],
+        F.min(F.when(F.col("score").isNull(), one)).alias("_none"),
     )
-    low, high = F.floor((F.col("n_scored") + 1) / 2), F.floor(F.col("n_scored") / 2) + 1
-    hist = hist.withColumn("median", F.when(F.col("n_scored") > 0, F.floor((at_rank(low) + at_rank(high)) / 2)).cast("int"))
-    best = F.array_min(
-        F.transform(
-            "scored",
-            lambda x: F.struct(F.abs(x["score"] - F.col("median")).alias("gap"), x["pick"]["run"].alias("run"), x["score"].alias("score"), x["pick"].alias("pick")),
+    upto, seen = [], F.lit(0)
+    for s in SCORES:
+        seen = seen + F.col(f"_n{s}")
+        upto.append(seen.alias(f"_u{s}"))
+    counted = counted.select("*", *upto)
+    total = F.col(f"_u{MAX_SCORE}")
+
+    def at_rank(r: Column) -> Column:
+        out = F.when(F.col("_u0") >= r, 0)
+        for s in list(SCORES)[1:]:
+            out = out.when(F.col(f"_u{s}") >= r, s)
+        return out
+
+    low, high = F.floor((total + 1) / 2), F.floor(total / 2) + 1
+    counted = counted.withColumns({"_low": at_rank(low), "_high": at_rank(high)})
+    median = F.when(total > 0, F.floor((F.col("_low") + F.col("_high")) / 2)).cast("int")
+    counted = counted.withColumn("median", median)
+    candidates = F.array(*[
+        F.when(
+            F.col(f"_n{s}") > 0,
+            F.struct(
+                F.abs(F.lit(s) - F.col("median")).alias("gap"), F.col(f"_p{s}.run").alias("run"), F.lit(s).alias("score"),
+                F.col(f"_p{s}").alias("pick"),
+            ),
         )
-    )
-    first = F.array_min(F.transform("h", lambda x: F.struct(x["pick"].alias("pick"))))
-    hist = hist.withColumn("best", best)
-    pick = F.when(F.col("n_scored") > 0, F.col("best.pick")).otherwise(first["pick"])
-    hist = hist.withColumn("pick", pick)
-    listed = F.array_join(
-        F.flatten(F.transform("scored", lambda x: F.array_repeat(x["score"].cast("string"), x["n"].cast("int")))), ", "
-    )
+        for s in SCORES
+    ])
+    counted = counted.withColumn("best", F.array_min(candidates))
+    counted = counted.withColumn("pick", F.coalesce("best.pick", "_none"))
+    listed = F.array_join(F.flatten(F.array(*[F.array_repeat(F.lit(str(s)), F.col(f"_n{s}").cast("int")) for s in SCORES])), ", ")
     note = F.when(
         F.col("best.score") != F.col("median"),
-        F.format_string(" [Median of %d runs: scores were [%s], median=%d]", "n_scored", listed, "median"),
+        F.format_string(" [Median of %d runs: scores were [%s], median=%d]", total, listed, "median"),
     )
-    out = hist.select(
+    values = {c: F.col("pick")[c] for c in present}
+    if "feedback" in present:
+        values["feedback"] = F.concat(F.coalesce(values["feedback"], F.lit("")), F.coalesce(note, F.lit("")))
+    return counted.select(
         *keys,
         F.col("median").alias("score"),
         F.col("pick.run").alias("representative_run"),
-        *[F.col("pick")[c].alias(c) for c in present],
-        F.coalesce(note, F.lit("")).alias("_note"),
+        *[v.alias(c) for c, v in values.items()],
     )
-    if "feedback" in present:
-        out = out.withColumn("feedback", F.concat(F.coalesce("feedback", F.lit("")), "_note"))
-    return out.drop("_note")
 
 
 def run_stability(runs: DataFrame, keys: list[str] = ["case_id", "dimension"]) -> DataFrame:
@@ -232,7 +245,6 @@ def expected_check(score: Column, lo: Column, hi: Column, must_be_na: Column) ->
 
 def check_expected(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """Actual scores beside expected ranges (case_id, dimension, lo, hi, is_na)."""
-    a = actual.select("case_id", "dimension", "score")
-    out = key_join(expected, a, ["case_id", "dimension"], F.xxhash64("case_id", "dimension"))
+    out = expected.join(actual.select("case_id", "dimension", "score"), ["case_id", "dimension"], "left")
     verdict = expected_check(F.col("score"), F.col("lo"), F.col("hi"), F.col("is_na"))
     return out.withColumn("verdict", verdict)

@@ -62,7 +62,11 @@ def composite_key(*cols: Column) -> Column:
 
 
 def key_join(left: DataFrame, right: DataFrame, keys: list[str], row_id: Column, how: str = "left") -> DataFrame:
-    """Attach a per-key table to its detail rows, balanced under heavy keys."""
+    """Attach a per-key table to detail rows of which one key may have very many.
+
+    Where a key has few detail rows by construction, a plain join is cheaper:
+    this one reads the keys of ``left`` an extra time.
+    """
     r = right.withColumn("_jk", composite_key(*[F.col(k) for k in keys])).drop(*keys)
     l = left.withColumn("_jk", composite_key(*[F.col(k) for k in keys]))
     out = spread_join(l, r, "_jk", row_id, how)

@@ -71,10 +71,9 @@ def blends(spark, sf):
 
 
 def weighted_dims(spark, sf):
-    capped = so.consistency_caps(merged(spark, sf))
-    w = so.blended_weights(blends(spark, sf))
-    out = key_join(capped, w, ["case_id", "dimension"], F.xxhash64("case_id", "dimension"))
-    return out.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    """Capped reviews with their weight; everything from the caps on is partitioned by case."""
+    dims = so.consistency_caps(merged(spark, sf)).join(blends(spark, sf), "case_id", "left")
+    return dims.withColumn("weight", so.blend_weight(F.col("dimension"), F.col("detected"), F.col("blend")))
 
 
 def summary(spark, sf):
@@ -84,7 +83,7 @@ def summary(spark, sf):
 def priced(spark, sf):
     """Merged reviews with their cost."""
     model = fixture(spark, sf, "f5_cases").select("case_id", "model")
-    dims = key_join(merged(spark, sf), model, ["case_id"], F.xxhash64("case_id", "dimension"))
+    dims = merged(spark, sf).join(model, "case_id", "left")
     return dims.withColumn("cost", so.cost_of(so.model_price(F.col("model")), F.col("input_tokens"), F.col("output_tokens")))
 
 
@@ -120,7 +119,7 @@ def j_weights(spark, sf):
     cases = fixture(spark, sf, "f5_cases").select(
         "case_id", F.when(F.col("k") % 31 == 0, "mystery").otherwise(F.col("scenario")).alias("scenario"))
     runs = fixture(spark, sf, "f5").where("run = 1").select("case_id", "dimension")
-    both = key_join(runs, cases, ["case_id"], F.xxhash64("case_id", "dimension"))
+    both = runs.join(cases, "case_id", "left")
     return so.join_weights(both).select("case_id", "dimension", "weight")
 
 
@@ -204,7 +203,7 @@ def agg_batch_totals(spark, sf):
 def full_summary(spark, sf):
     s = summary(spark, sf)
     c = fixture(spark, sf, "f5_cases").select("case_id", "scenario", "sector")
-    return key_join(c, s, ["case_id"], F.xxhash64("case_id"))
+    return c.join(s, "case_id", "left")
 
 
 @query("rep_summary", _SUMMARY + """
@@ -224,7 +223,7 @@ def rep_summary(spark, sf):
         avg(counted & F.col("dimension").isin(*so.STRUCTURE_DIMS)).alias(AVGS[1]),
         avg(counted).alias(AVGS[2]))
     cases = fixture(spark, sf, "f5_cases").select("case_id", "scenario")
-    return key_join(cases, wide, ["case_id"], F.xxhash64("case_id"), "inner")
+    return cases.join(wide, "case_id")
 
 
 @query("s_batch_rank", _SUMMARY + "SELECT case_id, coalesce(overall_weighted_avg, 0) AS score FROM summ")
@@ -251,7 +250,7 @@ _GATE = """
 def _gate(spark, sf):
     cases = fixture(spark, sf, "f5_cases").select("case_id", "k", "n_screens")
     runs = fixture(spark, sf, "f5").where("run = 1").select("case_id", "dimension", "dim_idx")
-    df = key_join(runs, cases, ["case_id"], F.xxhash64("case_id", "dimension"))
+    df = runs.join(cases, "case_id", "left")
     r = F.col("k") + F.col("dim_idx")
     skip = F.when(r % 8 == 0, F.array("dimension")).otherwise(F.array().cast("array<string>"))
     app = F.when(r % 5 == 0, F.create_map("dimension", F.lit(False))).when(r % 5 == 1, F.create_map("dimension", F.lit(True))).otherwise(
@@ -346,7 +345,7 @@ def agg_regression_overall(spark, sf):
     """Overall score against its expected minimum; no score counts as 0."""
     cases = fixture(spark, sf, "f5_cases").select("case_id", (F.col("k") % 5 * 0.8).alias("overall_min"))
     s = summary(spark, sf).select("case_id", F.round("overall_weighted_avg", 9).alias("overall"))
-    df = key_join(cases, s, ["case_id"], F.xxhash64("case_id"), "inner")
+    df = cases.join(s, "case_id")
     return df.select("case_id", "overall_min", (F.coalesce("overall", F.lit(0.0)) >= F.col("overall_min")).alias("passed"))
 
 
