@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tablecheck.functions import replies as rp, scenario as sc
 from tablecheck.operators import evidence as ev
-from tablecheck.operators.skew import key_join
 from tablecheck.plans.fixtures import SCENARIOS, fixture, with_fixtures
 from tablecheck.plans.registry import query, table
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablecheck.functions import replies as rp, scenario as sc
 from tablecheck.operators import scoring as so
 from tablecheck.operators.skew import key_join
 from tablecheck.plans.fixtures import DIMENSIONS, SCENARIOS, fixture, with_fixtures
@@ -340,7 +339,7 @@ def agg_regression(spark, sf):
 
 
 @query("agg_regression_overall", _SUMMARY + """
-SELECT case_id, (k % 5) * 0.8 AS overall_min, coalesce(overall_weighted_avg, 0) >= (k % 5) * 0.8 AS passed FROM summ JOIN f5_cases USING (case_id)""")
+SELECT case_id, (k % 5) * CAST(0.8 AS DOUBLE) AS overall_min, coalesce(overall_weighted_avg, 0) >= (k % 5) * CAST(0.8 AS DOUBLE) AS passed FROM summ JOIN f5_cases USING (case_id)""")
 def agg_regression_overall(spark, sf):
     """Overall score against its expected minimum; no score counts as 0."""
     cases = fixture(spark, sf, "f5_cases").select("case_id", (F.col("k") % 5 * 0.8).alias("overall_min"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablecheck.functions import naming
 from tablecheck.operators import reconcile as rc, report as rpt
-from tablecheck.plans import q_reconcile as qr, q_scoring as qs
+from tablecheck.plans import q_reconcile as qr
 from tablecheck.plans.fixtures import fixture, with_fixtures
 from tablecheck.plans.q_replies import _P as PARSED
 from tablecheck.plans.registry import query, table
