@@ -62,13 +62,20 @@ def _types(df: DataFrame) -> dict:
 
 
 def pair_rows_by_key(
-    src: DataFrame, gen: DataFrame, key: Pair, row: str = "row_idx", how: str = "inner", **skew
+    src: DataFrame,
+    gen: DataFrame,
+    key: Pair,
+    row: str = "row_idx",
+    how: str = "inner",
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Source rows with the first generated row of the same key in ``other``."""
-    left = src.withColumn("_key", key_text(F.col(key.source), _types(src)[key.source]))
+    keyed = lambda df: df.withColumn("_key", key_text(F.col(key.source), _types(src)[key.source]))
+    left = keyed(src)
     right = gen.withColumn("_key", key_text(F.col(key.generated), _types(gen)[key.generated]))
     right = first_per_key(right, ["_key"], [row])
-    return spread_join(left, right, "_key", F.col(row), how, **skew).drop("_key")
+    hot_from = None if keys_from is None else keyed(keys_from)
+    return spread_join(left, right, "_key", F.col(row), how, keys_from=hot_from).drop("_key")
 
 
 def pair_rows_by_position(src: DataFrame, gen: DataFrame, row: str = "row_idx", dense: bool = False) -> DataFrame:
@@ -276,7 +283,7 @@ def reconcile(
     if key is None:
         joined = pair_rows_by_position(s, g, row)
     else:
-        joined = pair_rows_by_key(positions(s, row), g, key, row)
+        joined = pair_rows_by_key(positions(s, row), g, key, row, keys_from=s)
     compared = compare_rows(joined, s, g, pairs, report_row(F.col("pos")), rel_tol, col_tol)
     method = "positional" if key is None else "key_based"
     return Reconciliation(

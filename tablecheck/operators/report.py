@@ -77,15 +77,14 @@ def comparison_sentence() -> Column:
 
 
 def debug_meta(sheets: DataFrame, formulas: DataFrame, charts: DataFrame) -> DataFrame:
-    """One metadata row per case."""
+    """Metadata of every case as rows: sheet sizes, formula, error and chart counts."""
     size = F.concat(
-        "sheet", F.lit(":"), F.col("row_count").cast("string"), F.lit("x"), F.col("col_count").cast("string"),
-        F.when(F.col("truncated"), "*").otherwise(""),
-    )
-    s = sheets.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list(size)), ",").alias("sheets"))
-    f = formulas.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("total_formulas"), F.count_if("has_error").alias("formula_errors")
+        F.col("row_count").cast("string"), F.lit("x"), F.col("col_count").cast("string"),
+        F.when(F.col("truncated"), " truncated").otherwise(""),
     )
+    s = sheets.select("case_id", F.concat(F.lit("sheet "), "sheet").alias("item"), size.alias("value"))
+    f = formulas.groupBy("case_id").agg(F.count(F.lit(1)).alias("formulas"), F.count_if("has_error").alias("formula errors"))
     c = charts.groupBy("case_id").agg(F.count(F.lit(1)).alias("charts"))
-    out = s.join(f, "case_id", "left").join(c, "case_id", "left")
-    return out.na.fill(0, ["total_formulas", "formula_errors", "charts"])
+    text = lambda df: df.select("case_id", *[F.col(x).cast("string").alias(x) for x in df.columns if x != "case_id"])
+    long = lambda df: text(df).unpivot("case_id", [x for x in df.columns if x != "case_id"], "item", "value")
+    return s.unionByName(long(f)).unionByName(long(c))

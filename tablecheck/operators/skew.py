@@ -27,6 +27,7 @@ def spread_join(
     how: str = "inner",
     sample: int = HOT_SAMPLE,
     seen: int = HOT_SEEN,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` with ``right``, which has at most one row per ``key`` (a non-null string column).
 
@@ -34,10 +35,11 @@ def spread_join(
     Left rows answered that way get a private key, so the shuffle join that
     serves all other rows sees no heavy key.  Returns the left columns plus the
     right columns in a struct named ``other`` (null when unmatched).
+    ``keys_from`` may name a cheaper frame with the keys and row ids of ``left``.
     """
     value = F.struct(*[F.col(c) for c in right.columns if c != key])
     packed = right.select(key, value.alias("other"))
-    hot = hot_keys(left, key, row_id, sample, seen)
+    hot = hot_keys(left if keys_from is None else keys_from, key, row_id, sample, seen)
     hot_rows = packed.join(F.broadcast(hot), key, "left_semi").select(
         F.col(key).alias("_hot_key"), F.col("other").alias("_hot_other")
     )

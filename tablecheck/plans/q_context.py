@@ -10,6 +10,7 @@ from tablecheck.operators.rownum import first_n
 from tablecheck.plans.fixtures import fixture, with_fixtures
 from tablecheck.plans.q_profile import SHEETS_SQL, sheet_texts
 from tablecheck.plans.registry import query, table
+from tablecheck.plans.sqltext import empty, number
 from tablecheck.session import cut_lineage
 
 _LINES = "string_split({0}, chr(10))"
@@ -215,25 +216,47 @@ def f_build_prompt(spark, sf):
     return cx.with_scenario(cx.build_contexts(f, ["relevance"]), f["cases"])
 
 
-@query("rep_scan_text")
+_NUM = number("value")
+_LINES_SQL = with_fixtures("f3", "f6") + f"""
+, g AS (SELECT *, {_NUM} AS x FROM f3 WHERE side = 'generated')
+, pr AS (SELECT case_id, sheet, col_idx, col_name, count(value) AS nn, count(*) - count(value) AS nl, count(DISTINCT value) AS nu, count(x) AS nx,
+         CAST(sum(CAST(x AS DECIMAL(18,2))) AS DOUBLE) AS sm FROM g GROUP BY ALL)
+, sa AS (SELECT case_id, sheet, col_idx, string_agg(value, ', ' ORDER BY row_idx) AS samples FROM (
+         SELECT * FROM g WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY case_id, sheet, col_idx ORDER BY row_idx) <= 3) t GROUP BY ALL)
+, li AS (SELECT pr.case_id, pr.sheet, pr.col_idx, format('  - `{{}}` ({{}}): {{}} non-null, {{}} null, {{}} unique', col_name,
+           CASE WHEN nn = 0 THEN 'empty' WHEN nx > nn * 0.8 THEN 'numeric' WHEN nx < nn * 0.2 THEN 'string' ELSE 'mixed' END, nn, nl, nu)
+         || CASE WHEN nx > nn * 0.8 THEN format(', mean={{:.2f}}, sum={{:.2f}}', sm / nx, sm) ELSE '' END
+         || CASE WHEN coalesce(samples, '') <> '' THEN ', samples=[' || samples || ']' ELSE '' END AS line
+         FROM pr LEFT JOIN sa USING (case_id, sheet, col_idx))
+, rs AS (SELECT case_id, sheet, row_idx, string_agg(coalesce('v' || value, 'n'), chr(1) ORDER BY col_idx) AS sig, bool_and({empty("value")}) AS e, max(col_idx) AS nc
+         FROM g GROUP BY ALL)
+, sl AS (SELECT case_id, sheet, format('**{{}}**: {{}} rows × {{}} cols ({{}} empty rows, {{}} duplicate rows)', sheet, count(*), max(nc),
+         count(*) FILTER (WHERE e), count(*) - count(DISTINCT sig)) AS line FROM rs GROUP BY ALL)
+, fl AS (SELECT case_id, format('- Total formulas: {{}}, formula errors: {{}}', count(*), count(*) FILTER (WHERE starts_with(computed_value, '#'))) AS line
+         FROM f6 WHERE formula_kind <> 'plain' OR starts_with(formula, '=') GROUP BY case_id)
+"""
+
+
+@query("rep_scan_text", _LINES_SQL + """
+SELECT case_id, 1 AS part, sheet AS name, col_idx AS ord, line FROM li UNION ALL SELECT case_id, 1, sheet, 0, line FROM sl UNION ALL SELECT case_id, 2, '', 0, line FROM fl""")
 def rep_scan_text(spark, sf):
     """Scan report lines of every case."""
     f3 = fixture(spark, sf, "f3").where("side = 'generated'")
     return rpt.scan_lines(f3, wb.formulas(fixture(spark, sf, "f6")))
 
 
-@query("f_scan_line")
+@query("f_scan_line", _LINES_SQL + "SELECT * FROM li")
 def f_scan_line(spark, sf):
     """One profile line per column."""
     return rpt.profile_lines(fixture(spark, sf, "f3").where("side = 'generated'"))
 
 
 @query("rep_debug_meta", with_fixtures("f3", "f3_visibility", "f6", "charts") + SHEETS_SQL + """
-, fo AS (SELECT case_id, count(*) AS total_formulas, count(*) FILTER (WHERE starts_with(computed_value, '#')) AS formula_errors FROM f6
+, fo AS (SELECT case_id, count(*) AS n, count(*) FILTER (WHERE starts_with(computed_value, '#')) AS bad FROM f6
          WHERE formula_kind <> 'plain' OR starts_with(formula, '=') GROUP BY case_id)
-SELECT s.case_id, s.sheets, coalesce(total_formulas, 0) AS total_formulas, coalesce(formula_errors, 0) AS formula_errors, coalesce(charts, 0) AS charts
-FROM (SELECT case_id, string_agg(sheet || ':' || row_count || 'x' || col_count || CASE WHEN truncated THEN '*' ELSE '' END, ',' ORDER BY sheet) AS sheets FROM sheets GROUP BY case_id) s
-LEFT JOIN fo USING (case_id) LEFT JOIN (SELECT case_id, count(*) AS charts FROM charts GROUP BY case_id) c USING (case_id)""")
+SELECT case_id, 'sheet ' || sheet AS item, row_count || 'x' || col_count || CASE WHEN truncated THEN ' truncated' ELSE '' END AS value FROM sheets
+UNION ALL SELECT case_id, 'formulas', CAST(n AS VARCHAR) FROM fo UNION ALL SELECT case_id, 'formula errors', CAST(bad AS VARCHAR) FROM fo
+UNION ALL SELECT case_id, 'charts', CAST(count(*) AS VARCHAR) FROM charts GROUP BY case_id""")
 def rep_debug_meta(spark, sf):
-    """Sheet sizes, formula and chart counts of every case."""
+    """Sheet sizes, formula and chart counts of every case, one row each."""
     return rpt.debug_meta(sheet_texts(spark, sf), wb.formulas(fixture(spark, sf, "f6")), fixture(spark, sf, "charts"))

@@ -152,7 +152,7 @@ def j_column_pairs(spark, sf):
         WHERE side = 'source' AND sheet = 'customer' GROUP BY ALL)
 , g AS (SELECT case_id, lower(col_name) AS low, arg_max(col_name, col_idx) AS generated_col FROM f3
         WHERE side = 'generated' AND sheet = 'Customers' GROUP BY ALL)
-SELECT case_id, col_order, source_col, generated_col, 'exact_name' AS match_type, 1.0 AS confidence FROM s JOIN g USING (case_id, low)""")
+SELECT case_id, col_order, source_col, generated_col, 'exact_name' AS match_type, CAST(1.0 AS DOUBLE) AS confidence FROM s JOIN g USING (case_id, low)""")
 def f_match_columns_exact(spark, sf):
     """Case-insensitive equal names."""
     f3 = fixture(spark, sf, "f3")

@@ -25,7 +25,7 @@ _P = with_fixtures("f8") + f"""
       FROM (SELECT *, js IS NOT NULL AND (raw IS NULL OR coalesce(sc BETWEEN 0 AND 4, false)) AS ok FROM s) x)
 , items AS (SELECT case_id, dimension, pos - 1 AS pos, evidence[pos] AS text FROM (
       SELECT case_id, dimension, evidence, unnest(generate_series(1, len(evidence))) AS pos FROM parsed) y)
-, claims AS (SELECT *, CASE WHEN is_claim THEN sum(CAST(is_claim AS INT)) OVER (PARTITION BY case_id, dimension ORDER BY pos) END AS claim_no
+, claims AS (SELECT *, CASE WHEN is_claim THEN CAST(sum(CAST(is_claim AS INT)) OVER (PARTITION BY case_id, dimension ORDER BY pos) AS INT) END AS claim_no
       FROM (SELECT *, contains(upper(text), 'VERIFIED') AND NOT contains(upper(text), 'INFERRED') AS is_claim FROM items) z)
 """
 _V = ", f8_verdicts AS (" + with_fixtures("f8_verdicts").split("AS (", 1)[1].rstrip()[:-1] + ")"

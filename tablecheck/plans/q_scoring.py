@@ -9,7 +9,7 @@ from tablecheck.operators.skew import key_join
 from tablecheck.plans.fixtures import DIMENSIONS, SCENARIOS, fixture, with_fixtures
 from tablecheck.plans.registry import query, table
 
-_W_ROWS = ", ".join(f"('{s}', '{d}', {w})" for s, ws in so.WEIGHTS.items() for d, w in zip(DIMENSIONS, ws))
+_W_ROWS = ", ".join(f"('{s}', '{d}', CAST({w} AS DOUBLE))" for s, ws in so.WEIGHTS.items() for d, w in zip(DIMENSIONS, ws))
 _W = f", w(scenario, dimension, weight) AS (VALUES {_W_ROWS})"
 _KNOWN = "(" + ", ".join(f"'{s}'" for s in SCENARIOS) + ")"
 _P_ROWS = ", ".join(f"({i}, '{n}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for i, (n, a, b) in enumerate(so.MODEL_PRICES))
@@ -110,7 +110,7 @@ def f_consistency_caps(spark, sf):
 
 
 @query("j_weights", _F5 + _W + """
-SELECT case_id, dimension, coalesce(w.weight, 1.0) AS weight
+SELECT case_id, dimension, coalesce(w.weight, CAST(1.0 AS DOUBLE)) AS weight
 FROM (SELECT f5.case_id, f5.dimension, CASE WHEN k % 31 = 0 THEN 'mystery' ELSE c.scenario END AS scenario
       FROM f5 JOIN f5_cases c USING (case_id) WHERE run = 1) t LEFT JOIN w USING (scenario, dimension)""")
 def j_weights(spark, sf):

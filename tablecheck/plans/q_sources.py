@@ -189,17 +189,20 @@ def sink_json(spark, sf):
     return ca.json_report(table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey"))
 
 
-_TASKS = """SELECT o_custkey AS task_id, CASE o_orderkey % 5 WHEN 0 THEN 'a.XLSX' WHEN 1 THEN 'b.pdf' WHEN 2 THEN 'c.xls' WHEN 3 THEN 'd.docx' ELSE 'e.xlsm.txt' END AS f, o_orderkey AS k FROM orders"""
+_FILE = "CASE ({0}) % 5 WHEN 0 THEN 'a.XLSX' WHEN 1 THEN 'b.pdf' WHEN 2 THEN 'c.xls' WHEN 3 THEN 'd.docx' ELSE 'e.xlsm.txt' END"
+_TASK_FILES = [_FILE.format(x) for x in ("o_orderkey", "o_custkey", "o_orderkey + o_custkey")]
 
 
 @query("idx_corpus", f"""
-SELECT task_id, count(*) AS spreadsheets, string_agg('u' || k, ',' ORDER BY k) AS urls FROM ({_TASKS}) t WHERE regexp_matches(lower(f), '\\.(xlsx|xls|xlsm)$') GROUP BY task_id""")
+SELECT task_id, len(l) AS spreadsheets, array_to_string(list_transform(l, lambda x: 'u' || x), ',') AS urls FROM (
+  SELECT o_orderkey AS task_id, list_filter([1, 2, 3], lambda i: regexp_matches(lower(files[i]), '\\.(xlsx|xls|xlsm)$')) AS l
+  FROM (SELECT o_orderkey, [{', '.join(_TASK_FILES)}] AS files FROM orders) t) u WHERE len(l) > 0""")
 def idx_corpus(spark, sf):
     """Tasks with a spreadsheet deliverable and the addresses of those files."""
-    t = spark.sql(_TASKS.replace("FROM orders", f"FROM parquet.`{sf}/orders.parquet`"))
-    lists = t.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("k", "f"))).alias("l"))
-    lists = lists.select("task_id", F.transform("l", lambda x: x["f"]).alias("files"), F.transform("l", lambda x: F.concat(F.lit("u"), x["k"].cast("string"))).alias("urls"))
-    kept = lists.where(ca.has_spreadsheet(F.col("files"))).withColumn("s", ca.spreadsheet_files(F.col("files"), F.col("urls")))
+    tasks = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("task_id"), F.array(*[F.expr(f) for f in _TASK_FILES]).alias("files"),
+        F.array(F.lit("u1"), F.lit("u2"), F.lit("u3")).alias("urls"))
+    kept = tasks.where(ca.has_spreadsheet(F.col("files"))).withColumn("s", ca.spreadsheet_files(F.col("files"), F.col("urls")))
     return kept.select("task_id", F.size("s").cast("bigint").alias("spreadsheets"), F.array_join(F.transform("s", lambda x: x["url"]), ",").alias("urls"))
 
 
@@ -245,7 +248,12 @@ def f_case_parts(spark, sf):
     return p.select("task", "error_type", naming.slugify(F.col("error_type")).alias("slug"))
 
 
-@query("rep_comparison_text")
+@query("rep_comparison_text", qr.F1_CMP + f"""
+SELECT format('Key-based matching on `o_orderkey`: {{}}/{{}} rows match ({{:.1f}}%).', m, n, m * 100.0 / n)
+       || CASE WHEN fills > 0 THEN format(' {{}} cells were empty in source and filled in output.', fills) ELSE '' END
+       || CASE WHEN total > n THEN format(' {{}} source rows had no matching key.', total - n) ELSE '' END AS summary
+FROM (SELECT count(*) AS n, count(*) FILTER (WHERE {qr._ok(5)}) AS m, CAST(sum({qr._fills(5)}) AS BIGINT) AS fills,
+      (SELECT count(*) FROM f1_src) AS total FROM cmp) t""")
 def rep_comparison_text(spark, sf):
     """Summary sentence of the keyed comparison."""
     src, gen, cmp = qr.f1_compared(spark, sf)
