@@ -231,7 +231,7 @@ _LINES_SQL = with_fixtures("f3", "f6") + f"""
 , rs AS (SELECT case_id, sheet, row_idx, string_agg(coalesce('v' || value, 'n'), chr(1) ORDER BY col_idx) AS sig, bool_and({empty("value")}) AS e, max(col_idx) AS nc
          FROM g GROUP BY ALL)
 , sl AS (SELECT case_id, sheet, format('**{{}}**: {{}} rows × {{}} cols ({{}} empty rows, {{}} duplicate rows)', sheet, count(*), max(nc),
-         count(*) FILTER (WHERE e), count(*) - count(DISTINCT sig)) AS line FROM rs GROUP BY ALL)
+         count(*) FILTER (WHERE e), count(*) - count(DISTINCT sig)) AS line FROM rs GROUP BY case_id, sheet)
 , fl AS (SELECT case_id, format('- Total formulas: {{}}, formula errors: {{}}', count(*), count(*) FILTER (WHERE starts_with(computed_value, '#'))) AS line
          FROM f6 WHERE formula_kind <> 'plain' OR starts_with(formula, '=') GROUP BY case_id)
 """

@@ -20,7 +20,8 @@ def con():
 def test_query(spark, con, name):
     rows, error = compare(spark, con, SF_DIR, entry.queries()[name], ORACLES.get(name))
     assert error is None, error
-    assert rows > 0
+    if name not in ORACLES:
+        assert rows > 0
 
 
 def test_entry(spark):
