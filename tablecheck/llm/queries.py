@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablecheck.llm import bpe
+from tablecheck.llm import bpe, chat, quality
 from tablecheck.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +22,54 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_bpe"] = op9_bpe
+
+
+#: Added to every conversations table: a user and an assistant row that hold control strings.
+MARKED_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql(f"SELECT -7L AS conv_id, turn, role, r'{MARKED_TEXT}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.read_back(chat.windows(turns)))
+
+
+QUERIES["op1_chat"] = op1_chat
+ORACLE_SQL["op1_chat"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)
+), p AS (
+  SELECT *, row_number() OVER o - 1 AS pos,
+    len(regexp_extract_all(text, '[\p{L}\p{M}]+|\p{N}+|[^ \t-\r\p{L}\p{M}\p{N}]')) AS tokens,
+    length(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t')) + length(role) - length(replace(role, ':', '')) AS role_chars,
+    length(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t')) AS text_chars
+  FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, CASE WHEN role = 'system' THEN 0 ELSE 1 END, role, text)
+), l AS (
+  SELECT *, role_chars + text_chars + 14 AS piece, pos = 0 AND role = 'system' AS lead_in, CASE WHEN pos = 0 AND role = 'system' THEN 0 ELSE tokens END AS len FROM p
+), e AS (
+  SELECT *, sum(len) OVER (PARTITION BY conv_id ORDER BY pos) AS upto,
+    greatest(1, (1024 - 128 - coalesce(max(CASE WHEN lead_in THEN tokens END) OVER (PARTITION BY conv_id), 0)) // 2) AS stride FROM l
+), s AS (
+  SELECT *, upto // stride AS step, 2 * (upto // stride) + CASE WHEN len > stride THEN 0 ELSE 1 END AS span FROM e
+), used AS (SELECT DISTINCT conv_id, span FROM s
+), n AS (SELECT conv_id, count(*) FILTER (span <> 1) AS later FROM used GROUP BY conv_id
+), c AS (
+  SELECT s.*, n.later, u.span IS NOT NULL AND NOT lead_in AND upto - len >= (step + 1) * stride - 128 AS again
+  FROM s JOIN n USING (conv_id) LEFT JOIN used u ON u.conv_id = s.conv_id AND u.span = 2 * (s.step + 1) + 1
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(piece * (1 + CASE WHEN again THEN 1 ELSE 0 END + CASE WHEN lead_in THEN later ELSE 0 END))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+QUERIES["op8_quality"] = op8_quality
