@@ -21,6 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from tablecheck.session import ship_by_value
+
+ship_by_value(__name__)
+
 #: Pieces remembered by one worker, and the longest piece worth remembering.
 MEMO, MEMO_CHARS = 500_000, 64
 _MASK = (1 << 64) - 1
@@ -33,9 +37,12 @@ class PerfectHash:
     store their slot directly (as a negative number).
     """
 
-    def __init__(self, keys: list[bytes]):
+    def __init__(self, keys: list[bytes], shift: list[int] | None = None, slots: list[bytes] | None = None):
         n = len(keys)
         self.n, self.buckets = n, max(1, n // 2)
+        if shift is not None:
+            self.shift, self.keys = shift, slots
+            return
         self.shift = [0] * self.buckets
         self.keys: list[bytes | None] = [None] * n
         groups: dict[int, list[tuple[int, bytes]]] = {}
@@ -77,11 +84,15 @@ class PerfectHash:
 class Vocabulary:
     """Ranks of a vocabulary file, looked up whole by perfect hash and pairwise while merging."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, shift: list[int] | None = None, keys: list[bytes] | None = None):
         self.ranks, self.pattern = ranks, pattern
-        self.hash = PerfectHash(list(ranks))
+        self.hash = PerfectHash(list(ranks), shift, keys)
         self.rank_at = [ranks[k] for k in self.hash.keys]
 
+    def parts(self) -> tuple[dict[bytes, int], str, list[int], list[bytes]]:
+        """Plain values to broadcast; ``Vocabulary(*parts)`` is the same vocabulary without building it again."""
+        return self.ranks, self.pattern, self.hash.shift, self.hash.keys
+
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
         with open(path, "rb") as lines:
@@ -167,10 +178,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     """
     if ids in df.columns:
         raise ValueError(f"column {ids} exists already")
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(path, pattern))
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(path, pattern).parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = encoder(shared.value)
+        to_ids = encoder(Vocabulary(*shared.value))
         for batch in batches:
             packed = [to_ids(x or "") for x in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int64)

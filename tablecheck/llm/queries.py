@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm import bpe, chat, quality
+from tablecheck.llm import bpe, chat, quality, warc
 from tablecheck.llm.common import read_table
+from tablecheck.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,3 +74,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_quality"] = op8_quality
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    records = pages.select(F.col("page_id").alias("record_id"), "url", F.encode("html", "UTF-8").alias("payload"))
+    stored = cut_lineage(warc.bundles(warc.mark_revisits(records)), "warc")
+    return warc.read(stored).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to")
+    )
+
+
+QUERIES["op2_warc"] = op2_warc
