@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm import bpe, chat, quality, warc
+from tablecheck.llm import bpe, chat, html_wrapper, quality, warc
 from tablecheck.llm.common import read_table
 from tablecheck.session import cut_lineage
 
@@ -86,3 +86,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_warc"] = op2_warc
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_wrapper.main_text(read_table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES["op10_html"] = op10_html
