@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm import bpe, chat, html_wrapper, quality, warc
+from tablecheck.llm import bpe, chat, html_wrapper, quality, simhash, warc
 from tablecheck.llm.common import read_table
 from tablecheck.session import cut_lineage
 
@@ -94,3 +94,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_html"] = op10_html
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3)
+
+
+QUERIES["op6_simhash"] = op6_simhash
