@@ -8,14 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm import bpe, chat, html_wrapper, quality, simhash, warc
-from tablecheck.llm.common import read_table
+from tablecheck.llm import bpe, chat, html_wrapper, langid, quality, simhash, warc
+from tablecheck.llm.common import fold, read_table
 from tablecheck.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
+PIECE_FILE = "piece_bpe_32k.model"
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,3 +102,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_simhash"] = op6_simhash
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    found = langid.identify(docs, public_tokenizers.path(PIECE_FILE), ~held_out)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op5_language"] = op5_language
