@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm import bpe, chat, html_wrapper, langid, quality, simhash, warc
+from tablecheck.llm import bpe, chat, decontaminate, html_wrapper, langid, linetree, quality, simhash, warc
 from tablecheck.llm.common import fold, read_table
 from tablecheck.session import cut_lineage
 
@@ -112,3 +112,77 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_language"] = op5_language
+
+
+def op3_linetree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linetree.drop_recurring(read_table(spark, sf_dir, "documents"))
+    return rows.select("row.doc_id", "n_lines", "n_dropped", F.length("kept").cast("long").alias("kept_chars"), F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
+
+
+QUERIES["op3_linetree"] = op3_linetree
+ORACLE_SQL["op3_linetree"] = r"""
+WITH d AS (
+  SELECT doc_id, text, string_split(regexp_replace(coalesce(text, ''), '[^ \t-\r]*[0-9][^ \t-\r]*', '<*>', 'g'), chr(10)) AS masked FROM documents
+), l AS (
+  SELECT doc_id, text, pos, list_filter(regexp_split_to_array(masked[pos], '[ \t-\r]+'), lambda x: x <> '') AS w
+  FROM (SELECT *, unnest(range(1, len(masked) + 1)) AS pos FROM d)
+), k AS (
+  SELECT doc_id, text, pos, len(w) AS n,
+    CASE WHEN len(w) < 3 THEN [] WHEN len(w) <= 8 THEN ['0 ' || array_to_string(w, ' ')]
+      ELSE ['1 ' || len(w) || ' ' || array_to_string(w[1:8 + h], ' '), '2 ' || len(w) || ' ' || array_to_string(w[1:8], ' ') || ' ' || array_to_string(w[9 + h:], ' ')] END AS keys
+  FROM (SELECT *, (len(w) - 8 + 1) // 2 AS h FROM l)
+), u AS (SELECT DISTINCT doc_id, text, n, keys FROM k
+), f AS (
+  SELECT key FROM (SELECT DISTINCT doc_id, text, unnest(keys) AS key FROM u) GROUP BY key HAVING count(*) >= 3
+), m AS (
+  SELECT u.*, len(list_filter(keys, lambda x: x IN (SELECT key FROM f))) AS hits FROM u
+), m2 AS (
+  SELECT DISTINCT u.doc_id, u.text, u.n, u.keys FROM (SELECT *, unnest(keys) AS key FROM u) u JOIN f USING (key)
+), s AS (
+  SELECT doc_id, text, sum(n) AS size FROM u GROUP BY doc_id, text
+), r AS (
+  SELECT m2.*, s.size, sum(m2.n) OVER (PARTITION BY m2.doc_id, m2.text) AS shared FROM m2 JOIN s ON s.doc_id = m2.doc_id AND s.text = m2.text
+), t AS (
+  SELECT key FROM (SELECT *, unnest(keys) AS key FROM r) JOIN f USING (key)
+  GROUP BY key HAVING count(*) FILTER (size > n AND shared - n < 0.5 * (size - n)) >= 3
+), b AS (
+  SELECT DISTINCT k.doc_id, k.text, k.pos FROM (SELECT *, unnest(keys) AS key FROM k) k JOIN t USING (key)
+), o AS (
+  SELECT doc_id, text, pos, line FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(masked) + 1)) AS pos FROM d)
+)
+SELECT o.doc_id, count(*) AS n_lines, count(b.pos) AS n_dropped,
+  length(coalesce(string_agg(line, chr(10) ORDER BY o.pos) FILTER (b.pos IS NULL), ''))::BIGINT AS kept_chars,
+  md5(coalesce(string_agg(line, chr(10) ORDER BY o.pos) FILTER (b.pos IS NULL), '')) AS kept_md5
+FROM o LEFT JOIN b ON b.doc_id = o.doc_id AND b.text = o.text AND b.pos = o.pos GROUP BY o.doc_id
+"""
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
+QUERIES["op4_decontaminate"] = op4_decontaminate
+ORACLE_SQL["op4_decontaminate"] = r"""
+WITH i AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL
+), it AS (
+  SELECT item_id, least(5, len(w)) AS k, len(w) - least(5, len(w)) + 1 AS n, [array_to_string(w[p:p + least(5, len(w)) - 1], ' ') for p in range(1, len(w) - least(5, len(w)) + 2)] AS s FROM i WHERE len(w) > 0
+), ks AS (SELECT DISTINCT k FROM it
+), d AS (SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL
+), ds AS (
+  SELECT doc_id, text, k, [array_to_string(w[p:p + k - 1], ' ') for p in range(1, len(w) - k + 2)] AS s FROM d, ks WHERE len(w) >= k
+), g AS (SELECT doc_id, text, k, len(s) AS size, unnest(s) AS gram, unnest(range(1, len(s) + 1)) AS pos FROM ds
+), iu AS (SELECT DISTINCT item_id, k, n, unnest(s) AS gram FROM it
+), h AS (
+  SELECT DISTINCT doc_id, text, k, item_id, n, least(pos, greatest(1, size - n + 1)) AS start FROM g JOIN iu USING (k, gram)
+), c AS (
+  SELECT h.doc_id, h.text, h.item_id, h.n, h.start, gram, count(*) AS uses FROM h JOIN g ON g.doc_id = h.doc_id AND g.text = h.text AND g.k = h.k AND g.pos >= h.start AND g.pos < h.start + h.n
+  GROUP BY ALL
+), z AS (SELECT doc_id, text, item_id, n, start, sum(uses) AS size FROM c GROUP BY ALL
+), x AS (SELECT item_id, gram, count(*) AS has FROM (SELECT item_id, unnest(s) AS gram FROM it) GROUP BY ALL
+), v AS (
+  SELECT c.doc_id, c.text, c.item_id, c.n, c.start, sum(least(uses, has)) AS common FROM c JOIN x USING (item_id, gram) GROUP BY ALL
+)
+SELECT doc_id, item_id, round(max(common / (size + n - common)), 6) AS similarity FROM v JOIN z USING (doc_id, text, item_id, n, start)
+WHERE common / (size + n - common) >= 0.8 GROUP BY doc_id, text, item_id
+"""
