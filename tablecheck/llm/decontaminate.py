@@ -47,9 +47,13 @@ def shingles(hashed: Column, size: int) -> Column:
 def simhash(window: Column) -> Column:
     """A bit is set in over half of the shingle hashes. 32 running sums hold two bit counts each."""
     n = F.size(window)
+
+    def counts(k: int) -> Column:
+        return F.aggregate(window, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LOW)))
+
     bits = []
     for k in range(32):
-        both = F.aggregate(window, F.lit(0).cast("long"), lambda acc, h, k=k: acc + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LOW)))
+        both = counts(k)
         for count, bit in ((both.bitwiseAND(F.lit(0xFFFFFFFF)), k), (F.shiftrightunsigned(both, 32), k + 32)):
             bits.append(F.shiftleft((2 * count > n).cast("long"), bit))
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
@@ -101,14 +105,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         return docs.sparkSession.createDataFrame([], "doc_id bigint, text_hash bigint, item_id bigint, similarity double")
     windows = cut_lineage(reduce(DataFrame.unionByName, near).withColumn("fingerprint", simhash(F.col("window"))), "item-windows")
     values = F.array(*[F.struct(F.lit(j).alias("block"), block("fingerprint", j).alias("value")) for j in range(BLOCKS)])
-    neighbours = F.flatten(
-        F.array(
-            *[
-                F.transform(F.array(F.lit(0), *[F.lit(1 << b) for b in range(LAYOUT[j][1])]), lambda m, j=j: F.struct(F.lit(j).alias("block"), block("fingerprint", j).bitwiseXOR(m).alias("value")))
-                for j in range(BLOCKS)
-            ]
-        )
-    )
+
+    def around(j: int) -> Column:
+        flips = F.array(F.lit(0), *[F.lit(1 << b) for b in range(LAYOUT[j][1])])
+        return F.transform(flips, lambda m: F.struct(F.lit(j).alias("block"), block("fingerprint", j).bitwiseXOR(m).alias("value")))
+
+    neighbours = F.flatten(F.array(*[around(j) for j in range(BLOCKS)]))
     table = items.select("item_id", F.col("fingerprint").alias("item_mark"), F.explode(neighbours).alias("b")).select("item_id", "item_mark", "b.block", "b.value")
     probes = windows.select("doc_id", "text_hash", "item_id", "start", "fingerprint", F.explode(values).alias("b")).select("doc_id", "text_hash", "item_id", "start", "fingerprint", "b.block", "b.value")
     within = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_mark"))) <= radius
