@@ -26,3 +26,11 @@ def ascii_lower(text: Column) -> Column:
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id's decimal text modulo ``parts``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores before it until no column has that name (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base

@@ -161,8 +161,8 @@ def fit(train: DataFrame, pieces: list[str], sample: int = SAMPLE, rounds: int =
     return langs, probability
 
 
-def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, pieces: list[str], memo_size: int = MEMO) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, from ``text`` alone.
+def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, pieces: list[str], memo_size: int = MEMO, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the columns ``pred`` and ``score``, from ``text`` alone.
 
     ``und`` with score 0 for a null text, a text without a letter, or a model without languages. Otherwise the
     language of the largest likelihood (the first in order among equals) and its posterior under equal priors.
@@ -186,13 +186,13 @@ def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, pieces:
             if len(memo) > memo_size:
                 memo.clear()
                 known = known[:0]
-            if new := list(dict.fromkeys(w for text in texts for w in text if w not in memo)):
+            if new := list(dict.fromkeys(w for words in texts for w in words if w not in memo)):
                 learn(new)
-            for text in texts:
-                if not text or not names:
+            for words in texts:
+                if not words or not names:
                     yield "und", 0.0
                     continue
-                total = known[[memo[w] for w in text]].sum(axis=0)
+                total = known[[memo[w] for w in words]].sum(axis=0)
                 best = int(total.argmax())
                 yield names[best], float(1.0 / np.exp(total - total[best]).sum())
 
@@ -200,18 +200,18 @@ def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, pieces:
             found: list[tuple[str, float]] = []
             waiting: list[list[str]] = []
             size = 0
-            for cell in batch.column("text"):
-                text = cell.as_py() or ""
-                waiting.append(words_of(text))
-                size += len(text)
+            for cell in batch.column(text):
+                said = cell.as_py() or ""
+                waiting.append(words_of(said))
+                size += len(said)
                 if size > CHUNK_CHARS:
                     found.extend(judge(waiting))
                     waiting, size = [], 0
             found.extend(judge(waiting))
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, pred, score])
 
-    kinds = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    kinds = docs.select("*", F.lit("").alias(pred), F.lit(0.0).alias(score)).schema
     return docs.mapInArrow(run, kinds)
 
 

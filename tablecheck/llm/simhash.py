@@ -7,12 +7,18 @@ cut further by the same argument: its three other parts hold at most three diffe
 them one agrees. Inside a key, fingerprints are stored as bit planes: word b holds bit b of 64 fingerprints.
 One query updates 64 distances at a time with carry-save counters, a block is left as soon as all its
 distances exceed the radius, and what is within it joins one tree per key, so a crowd of n makes at most n - 1 links.
+
+``WIDE`` (15 bits) is for near copies of similarity 0.8 on five-word shingles, whose fingerprints differ in about nine bits. No
+set of bit keys is selective there, so the keys are segments of the text itself: runs of words cut where the words say
+so (12 to 96 words), of which two such copies share some. Segments of more than ``CROWD`` fingerprints (boilerplate) are
+keys only for documents that have no other; those use their three rarest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +31,21 @@ from tablecheck.session import cut_lineage, ship_by_value
 
 ship_by_value(__name__)
 
-RADIUS, CROWD = 3, 2048
+RADIUS, WIDE, CROWD = 3, 15, 2048
+#: Words of a segment at least and at most; one word in ANCHOR may end it.
+SEGMENT_MIN, SEGMENT_MAX, ANCHOR = 12, 96, 16
 #: Start bits and widths of the five parts.
 PARTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 KEYS = tuple(combinations(range(5), 2))
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of a text's word shingles, repeats included; a bit is set in over half of the hashes."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
+def fingerprint(words: list[bytes], shingle: int, seed: int = 42) -> int:
+    """Signed 64-bit SimHash of word shingles, repeats included; a bit is set in over half of the hashes."""
     if not words:
         return 0
     digest = xxhash.xxh64_intdigest
@@ -47,16 +58,32 @@ def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fingerprint (long) per row; a null text has no words, no words give zero."""
+def segments(words: list[bytes]) -> list[int]:
+    """Distinct hashes of the text's segments, in order of appearance."""
+    out, start = {}, 0
+    for i, word in enumerate(words, 1):
+        size = i - start
+        if i == len(words) or size >= SEGMENT_MAX or (size >= SEGMENT_MIN and crc32(word) % ANCHOR == 0):
+            out[int(np.int64(np.uint64(xxhash.xxh64_intdigest(b" ".join(words[start:i])))))] = None
+            start = i
+    return list(out)
+
+
+def fingerprints(docs: DataFrame, shingle: int, cut: bool = False) -> DataFrame:
+    """doc_id, text_hash, fingerprint (long), segments (empty unless ``cut``) per row; a null text has no words, no words give zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = pa.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), marks], ["doc_id", "fingerprint"])
+            marks, pieces = [], []
+            for cell in batch.column("text"):
+                words = words_of(cell.as_py())
+                marks.append(fingerprint(words, shingle))
+                pieces.append(segments(words) if cut else [])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(marks, pa.int64()), pa.array(pieces, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fingerprint", "segments"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, fingerprint bigint")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fingerprint bigint, segments array<bigint>")
 
 
 def part(k: int) -> Column:
@@ -94,27 +121,30 @@ def transpose(block: np.ndarray) -> np.ndarray:
 
 
 def near(planes: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Per column of ``planes`` (64 words each, one query per column): word with a bit for every lane within the radius."""
-    ones, twos, over = (np.zeros(planes.shape[1], np.uint64) for _ in range(3))
+    """Per column of ``planes`` (64 words each, one query per column): word with a bit for every lane within the radius.
+
+    ``radius`` + 1 is a power of two: a distance exceeds it when the counter of that many bits overflows.
+    """
+    digits = (radius + 1).bit_length() - 1
+    if radius + 1 != 1 << digits:
+        raise ValueError("radius + 1 must be a power of two")
     live = np.arange(planes.shape[1])
-    result = np.zeros(planes.shape[1], np.uint64)
+    over = np.zeros(len(live), np.uint64)
+    counter = [np.zeros(len(live), np.uint64) for _ in range(digits)]
+    result = np.zeros(len(live), np.uint64)
     for plane in range(64):
-        ask = (np.uint64(0) - ((queries[live] >> np.uint64(plane)) & np.uint64(1))).astype(np.uint64)
-        differ = planes[plane, live] ^ ask
-        carry = ones & differ
-        ones ^= differ
-        over |= twos & carry  # a third carry bit: the distance is 4 or more
-        twos ^= carry
-        if plane % 8 == 7:
+        carry = planes[plane, live] ^ (np.uint64(0) - ((queries[live] >> np.uint64(plane)) & np.uint64(1)))
+        for digit in counter:
+            digit ^= carry  # sum and carry of one more differing bit, 64 lanes at a time
+            carry &= ~digit
+        over |= carry
+        if plane % 8 == 7 and plane > radius:
             open_blocks = ~over != 0
             if not open_blocks.all():  # blocks whose distances all exceed the radius are abandoned
-                live, ones, twos, over = live[open_blocks], ones[open_blocks], twos[open_blocks], over[open_blocks]
+                live, over, counter = live[open_blocks], over[open_blocks], [d[open_blocks] for d in counter]
                 if not len(live):
                     return result
-    within = ~over
-    if radius < 3:
-        within &= ~(twos & ones) if radius == 2 else ~twos if radius == 1 else ~(twos | ones)
-    result[live] = within
+    result[live] = ~over
     return result
 
 
@@ -172,19 +202,8 @@ def _compare(value: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: i
     return found
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
-    """a, b: links that connect all of ``distinct`` (fingerprint) within ``radius`` (3 at most) bits.
-
-    Keys of more than ``crowd`` fingerprints are cut further, so what one task compares at once stays small
-    unless that many different fingerprints agree in 36 bits.
-    """
-    keyed = distinct.select("fingerprint", F.explode(keys()).alias("key"))
-    count = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    crowded = count.filter(F.col("n") > crowd).select("key", F.lit(True).alias("crowded"))
-    split = keyed.join(crowded, "key", "left")
-    placed = split.select(
-        "fingerprint", F.explode(F.when(F.col("crowded"), F.transform(finer_keys(), lambda k: -k - 1)).otherwise(F.array("key"))).alias("key")
-    )
+def compare(placed: DataFrame, radius: int) -> DataFrame:
+    """a, b: links inside every key of ``placed`` (key, fingerprint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held_value = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -207,6 +226,48 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) ->
     return placed.repartition("key").sortWithinPartitions("key").select("key", "fingerprint").mapInArrow(run, "a bigint, b bigint")
 
 
+def near_links(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """a, b: links that connect all of ``distinct`` (fingerprint) within ``radius`` (3 at most) bits.
+
+    Keys of more than ``crowd`` fingerprints are cut further, so what one task compares at once stays small
+    unless that many different fingerprints agree in 36 bits.
+    """
+    keyed = distinct.select("fingerprint", F.explode(keys()).alias("key"))
+    count = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    crowded = count.filter(F.col("n") > crowd).select("key", F.lit(True).alias("crowded"))
+    split = keyed.join(crowded, "key", "left")
+    placed = split.select(
+        "fingerprint", F.explode(F.when(F.col("crowded"), F.transform(finer_keys(), lambda k: -k - 1)).otherwise(F.array("key"))).alias("key")
+    )
+    return compare(placed, radius)
+
+
+def wide_links(marked: DataFrame, radius: int = WIDE, crowd: int = CROWD) -> DataFrame:
+    """a, b: links within ``radius`` between fingerprints of ``marked`` (fingerprint, segments) that share a segment."""
+    keyed = marked.select("fingerprint", F.explode("segments").alias("key")).distinct()
+    count = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # a document's segments by how many fingerprints have them: bounded by the document
+    ranked = keyed.join(cut_lineage(count, "segment-counts"), "key").groupBy("fingerprint").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("at"))
+    usual = F.filter("at", lambda x: x["n"] <= crowd)
+    chosen = F.when(F.size(usual) > 0, usual).otherwise(F.slice("at", 1, 3))
+    return compare(ranked.select("fingerprint", F.explode(chosen).alias("at")).select("fingerprint", "at.key"), radius)
+
+
+def classes(docs: DataFrame, shingle: int, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """doc_id, text_hash, fingerprint (long), root (one per class), component_id per row of ``docs`` (doc_id, text; others are ignored).
+
+    Links are all within ``radius`` bits for a radius of 3 or less, and those that share a segment for a wider one.
+    """
+    marked = cut_lineage(fingerprints(docs, shingle, radius > RADIUS), "fingerprints")
+    nodes = cut_lineage(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least_doc")), "nodes")
+    links = wide_links(marked, radius, crowd) if radius > RADIUS else near_links(nodes.select("fingerprint"), radius, crowd)
+    linked = components(links).withColumnRenamed("node", "fingerprint")
+    rooted = nodes.join(linked, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    least = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
+    # a fingerprint that many documents share is split by AQE: the other side has one row for it
+    return marked.drop("segments").join(rooted.join(least, "root").select("fingerprint", "root", "component_id"), "fingerprint")
+
+
 def near_duplicates(docs: DataFrame, shingle: int, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """Per row of ``docs`` (doc_id, text; others are ignored): doc_id, fingerprint (16 hex digits), component_id.
 
@@ -214,12 +275,16 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int = RADIUS, crowd:
     have fingerprint zero and link like any others. A null doc_id takes part but is never a component_id unless
     its component has no other; repeated rows give repeated rows.
     """
-    marked = cut_lineage(fingerprints(docs, shingle), "fingerprints")
-    nodes = cut_lineage(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least_doc")), "nodes")
-    linked = components(near_links(nodes.select("fingerprint"), radius, crowd)).withColumnRenamed("node", "fingerprint")
-    rooted = nodes.join(linked, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    least = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    classes = rooted.join(least, "root").select("fingerprint", "component_id")
-    # a fingerprint that many documents share is split by AQE: the other side has one row for it
-    joined = marked.join(classes, "fingerprint")
+    joined = classes(docs, shingle, radius, crowd)
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, radius: int = WIDE, crowd: int = CROWD) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first of their class: smallest doc_id (null last), then text hash; repeated rows stay once."""
+    found = classes(docs, shingle, radius, crowd)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    heads = found.groupBy("root").agg(F.min(order).alias("head")).select(F.col("head.doc_id").alias("head_id"), F.col("head.text_hash").alias("head_hash")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key_id"), F.xxhash64("text").alias("key_hash"))
+    same = F.col("key_id").eqNullSafe(F.col("head_id")) & (F.col("key_hash") == F.col("head_hash"))
+    kept = rows.join(cut_lineage(heads, "heads"), same, "left_semi")
+    return kept.dropDuplicates(["key_id", "key_hash"]).select("row.*")
