@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm import bpe, chat, decontaminate, html_wrapper, langid, linetree, quality, simhash, warc
+from tablecheck.llm import bpe, chat, decontaminate, html_wrapper, langid, linetree, ngram_lm, quality, simhash, warc
 from tablecheck.llm.common import fold, read_table
 from tablecheck.session import cut_lineage
 
@@ -186,3 +186,14 @@ WITH i AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text
 SELECT doc_id, item_id, round(max(common / (size + n - common)), 6) AS similarity FROM v JOIN z USING (doc_id, text, item_id, n, start)
 WHERE common / (size + n - common) >= 0.8 GROUP BY doc_id, text, item_id
 """
+
+
+def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out, deleted = fold(F.col("doc_id"), 7) == 2, fold(F.col("doc_id"), 7) == 5
+    scored = ngram_lm.score(read_table(spark, sf_dir, "documents"), ~held_out, deleted)
+    return scored.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+QUERIES["op7_ngram_lm"] = op7_ngram_lm
