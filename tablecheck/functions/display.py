@@ -23,20 +23,29 @@ def _percent_decimals(fmt: Column) -> Column:
 
 
 def fixed(x: Column, places: Column, thousands: Column) -> Column:
-    """Fixed-point text, halves to even; whole numbers never show a negative zero."""
+    """Fixed-point text, halves to even; a small negative number keeps its sign except as a whole number."""
     text = F.call_function("format_number", x, places.cast("int"))
-    text = F.when((places == 0) & (text == "-0"), "0").otherwise(text)
+    whole = F.when(text == "-0", "0").otherwise(text)
+    signed = F.when((x < 0) & ~F.startswith(text, F.lit("-")), F.concat(F.lit("-"), text)).otherwise(text)
+    text = F.when(places == 0, whole).otherwise(signed)
     return F.when(thousands, text).otherwise(F.replace(text, F.lit(","), F.lit("")))
 
 
+def _without_zeros(text: Column) -> Column:
+    """Drops zeros at the end of a fraction, and a point that nothing follows; a whole number stays as it is."""
+    return F.when(F.contains(text, F.lit(".")), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
+
+
 def general(x: Column) -> Column:
-    """Natural form: integers plain, otherwise ten significant digits without trailing zeros."""
-    e = F.floor(F.log10(F.abs(x))).cast("int")
-    no_zeros = lambda t: F.rtrim(F.rtrim(t, F.lit("0")), F.lit("."))
-    plain = no_zeros(fixed(x, F.lit(GENERAL_DIGITS - 1) - e, F.lit(False)))
-    mantissa = no_zeros(fixed(x / F.pow(F.lit(10.0), e), F.lit(GENERAL_DIGITS - 1), F.lit(False)))
+    """Natural form: integers plain, otherwise ten significant digits without trailing zeros.
+
+    The exponent is that of the rounded number, so 9.99999999999e-05 is 0.0001.
+    """
+    rounded = F.split(F.format_string(f"%.{GENERAL_DIGITS - 1}e", x), "e")
+    e = rounded[1].cast("int")
+    plain = _without_zeros(fixed(x, F.greatest(F.lit(0), F.lit(GENERAL_DIGITS - 1) - e), F.lit(False)))
     exponent = F.concat(F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
-    scientific = F.concat(mantissa, F.lit("e"), exponent)
+    scientific = F.concat(_without_zeros(rounded[0]), F.lit("e"), exponent)
     whole = x.cast("decimal(38,0)").cast("string")
     return F.when(x == F.floor(x), whole).when((e < -4) | (e >= GENERAL_DIGITS), scientific).otherwise(plain)
 

@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_SAMPLE = 1024
 HOT_SEEN = 1024
+HOT_KEYS = 4096
+SALTS = 64
 
 
 def hot_keys(left: DataFrame, key: str, row_id: Column, sample: int = HOT_SAMPLE, seen: int = HOT_SEEN) -> DataFrame:
-    """Keys that very likely hold more than ``sample * seen`` rows.
+    """The heaviest keys, of those that very likely hold more than ``sample * seen`` rows.
 
-    A deterministic one-in-``sample`` subset is counted, so at most
-    ``rows / (sample * seen)`` keys come back.  The outcome decides only how
-    rows travel, never what the join returns.
+    A deterministic one-in-``sample`` subset is counted. At most ``HOT_KEYS`` keys come back, so the list can be
+    broadcast whatever the input; a key beyond them holds less than one row in ``HOT_KEYS``. The outcome decides only
+    how rows travel, never what the join returns.
     """
     picked = left.where(F.pmod(F.xxhash64(row_id), F.lit(sample)) == 0)
-    return picked.groupBy(key).count().where(F.col("count") >= seen).select(key)
+    counts = picked.groupBy(key).count().where(F.col("count") >= seen)
+    return counts.orderBy(F.desc("count"), key).limit(HOT_KEYS).select(key)
 
 
 def spread_join(
@@ -31,30 +34,27 @@ def spread_join(
 ) -> DataFrame:
     """Join ``left`` with ``right``, which has at most one row per ``key`` (a non-null string column).
 
-    Right rows of hot keys are few (see :func:`hot_keys`) and are broadcast.
-    Left rows answered that way get a private key, so the shuffle join that
-    serves all other rows sees no heavy key.  Returns the left columns plus the
+    Left rows of a hot key travel under one of ``SALTS`` salts, whether the key has a partner or not; its right row is
+    repeated once per salt. Each side is read once, besides the keys of ``left``. Returns the left columns plus the
     right columns in a struct named ``other`` (null when unmatched).
     ``keys_from`` may name a cheaper frame with the keys and row ids of ``left``.
     """
     value = F.struct(*[F.col(c) for c in right.columns if c != key])
-    packed = right.select(key, value.alias("other"))
-    hot = hot_keys(left if keys_from is None else keys_from, key, row_id, sample, seen)
-    hot_rows = packed.join(F.broadcast(hot), key, "left_semi").select(
-        F.col(key).alias("_hot_key"), F.col("other").alias("_hot_other")
-    )
-    marked = left.join(F.broadcast(hot_rows), F.col(key) == F.col("_hot_key"), "left")
-    travel = F.when(
-        F.col("_hot_key").isNotNull(), F.concat(F.lit("\x01"), row_id.cast("string"))
-    ).otherwise(F.col(key))
-    cold = packed.select(F.col(key).alias("_cold_key"), F.col("other").alias("_cold_other"))
-    joined = marked.withColumn("_travel", travel).join(cold, F.col("_travel") == F.col("_cold_key"), "left")
-    out = joined.withColumn("other", F.coalesce("_hot_other", "_cold_other"))
-    if how == "inner":
-        out = out.where(F.col("_hot_key").isNotNull() | F.col("_cold_key").isNotNull())
-    elif how == "left_anti":
-        return out.where(F.col("_hot_key").isNull() & F.col("_cold_key").isNull()).select(*left.columns)
-    return out.select(*left.columns, "other")
+    found = hot_keys(left if keys_from is None else keys_from, key, row_id, sample, seen)
+    hot = F.broadcast(found.select(F.col(key).alias("_spread_hot")))
+    is_hot = F.col("_spread_hot").isNotNull()
+    salted = lambda k, salt: F.concat(k, F.lit("\x01"), salt.cast("string"))
+    travel = F.when(is_hot, salted(F.col(key), F.pmod(F.xxhash64(row_id), F.lit(SALTS)))).otherwise(F.col(key))
+    marked = left.join(hot, F.col(key) == F.col("_spread_hot"), "left").withColumn("_spread_travel", travel).drop("_spread_hot")
+    salts = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda n: salted(F.col(key), n))
+    copies = F.broadcast(found.select(F.col(key).alias("_spread_hot"), F.explode(salts).alias("_spread_copy")))
+    packed = right.select(F.col(key).alias("_spread_key"), value.alias("other"))
+    packed = packed.join(copies, F.col("_spread_key") == F.col("_spread_hot"), "left")
+    packed = packed.select("_spread_key", "other", F.coalesce("_spread_copy", "_spread_key").alias("_spread_right"))
+    same = (F.col("_spread_travel") == F.col("_spread_right")) & (F.col(key) == F.col("_spread_key"))
+    if how == "left_anti":
+        return marked.join(packed.drop("other"), same, "left_anti").select(*left.columns)
+    return marked.join(packed, same, how).select(*left.columns, "other")
 
 
 def composite_key(*cols: Column) -> Column:

@@ -84,22 +84,40 @@ def test_score_band_and_pct(spark):
         assert (r.b, r.p) == (r.band, r.pct)
 
 
-def python_display(x, fmt):
-    """The stated rules, value by value."""
-    if "%" in fmt:
-        d = len(fmt.split(".")[-1].rstrip("%")) if "." in fmt else 0
-        return f"{int(round(x * 100))}%" if d == 0 else f"{round(x * 100, d):.{d}f}%"
-    if fmt == "General":
-        return str(int(x)) if x == int(x) else f"{x:.10g}"
-    d = min(len(fmt.split(".")[-1].split(";")[0].rstrip(")%")), 10) if "." in fmt else 0
-    if d == 0:
-        return f"{int(round(x)):,}" if "," in fmt else str(int(round(x)))
-    return f"{round(x, d):,.{d}f}" if "," in fmt else f"{round(x, d):.{d}f}"
+#: Worked out by hand: value, format, what is shown.
+SHOWN = [
+    (0.0, "General", "0"), (-1.0, "General", "-1"), (3.14, "General", "3.14"), (5923912.0, "General", "5923912"),
+    (1234567890.4, "General", "1234567890"), (1000000000.5, "General", "1000000000"), (12345678901.25, "General", "1.23456789e+10"),
+    (0.5, "General", "0.5"), (0.00001234567, "General", "1.234567e-05"), (9.99999999999e-05, "General", "0.0001"), (9.99999999999, "General", "10"),
+    (0.125, "0%", "12%"), (0.125, "0.00%", "12.50%"), (1.0, "0%", "100%"),
+    (5923912.0, "#,##0", "5,923,912"), (1234567.891, "#,##0.00", "1,234,567.89"), (1234567.891, "#,##0.0;(#,##0.0)", "1,234,567.9"),
+    (3.14, "0.000", "3.140"), (2.5, "0", "2"), (3.5, "0", "4"), (-0.3, "0", "0"), (-0.001, "0.00", "-0.00"), (12345678901.25, "0.0", "12345678901.2"),
+]
 
 
 def test_display_numbers(spark):
-    fmts = ["General", "0%", "0.00%", "#,##0", "#,##0.00", "0.000", "#,##0.0;(#,##0.0)", "0"]
-    xs = [0.0, 1.0, -1.0, 3.14, 5923912.0, 0.125, 2.5, 3.5, -0.3, -0.001, 1234567.891, 12345678901.25, 0.00001234567, 9.99999999999, 0.5]
-    df = spark.createDataFrame([(x, f) for x in xs for f in fmts], "x double, f string")
+    df = spark.createDataFrame(SHOWN, "x double, f string, shown string")
     for r in df.select("*", display.display_number(F.col("x"), F.col("f")).alias("d")).collect():
-        assert r.d == python_display(r.x, r.f), (r.x, r.f)
+        assert r.d == r.shown, (r.x, r.f)
+
+
+REPLIES = [
+    ("a", "a"), ("  {1} \n", "{1}"), ("```json\n{1}\n```", "{1}"), ("say ```\n{1}``` and ```two```", "{1}"), ("``` open", "``` open"), ("```json{1}```", "{1}"),
+]
+
+
+def test_fences(spark):
+    df = spark.createDataFrame(REPLIES, "t string, want string")
+    assert all(r.got == r.want for r in df.select("*", rp.strip_fences(F.col("t")).alias("got")).collect())
+
+
+NUMBERED = [
+    ("(1) a (2) b", ["a", "b"]), ("x (1) a", ["x", "a"]), ("1. a\n2) b", ["a", "b"]), ("only 1. a", []), ("1.5 is\n2.5 too", []), ("", []),
+    ("  1. a\n\n 12. b\nc", ["a", "b\nc"]),
+]
+
+
+def test_numbered_parts(spark):
+    df = spark.createDataFrame(NUMBERED, "t string, want array<string>")
+    for r in df.select("*", rp.split_numbered(F.col("t")).alias("got")).collect():
+        assert r.got == r.want, r.t

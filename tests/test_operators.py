@@ -40,6 +40,27 @@ def test_spread_join_moves_hot_rows_apart(spark):
     assert sum(sizes) == 9000 and max(sizes) < 3000
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+@pytest.mark.parametrize("partner", [True, False])
+def test_hot_key_is_spread_with_and_without_partner(spark, how, partner):
+    rows = [(i, "hot" if i % 20 else f"k{i}") for i in range(20000)]
+    left = spark.createDataFrame(rows, "id long, k string")
+    right = spark.createDataFrame([("hot" if partner else "other", 1)] + [(f"k{i}", i) for i in range(0, 20000, 40)], "k string, v int")
+    out = spread_join(left, right, "k", F.col("id"), how, sample=4, seen=100)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    hot, cold = 19000, 1000
+    want = {"inner": hot * partner + cold // 2, "left": hot + cold, "left_anti": hot * (not partner) + cold // 2}[how]
+    assert sum(sizes) == want
+    if want > hot:
+        assert max(sizes) < 2 * want / 8
+
+
 def test_key_join_keeps_null_keys(spark):
     left = spark.createDataFrame([(1, None, "a"), (2, "x", None), (3, "x", "a")], "id long, p string, q string")
     right = spark.createDataFrame([(None, "a", 10), ("x", None, 20)], "p string, q string, v int")
@@ -138,32 +159,28 @@ def test_compare_corpus(spark):
     assert got == {"p": (10, 9, 0, 1), "q": (1, 1, 1, 0)}
 
 
-def plain_greedy(src, gen, name_w, set_w, accept):
-    used, out = set(), []
-    for s, sv in src:
-        best, best_g = 0.0, None
-        for g, gv in gen:
-            if g in used:
-                continue
-            score = SequenceMatcher(None, s.lower(), g.lower()).ratio() * name_w + len(sv & gv) / max(len(sv | gv), 1) * set_w
-            if score > best:
-                best, best_g = score, g
-        if best_g and best >= accept:
-            used.add(best_g)
-            out.append((s, best_g, best))
-    return out
+def _pair_score(a, b, name_weight, set_weight):
+    (s, sv), (g, gv) = a, b
+    return name_weight * SequenceMatcher(None, s.lower(), g.lower()).ratio() + set_weight * len(sv & gv) / max(len(sv | gv), 1)
 
 
-def test_greedy_pruning_changes_nothing():
+def test_no_pair_can_be_bettered():
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcde_") for _ in range(rnd.randint(2, 9)))
     for _ in range(200):
         src = [(f"{word()}{i}", set(rnd.sample(range(20), 5))) for i in range(6)]
         gen = [(f"{word()}{i}", set(rnd.sample(range(20), 5))) for i in range(6)]
-        got = [(a, b, s) for a, b, s, _ in mt._greedy(src, gen, 0.3, 0.6, 0.4)]
-        want = plain_greedy(src, gen, 0.6, 0.4, 0.3)
-        assert [x[:2] for x in got] == [x[:2] for x in want]
-        assert all(abs(x[2] - y[2]) < 1e-12 for x, y in zip(got, want))
+        got = {a: (b, s) for a, b, s, _ in mt._greedy(src, gen, 0.3, 0.6, 0.4)}
+        assert len({b for b, _ in got.values()}) == len(got)
+        free = dict(gen)
+        for name, values in src:
+            scores = {g: _pair_score((name, values), (g, gv), 0.6, 0.4) for g, gv in free.items()}
+            if name not in got:
+                assert max(scores.values(), default=0) < 0.3
+                continue
+            target, score = got[name]
+            assert abs(scores[target] - score) < 1e-12 and score >= 0.3 and score >= max(scores.values()) - 1e-12
+            del free[target]
 
 
 def test_map_columns_on_renamed_table(spark):
@@ -194,36 +211,39 @@ def test_truncation(spark, n, kinds):
     assert pos == (list(range(500)) if n == 500 else list(range(100)) + list(range(451, 501)))
 
 
-def loop_sections(text):
-    """Walk the lines as a reader would."""
-    lines = text.strip(" \t\r\n").split("\n")
-    if len(lines) < 3:
-        return []
-    out, start, label = [], 1, ""
-    for i, line in enumerate(lines[1:], 2):
-        parts = [c.strip() for c in line.split(",")]
-        if all(c in ("", '""') for c in parts) and start < i:
-            out.append((start, i - 1, label or "Data block"))
-            start, label = i + 1, ""
-        elif i == start:
-            wordy = sum(1 for c in parts if c and not c.replace(".", "").replace("-", "").isdigit())
-            if wordy > len(parts) * 0.6:
-                label = line.split(",")[0].strip().strip('"')[:50]
-    if start < len(lines):
-        out.append((start, len(lines), label or "Data block"))
-    return out
-
-
-def test_sections_against_loop(spark):
+#: Worked out by hand: text, its sections (first line, last line, label).
+SECTIONS = [
+    ("Head,Line,x\n1,2,3\n4,5,6", [(1, 3, "Data block")]),
+    ("a,b\n1,2\n,\nHead,Line\n3,4", [(1, 2, "Data block"), (4, 5, "Head")]),
+    ('a,b\n1,2\n, ,""\n"Quoted title",b\n3,4\n5,6', [(1, 2, "Data block"), (4, 6, "Quoted title")]),
+    ("a,b\n1,2\n,\n1.5,-2\n3,4", [(1, 2, "Data block"), (4, 5, "Data block")]),
+    ("one\ntwo", []),
+]
+
+
+def test_sections_by_hand(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SECTIONS)], "id int, text string")
+    got = {}
+    for r in cx.sections(df, "id", "text").collect():
+        got.setdefault(r.id, []).append((r.start, r.end, r.label))
+    assert {i: sorted(v) for i, v in got.items()} == {i: w for i, (_, w) in enumerate(SECTIONS) if w}
+
+
+def test_sections_lie_apart_and_hold_no_blank_row(spark):
     rnd = random.Random(11)
     kinds = ["", ', ,""', "Head,Line,x", "1.5,-2,3", "Head,2,3", '"Quoted title",b', " "]
-    texts = ["\n".join(rnd.choice(kinds) for _ in range(rnd.randint(1, 12))) for _ in range(400)]
+    texts = ["h\n" + "\n".join(rnd.choice(kinds) for _ in range(rnd.randint(2, 12))) + "\nz" for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     got = {}
     for r in cx.sections(df, "id", "text").collect():
-        got.setdefault(r.id, []).append((r.start, r.end, r.label))
+        got.setdefault(r.id, []).append((r.start, r.end))
+    blank = lambda line: all(c.strip() in ("", '""') for c in line.split(","))
     for i, t in enumerate(texts):
-        assert sorted(got.get(i, [])) == loop_sections(t), repr(t)
+        lines, last = t.split("\n"), 0
+        for start, end in sorted(got.get(i, [])):
+            assert last < start <= end <= len(lines)
+            assert not any(blank(x) for x in lines[start:end])
+            last = end
 
 
 def test_median_and_representative(spark):
