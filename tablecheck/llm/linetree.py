@@ -58,7 +58,7 @@ def parsed(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
 
 def recurring(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, max_shared: float = MAX_SHARED) -> tuple[DataFrame, DataFrame]:
     """The recurring templates (template, documents), and doc_id, text_hash, dropped (array of templates) of the documents that have any."""
-    rows = parsed(docs, depth, min_tokens)
+    rows = cut_lineage(parsed(docs, depth, min_tokens), "line-parsed")  # texts are parsed once; hashes are small
     every = rows.select(F.explode(F.array_distinct(F.flatten("lines.keys"))).alias("template"))
     frequent = cut_lineage(every.groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("template"), "line-frequent")
     apart = rows.select("doc_id", "text_hash", "size", F.posexplode("lines").alias("line", "at")).select(
