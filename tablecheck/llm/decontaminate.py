@@ -27,21 +27,15 @@ SEPARATOR = "[^\\p{L}\\p{M}\\p{N}]+"
 LOW = 0x0000000100000001
 
 
-def tail(array: Column, first: int) -> Column:
-    return F.slice(array, first, F.greatest(F.lit(0), F.size(array) - (first - 1)))
+def word_list(text: Column) -> Column:
+    """A text's words: runs of letters, marks and digits in lower case."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR), "")
 
 
-def word_hashes(text: Column) -> Column:
-    """Hashes of a text's words: runs of letters, marks and digits in lower case."""
-    return F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR), ""), lambda w: F.xxhash64(w))
-
-
-def shingles(hashed: Column, size: int) -> Column:
+def shingles(words: Column, size: int) -> Column:
     """Hash of every window of ``size`` words, in order."""
-    made = hashed
-    for k in range(2, size + 1):
-        made = F.zip_with(F.slice(made, 1, F.greatest(F.lit(0), F.size(hashed) - (k - 1))), tail(hashed, k), lambda a, b: F.xxhash64(a, b))
-    return made
+    starts = F.slice(words, 1, F.greatest(F.lit(0), F.size(words) - (size - 1)))
+    return F.transform(starts, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, size)]))
 
 
 def simhash(window: Column) -> Column:
@@ -66,8 +60,9 @@ def block(fingerprint: str, k: int) -> Column:
 
 def items_of(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """item_id, k (words in a shingle), shingles, n, fingerprint of every item with a word. Items of fewer than ``shingle`` words are one shingle."""
-    rows = benchmark.select("item_id", word_hashes(F.col("text")).alias("hashed")).filter(F.size("hashed") > 0)
-    by_size = [rows.filter(F.size("hashed") >= k if k == shingle else F.size("hashed") == k).select("item_id", F.lit(k).alias("k"), shingles(F.col("hashed"), k).alias("shingles")) for k in range(1, shingle + 1)]
+    rows = benchmark.select("item_id", word_list(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    fits = lambda k: F.size("words") >= k if k == shingle else F.size("words") == k
+    by_size = [rows.filter(fits(k)).select("item_id", F.lit(k).alias("k"), shingles(F.col("words"), k).alias("shingles")) for k in range(1, shingle + 1)]
     rows = reduce(DataFrame.unionByName, by_size).distinct()
     return rows.withColumn("n", F.size("shingles")).withColumn("fingerprint", simhash(F.col("shingles")))
 
@@ -83,10 +78,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     items = cut_lineage(items_of(benchmark, shingle), "items")
     sizes = [r.k for r in items.select("k").distinct().collect()]  # five values at most
     index = items.select("item_id", "k", "n", F.explode(F.array_distinct("shingles")).alias("shingle"))
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_list(F.col("text")).alias("words"))
     hits = []
     for k in sizes:
-        placed = base.select("doc_id", "text_hash", F.posexplode(shingles(word_hashes(F.col("text")), k)).alias("pos", "shingle"))
+        placed = base.select("doc_id", "text_hash", F.posexplode(shingles(F.col("words"), k)).alias("pos", "shingle"))
         hits.append(placed.join(index.filter(F.col("k") == k), "shingle").select("doc_id", "text_hash", "pos", "item_id", "k", "n"))
     schema = "doc_id bigint, text_hash bigint, pos int, item_id bigint, k int, n int"
     hits = reduce(DataFrame.unionByName, hits) if hits else docs.sparkSession.createDataFrame([], schema)
@@ -96,7 +91,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     near = []
     for k in sizes:
         same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
-        rows = base.join(anchors.filter(F.col("k") == k), same).select("doc_id", "text_hash", "hits", shingles(word_hashes(F.col("text")), k).alias("all"))
+        texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+        rows = texts.join(anchors.filter(F.col("k") == k), same).withColumn("words", word_list(F.col("text"))).select("doc_id", "text_hash", "hits", shingles(F.col("words"), k).alias("all"))
         start = lambda h: F.least(h["pos"], F.greatest(F.lit(0), F.size("all") - h["n"]))
         starts = F.array_distinct(F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), start(h).alias("start"), h["n"].alias("n"))))
         rows = rows.select("doc_id", "text_hash", "all", F.explode(starts).alias("w"))
