@@ -12,7 +12,6 @@ PREFIXED_FUNCTIONS = [
     "TEXTAFTER", "VALUETOTEXT", "ARRAYTOTEXT", "CONCAT", "IFS", "SWITCH", "MINIFS", "MAXIFS", "TEXTJOIN",
 ]
 PREFIX = "_xlfn."
-EXAMPLE_CHARS = 80
 
 _REF_RE = r"'((?:[^']|'')+)'!|(?<![\p{L}\p{N}_.'])([\p{L}\p{N}_.]+)!"
 

@@ -21,9 +21,11 @@ def positions(
     A window over a whole table would run in one task.  Rows are ranked inside
     fixed slices of the order column, and slice sizes are summed in two bounded
     levels, so no window frame exceeds ``chunk`` or ``fan`` rows for a dense order.
+    Rows without an order value come last, in a slice of their own.
     """
     keys = list(keys or [])
-    sliced = df.withColumn("_c", F.floor(F.col(order) / chunk))
+    last = F.lit((1 << 62) // chunk)
+    sliced = df.withColumn("_c", F.coalesce(F.floor(F.col(order) / chunk), last))
     sizes = sliced.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_s", F.floor(F.col("_c") / fan))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
@@ -39,7 +41,7 @@ def positions(
         .join(top, [*keys, "_s"])
         .select(*keys, "_c", (F.col("_off") + F.col("_base")).alias("_start"))
     )
-    ranked = sliced.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_c").orderBy(order)))
+    ranked = sliced.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_c").orderBy(F.col(order).asc_nulls_last())))
     return (
         ranked.join(offsets, [*keys, "_c"])
         .withColumn(out, (F.col("_start") + F.col("_rn") - 1).cast("bigint"))

@@ -120,7 +120,12 @@ def merge_runs(runs: DataFrame, keys: list[str] = ["case_id", "dimension"], keep
     Scores are 0-4, so five counts and the earliest run of each score are all an
     aggregate needs: the state of a review is bounded, combines before the
     shuffle, and gives the median, the nearest run and the list in the note.
+    A score outside 0-4 is no score, and its run's status is ``error``.
     """
+    valid = F.col("score").between(0, MAX_SCORE)
+    if "status" in runs.columns:
+        runs = runs.withColumn("status", F.when(F.col("score").isNotNull() & ~valid, "error").otherwise(F.col("status")))
+    runs = runs.withColumn("score", F.when(valid, F.col("score")))
     present = [c for c in keep if c in runs.columns]
     one = F.struct("run", *present)
     counted = runs.groupBy(*keys).agg(

@@ -4,14 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablecheck.functions.formula import EXAMPLE_CHARS, is_error_value, sheet_refs, shown_formula, uses_indirect
+from tablecheck.functions.formula import is_error_value, sheet_refs, shown_formula, uses_indirect
 from tablecheck.operators.rownum import first_n, first_per_key
 
-ERROR_LINES = 20
-MAX_COLORS = 20
-MAX_RULES = 50
-MAX_MERGED = 30
-STYLE_ROWS = 100
 NO_COLOR = "00000000"
 
 
@@ -28,21 +23,26 @@ def join_values(texts: DataFrame, values: DataFrame) -> DataFrame:
     return texts.join(values.select(*on, "computed_value"), on, "left")
 
 
-def formula_stats(found: DataFrame) -> DataFrame:
-    """Per case: totals and the first error lines.
+def formula_stats(found: DataFrame, cases: DataFrame | None = None, lines: int | None = None) -> DataFrame:
+    """Per case: totals and the error lines, all of them or the first ``lines``.
 
-    Lines are limited per case before they are gathered.
+    ``cases`` (case_id) names cases that may have no formula; they come with zeros.
     """
     totals = found.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("total_formulas"), F.count_if("has_error").alias("formula_errors")
     )
     line = F.concat("sheet", F.lit("!"), "coord", F.lit(": "), "shown", F.lit(" → "), "computed_value")
     errors = found.where("has_error").withColumn("line", line)
-    errors = first_n(errors, ["case_id"], ["sheet_idx", "row_idx", "col_idx"], ERROR_LINES)
-    lists = errors.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rn", "line"))).alias("e"))
+    order = ["sheet_idx", "row_idx", "col_idx"]
+    if lines is not None:
+        errors = first_n(errors, ["case_id"], order, lines)
+    lists = errors.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct(*order, "line"))).alias("e"))
     out = totals.join(lists, "case_id", "left")
+    if cases is not None:
+        out = cases.select("case_id").distinct().join(out, "case_id", "left")
     text = F.array_join(F.transform("e", lambda x: x["line"]), "\n")
-    return out.select("case_id", "total_formulas", "formula_errors", F.coalesce(text, F.lit("")).alias("error_details"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("case_id", none("total_formulas"), none("formula_errors"), F.coalesce(text, F.lit("")).alias("error_details"))
 
 
 def cross_sheet_refs(found: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -57,22 +57,17 @@ def cross_sheet_refs(found: DataFrame, sheets: DataFrame) -> DataFrame:
     first = first_per_key(named, ["case_id", "sheet", "target"], ["row_idx", "col_idx"])
     known = sheets.select("case_id", F.col("sheet").alias("target")).distinct()
     first = first.join(known, ["case_id", "target"], "left_semi")
-    return first.select("case_id", "sheet", "target", "coord", F.left("formula", F.lit(EXAMPLE_CHARS)).alias("example"))
+    return first.select("case_id", "sheet", "target", "coord", F.col("formula").alias("example"))
 
 
 def first_indirect(found: DataFrame) -> DataFrame:
     hits = found.where(F.startswith("formula", F.lit("=")) & uses_indirect(F.col("formula")))
     first = first_per_key(hits, ["case_id", "sheet"], ["row_idx", "col_idx"])
-    return first.select("case_id", "sheet", "coord", F.left("formula", F.lit(EXAMPLE_CHARS)).alias("example"))
+    return first.select("case_id", "sheet", "coord", F.col("formula").alias("example"))
 
 
 def visible_styles(styles: DataFrame) -> DataFrame:
-    return styles.where(~F.col("hidden") & (F.col("row_idx") <= STYLE_ROWS))
-
-
-def _joined(df: DataFrame, value: str, out: str, sep: str = ",") -> DataFrame:
-    lines = F.array_sort(F.collect_list(F.struct("rn", value)))
-    return df.groupBy("case_id").agg(F.array_join(F.transform(lines, lambda x: x[value]), sep).alias(out))
+    return styles.where(~F.col("hidden"))
 
 
 def fonts_used(styles: DataFrame) -> DataFrame:
@@ -87,30 +82,32 @@ def fonts_used(styles: DataFrame) -> DataFrame:
 
 
 def color_palette(styles: DataFrame) -> DataFrame:
-    """First colours in order, transparent black left out."""
+    """All colours in order, transparent black left out."""
     colors = visible_styles(styles).select("case_id", F.explode(F.array("font_color", "fill_color")).alias("color"))
     colors = colors.where(F.col("color").isNotNull() & (F.col("color") != NO_COLOR)).distinct()
-    return _joined(first_n(colors, ["case_id"], ["color"], MAX_COLORS), "color", "colors")
+    return colors.groupBy("case_id").agg(F.array_join(F.sort_array(F.collect_set("color")), ",").alias("colors"))
 
 
 def layout_lists(layout: DataFrame) -> DataFrame:
-    """Conditional rules and merged ranges, counted whole and listed up to their caps; frozen panes."""
+    """Conditional rules, merged ranges and frozen panes, counted and listed whole."""
     counts = layout.groupBy("case_id").agg(
         F.count_if(F.col("kind") == "rule").alias("rule_count"),
         F.count_if(F.col("kind") == "merged").alias("merged_count"),
         F.count_if(F.col("kind") == "freeze").alias("frozen_count"),
     )
-    top = first_n(layout, ["case_id", "kind"], ["sheet", "ord"], MAX_RULES)
-    item = F.concat("sheet", F.lit("!"), "item")
-    keep = (F.col("kind") != "merged") | (F.col("rn") <= MAX_MERGED)
-    lists = top.where(keep).withColumn("item", item).groupBy("case_id", "kind").agg(
-        F.array_sort(F.collect_list(F.struct("rn", "item"))).alias("l")
-    )
-    text = lambda k: F.max(F.when(F.col("kind") == k, F.array_join(F.transform("l", lambda x: x["item"]), ",")))
+    named = layout.withColumn("name", F.concat("sheet", F.lit("!"), "item"))
+    lists = named.groupBy("case_id", "kind").agg(F.sort_array(F.collect_list(F.struct("sheet", "ord", "name"))).alias("l"))
+    text = lambda k: F.max(F.when(F.col("kind") == k, F.array_join(F.transform("l", lambda x: x["name"]), ",")))
     texts = lists.groupBy("case_id").agg(text("rule").alias("rules"), text("merged").alias("merged"), text("freeze").alias("frozen"))
     return counts.join(texts, "case_id")
 
 
+def formatting(styles: DataFrame, layout: DataFrame) -> DataFrame:
+    """Fonts, colours and layout of every workbook of ``styles``; one without layout items has counts of zero."""
+    out = fonts_used(styles).join(color_palette(styles), "case_id", "left").join(layout_lists(layout), "case_id", "left")
+    return out.na.fill(0, ["rule_count", "merged_count", "frozen_count"])
+
+
 def bold_header(styles: DataFrame) -> DataFrame:
     return styles.where("NOT hidden").groupBy("case_id").agg(
         F.bool_or(F.col("bold") & (F.col("row_idx") <= 3)).alias("has_bold_headers")

@@ -312,17 +312,8 @@ TABLES = ["orders", "events", "customer", "part", "supplier", "nation", "lineite
 
 
 def source_text(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """FROM item for a driver table.
-
-    A table stored as fewer splits than there are cores is spread first, because
-    the fixtures multiply its rows; a table of normal size is read as it is.
-    """
-    path = f"parquet.`{sf_dir}/{name}.parquet`"
-    cores = spark.sparkContext.defaultParallelism
-    splits = table(spark, sf_dir, name)._jdf.queryExecution().toRdd().getNumPartitions()
-    if splits >= cores:
-        return path
-    return f"(SELECT /*+ REPARTITION({cores}) */ * FROM {path})"
+    """FROM item for a driver table, spread because the fixtures multiply its rows."""
+    return f"(SELECT /*+ REPARTITION({spark.conf.get('spark.sql.shuffle.partitions')}) */ * FROM parquet.`{sf_dir}/{name}.parquet`)"
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

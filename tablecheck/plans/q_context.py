@@ -185,7 +185,7 @@ def facts(spark, sf):
 
     def formatting():
         styles, layout = fixture(spark, sf, "f7"), fixture(spark, sf, "f7_layout")
-        return wb.fonts_used(styles).join(wb.color_palette(styles), "case_id", "left").join(wb.layout_lists(layout), "case_id")
+        return wb.formatting(styles, layout)
 
     out = Facts({
         "sheets": lambda: sheet_texts(spark, sf).where("NOT hidden"),

@@ -41,13 +41,13 @@ def j_formula_value(spark, sf):
 
 
 @query("agg_formula_stats", _F6 + """
-SELECT case_id, total_formulas, formula_errors, coalesce(error_details, '') AS error_details
-FROM (SELECT case_id, count(*) AS total_formulas, count(*) FILTER (WHERE has_error) AS formula_errors FROM fo GROUP BY case_id) a LEFT JOIN (
+SELECT case_id, coalesce(total_formulas, 0) AS total_formulas, coalesce(formula_errors, 0) AS formula_errors, coalesce(error_details, '') AS error_details
+FROM (SELECT DISTINCT case_id FROM f6) every LEFT JOIN (SELECT case_id, count(*) AS total_formulas, count(*) FILTER (WHERE has_error) AS formula_errors FROM fo GROUP BY case_id) a USING (case_id) LEFT JOIN (
   SELECT case_id, string_agg(sheet || '!' || coord || ': ' || shown || ' → ' || computed_value, chr(10) ORDER BY sheet_idx, row_idx, col_idx) AS error_details
-  FROM (SELECT * FROM fo WHERE has_error QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY sheet_idx, row_idx, col_idx) <= 20) t GROUP BY case_id) b USING (case_id)""")
+  FROM (SELECT * FROM fo WHERE has_error) t GROUP BY case_id) b USING (case_id)""")
 def agg_formula_stats(spark, sf):
-    """Formula and error counts with the first twenty error lines."""
-    return wb.formula_stats(_formulas(spark, sf))
+    """Formula and error counts with all error lines, for every case."""
+    return wb.formula_stats(_formulas(spark, sf), fixture(spark, sf, "f6"))
 
 
 _REFS = _F6 + """
@@ -64,8 +64,8 @@ def j_cross_sheet(spark, sf):
 
 
 @query("w_first_crossref", _REFS + """
-SELECT case_id, sheet, target, coord, left(formula, 80) AS example FROM hit
-UNION ALL SELECT case_id, sheet, 'INDIRECT' AS target, coord, left(formula, 80) FROM fo WHERE starts_with(formula, '=') AND contains(upper(formula), 'INDIRECT(')
+SELECT case_id, sheet, target, coord, formula AS example FROM hit
+UNION ALL SELECT case_id, sheet, 'INDIRECT' AS target, coord, formula FROM fo WHERE starts_with(formula, '=') AND contains(upper(formula), 'INDIRECT(')
 QUALIFY row_number() OVER (PARTITION BY case_id, sheet ORDER BY row_idx, col_idx) = 1""")
 def w_first_crossref(spark, sf):
     """First example per sheet pair, and the first indirect reference of every sheet."""
@@ -94,27 +94,23 @@ def f_named_range(spark, sf):
     return n.select("name", fm.name_scope(F.col("destinations"), F.col("attr_text")).alias("scope"), fm.name_broken(F.col("attr_text")).alias("broken"))
 
 
-_VISIBLE = with_fixtures("f7", "f7_layout") + ", v AS (SELECT * FROM f7 WHERE NOT hidden AND row_idx <= 100)\n"
+_VISIBLE = with_fixtures("f7", "f7_layout") + ", v AS (SELECT * FROM f7 WHERE NOT hidden)\n"
 
 
 @query("agg_formatting", _VISIBLE + """
 , fo AS (SELECT case_id, coalesce(string_agg(DISTINCT font_name, ',' ORDER BY font_name) FILTER (WHERE font_scheme IS NULL), min(font_name), '') AS fonts FROM v GROUP BY case_id)
 , co AS (SELECT case_id, string_agg(color, ',' ORDER BY color) AS colors FROM (
     SELECT DISTINCT case_id, color FROM (SELECT case_id, font_color AS color FROM v UNION ALL SELECT case_id, fill_color FROM v) a
-    WHERE color IS NOT NULL AND color <> '00000000') b WHERE true AND color IN (SELECT color FROM (
-      SELECT case_id AS c2, color, row_number() OVER (PARTITION BY case_id ORDER BY color) AS rn FROM (
-        SELECT DISTINCT case_id, color FROM (SELECT case_id, font_color AS color FROM v UNION ALL SELECT case_id, fill_color FROM v) c
-        WHERE color IS NOT NULL AND color <> '00000000') d) e WHERE rn <= 20 AND c2 = b.case_id) GROUP BY case_id)
-, li AS (SELECT case_id, kind, count(*) AS n, string_agg(sheet || '!' || item, ',' ORDER BY sheet, ord) FILTER (WHERE rn <= CASE kind WHEN 'merged' THEN 30 ELSE 50 END) AS l
-    FROM (SELECT *, row_number() OVER (PARTITION BY case_id, kind ORDER BY sheet, ord) AS rn FROM f7_layout) t GROUP BY ALL)
-SELECT fo.case_id, fonts, colors, max(n) FILTER (WHERE kind = 'rule') AS rule_count, max(n) FILTER (WHERE kind = 'merged') AS merged_count,
-       max(n) FILTER (WHERE kind = 'freeze') AS frozen_count, max(l) FILTER (WHERE kind = 'rule') AS rules, max(l) FILTER (WHERE kind = 'merged') AS merged,
+    WHERE color IS NOT NULL AND color <> '00000000') b GROUP BY case_id)
+, li AS (SELECT case_id, kind, count(*) AS n, string_agg(sheet || '!' || item, ',' ORDER BY sheet, ord) AS l FROM f7_layout GROUP BY ALL)
+SELECT fo.case_id, fonts, colors, coalesce(max(n) FILTER (WHERE kind = 'rule'), 0) AS rule_count, coalesce(max(n) FILTER (WHERE kind = 'merged'), 0) AS merged_count,
+       coalesce(max(n) FILTER (WHERE kind = 'freeze'), 0) AS frozen_count, max(l) FILTER (WHERE kind = 'rule') AS rules, max(l) FILTER (WHERE kind = 'merged') AS merged,
        max(l) FILTER (WHERE kind = 'freeze') AS frozen
-FROM fo LEFT JOIN co USING (case_id) JOIN li USING (case_id) GROUP BY ALL""")
+FROM fo LEFT JOIN co USING (case_id) LEFT JOIN li USING (case_id) GROUP BY ALL""")
 def agg_formatting(spark, sf):
     """Fonts, colours, rules, merged ranges and frozen panes of every workbook."""
     styles, layout = fixture(spark, sf, "f7"), fixture(spark, sf, "f7_layout")
-    return wb.fonts_used(styles).join(wb.color_palette(styles), "case_id", "left").join(wb.layout_lists(layout), "case_id")
+    return wb.formatting(styles, layout)
 
 
 @query("agg_bold_header", with_fixtures("f7") + "SELECT case_id, bool_or(bold AND row_idx <= 3) AS has_bold_headers FROM f7 WHERE NOT hidden GROUP BY case_id")

@@ -22,11 +22,8 @@ SPREADSHEET_RE = r"\.(xlsx|xls|xlsm)$"
 
 
 def _load(text: str) -> dict:
-    """YAML where the library is there; JSON, a subset of it, otherwise."""
-    try:
-        import yaml
-    except ImportError:
-        return json.loads(text)
+    import yaml
+
     return yaml.safe_load(text) or {}
 
 
@@ -55,6 +52,8 @@ def _case(path: str, text: str) -> dict:
 
 def load_cases(spark: SparkSession, root: str, pattern: str = "case.yaml") -> DataFrame:
     """All case descriptions below ``root`` in path order; unreadable ones carry an ``error``."""
+    import yaml  # noqa: F401  # missing here, not in every case
+
     texts = spark.read.text(root, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
     texts = texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablecheck.functions.formula import sheet_refs
-from tablecheck.operators import context as cx, matching as mt, reconcile as rc, scoring as so, sheets as sh
+from tablecheck.operators import context as cx, matching as mt, reconcile as rc, scoring as so, sheets as sh, workbook as wb
 from tablecheck.operators.rownum import positions
 from tablecheck.operators.skew import key_join, spread_join
 from tablecheck.sources import cases as ca, files as fs
@@ -268,6 +268,26 @@ def test_median_and_representative(spark):
             assert r.feedback == f"f{best + 1}"
 
 
+def test_scores_out_of_range_are_errors(spark):
+    rows = [("c", "relevance", 1, 5, "success", "a"), ("c", "relevance", 2, 5, "success", "b"), ("d", "relevance", 1, 7, "success", "x"), ("d", "relevance", 2, 3, "success", "y")]
+    df = spark.createDataFrame(rows, "case_id string, dimension string, run int, score int, status string, feedback string")
+    got = {r.case_id: (r.score, r.representative_run, r.status, r.feedback) for r in so.merge_runs(df).collect()}
+    assert got == {"c": (None, 1, "error", "a"), "d": (3, 2, "success", "y")}
+
+
+def test_positions_keep_rows_without_order_value(spark):
+    df = spark.createDataFrame([(5,), (None,), (1,), (None,)], "i long")
+    assert sorted((r.pos, r.i) for r in positions(df, "i", chunk=2, fan=2).collect() if r.i) == [(0, 1), (1, 5)]
+    assert sorted(r.pos for r in positions(df, "i", chunk=2, fan=2).collect()) == [0, 1, 2, 3]
+
+
+def test_workbook_without_layout_is_kept(spark):
+    styles = spark.createDataFrame([("a", False, 500, "X", None, None, "FF", None)], "case_id string, hidden boolean, row_idx int, font_name string, font_scheme string, font_color string, fill_color string, border_style string")
+    layout = spark.createDataFrame([], "case_id string, sheet string, kind string, item string, ord int")
+    row = wb.formatting(styles, layout).first()
+    assert (row.fonts, row.colors, row.rule_count, row.rules) == ("X", "FF", 0, None)
+
+
 def test_caps_follow_each_other(spark):
     rows = [("a", "data_accuracy", 4), ("a", "formula_logic", 0), ("a", "completeness", 4),
             ("b", "data_accuracy", 0), ("b", "formula_logic", 0), ("b", "completeness", 4)]
