@@ -260,10 +260,10 @@ def p_visible(spark, sf):
 
 
 @query("p_nonempty_tables", with_fixtures("f3") + f"""
-SELECT case_id, side, sheet, count(*) AS cells FROM f3 GROUP BY ALL HAVING count(*) FILTER (WHERE NOT {q.empty('value')} AND row_idx >= 500) > 0""")
+SELECT case_id, side, sheet, count(*) AS cells FROM f3 GROUP BY ALL HAVING count(*) FILTER (WHERE NOT {q.empty('value')}) > 0""")
 def p_nonempty_tables(spark, sf):
-    """Tables that hold any value beyond row 500."""
-    filled = F.count_if(~is_empty(F.col("value")) & (F.col("row_idx") >= 500))
+    """Tables that hold any value."""
+    filled = F.count_if(~is_empty(F.col("value")))
     out = fixture(spark, sf, "f3").groupBy(*SHEET).agg(F.count(F.lit(1)).alias("cells"), filled.alias("filled"))
     return out.where("filled > 0").drop("filled")
 
@@ -298,13 +298,13 @@ def w_header_dedupe(spark, sf):
 
 
 @query("w_lone_header", """
-SELECT o_custkey AS table_id, count(*) = 1 AS single_row, bool_or(o_orderkey % 3 = 0) AS has_typed_cell,
-       count(*) = 1 AND bool_or(o_orderkey % 3 = 0) AS first_row_is_data FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW' GROUP BY ALL""")
+SELECT concat_ws('-', o_custkey, o_orderstatus, o_orderpriority) AS table_id, count(*) = 1 AS single_row, bool_or(o_orderkey % 3 = 0) AS has_typed_cell,
+       count(*) = 1 AND bool_or(o_orderkey % 3 = 0) AS first_row_is_data FROM orders GROUP BY ALL""")
 def w_lone_header(spark, sf):
     """A lone first row with a non-text cell is data, not a header."""
-    rows = table(spark, sf, "orders").where("o_orderstatus = 'P' AND o_orderpriority = '5-LOW'")
+    rows = table(spark, sf, "orders")
     typed = F.when(F.col("o_orderkey") % 3 == 0, "number").otherwise("string")
-    out = rows.groupBy(F.col("o_custkey").alias("table_id")).agg(
+    out = rows.groupBy(F.concat_ws("-", "o_custkey", "o_orderstatus", "o_orderpriority").alias("table_id")).agg(
         (F.count(F.lit(1)) == 1).alias("single_row"), F.bool_or(typed != "string").alias("has_typed_cell"))
     return out.withColumn("first_row_is_data", F.col("single_row") & F.col("has_typed_cell"))
 

@@ -247,11 +247,11 @@ def agg_key_candidates(spark, sf):
     return stats.select("pair", *[F.round(c, 9).alias(c) for c in ("src_unique", "gen_unique", "gen_in_src")], "is_key")
 
 
-@query("j_key_containment", _KEY_SQL + " SELECT pair, gen_in_src FROM st WHERE pair IN (1, 2)")
+@query("j_key_containment", _KEY_SQL + " SELECT pair, gen_in_src FROM st")
 def j_key_containment(spark, sf):
     """Share of distinct generated keys found in the source."""
     stats = rc.key_statistics(fixture(spark, sf, "f1_src"), fixture(spark, sf, "f1_gen"), _KEY_PAIRS)
-    return stats.where("pair IN (1, 2)").select("pair", F.round("gen_in_src", 9).alias("gen_in_src"))
+    return stats.select("pair", F.round("gen_in_src", 9).alias("gen_in_src"))
 
 
 @query("set_intersect_values", with_fixtures("f1_src", "f1_gen") + """
