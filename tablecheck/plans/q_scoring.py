@@ -59,8 +59,9 @@ def _round9(df, cols):
     return df.select(*[F.round(c, 9).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def merged(spark, sf):
-    return so.merge_runs(fixture(spark, sf, "f5"))
+def merged(spark, sf, keep=so.RUN_COLS):
+    """Median scores; only the columns in ``keep`` of the representative run travel."""
+    return so.merge_runs(fixture(spark, sf, "f5"), keep=keep)
 
 
 def blends(spark, sf):
@@ -71,7 +72,7 @@ def blends(spark, sf):
 
 def weighted_dims(spark, sf):
     """Capped reviews with their weight; everything from the caps on is partitioned by case."""
-    dims = so.consistency_caps(merged(spark, sf)).join(blends(spark, sf), "case_id", "left")
+    dims = so.consistency_caps(merged(spark, sf, ["status"])).join(blends(spark, sf), "case_id", "left")
     return dims.withColumn("weight", so.blend_weight(F.col("dimension"), F.col("detected"), F.col("blend")))
 
 
@@ -82,13 +83,13 @@ def summary(spark, sf):
 def priced(spark, sf):
     """Merged reviews with their cost."""
     model = fixture(spark, sf, "f5_cases").select("case_id", "model")
-    dims = merged(spark, sf).join(model, "case_id", "left")
+    dims = merged(spark, sf, ["input_tokens", "output_tokens", "latency_ms"]).join(model, "case_id", "left")
     return dims.withColumn("cost", so.cost_of(so.model_price(F.col("model")), F.col("input_tokens"), F.col("output_tokens")))
 
 
 @query("agg_median_runs", _F5 + _MEDIAN + "SELECT case_id, dimension, score FROM merged")
 def agg_median_runs(spark, sf):
-    return merged(spark, sf).select("case_id", "dimension", "score")
+    return merged(spark, sf, []).select("case_id", "dimension", "score")
 
 
 @query("w_representative_run", _F5 + _MEDIAN + "SELECT case_id, dimension, representative_run, status, feedback, input_tokens FROM merged")
@@ -106,7 +107,7 @@ def agg_run_stability(spark, sf):
 
 @query("f_consistency_caps", _F5 + _MEDIAN + _CAPPED + "SELECT case_id, dimension, score, cap_note FROM capped")
 def f_consistency_caps(spark, sf):
-    return so.consistency_caps(merged(spark, sf)).select("case_id", "dimension", "score", "cap_note")
+    return so.consistency_caps(merged(spark, sf, [])).select("case_id", "dimension", "score", "cap_note")
 
 
 @query("j_weights", _F5 + _W + """
@@ -313,7 +314,7 @@ def _expected(spark, sf):
 
 
 def _checked(spark, sf):
-    return so.check_expected(merged(spark, sf), _expected(spark, sf))
+    return so.check_expected(merged(spark, sf, []), _expected(spark, sf))
 
 
 @query("j_expected", _CHECKED + "SELECT case_id, dimension, lo, hi, score FROM chk")
