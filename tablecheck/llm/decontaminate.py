@@ -92,7 +92,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     for k in sizes:
         same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
         texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-        rows = texts.join(anchors.filter(F.col("k") == k), same).withColumn("words", word_list(F.col("text"))).select("doc_id", "text_hash", "hits", shingles(F.col("words"), k).alias("all"))
+        # one plan at every size: whether the list of hits could be broadcast depends on the data
+        rows = texts.join(anchors.filter(F.col("k") == k).hint("merge"), same).withColumn("words", word_list(F.col("text"))).select("doc_id", "text_hash", "hits", shingles(F.col("words"), k).alias("all"))
         start = lambda h: F.least(h["pos"], F.greatest(F.lit(0), F.size("all") - h["n"]))
         starts = F.array_distinct(F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), start(h).alias("start"), h["n"].alias("n"))))
         rows = rows.select("doc_id", "text_hash", "all", F.explode(starts).alias("w"))
