@@ -1,0 +1,69 @@
+"""Near copies against brute force over all pairs: short texts, crowds under one passage, chains, clean texts."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tablecheck.llm import jaccard
+
+DOCS = "doc_id bigint, text string"
+
+
+def say(rnd, n):
+    return ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+
+
+def sets(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def brute_force(rows):
+    """Smallest id of every class."""
+    held = [sets(t) for _, t in rows]
+    ids = {s: k for k, s in enumerate(sorted(set().union(*held)))}
+    table = np.zeros((len(rows), len(ids)), np.float32)
+    for i, s in enumerate(held):
+        table[i, [ids[x] for x in s]] = 1
+    common, size = table @ table.T, table.sum(axis=1)
+    near = common / (size[:, None] + size[None, :] - common) >= 0.8 - 1e-6
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in np.argwhere(near):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {rows[i][0] for i in range(len(rows)) if find(i) == i}
+
+
+def test_short_texts_with_one_edit(spark):
+    rnd, rows = random.Random(1), []
+    for n in range(6, 61):
+        for _ in range(3):
+            words = say(rnd, n)
+            rows.append((len(rows), " ".join(words)))
+            rows.append((len(rows), " ".join([*words[:-1], "changed"])))
+            rows.append((len(rows), " ".join([*words, "added"])))
+            at = rnd.randrange(n)
+            rows.append((len(rows), " ".join([*words[:at], "other", *words[at + 1 :]])))
+    kept = {r.doc_id for r in jaccard.keep_first(spark.createDataFrame(rows, DOCS)).collect()}
+    assert kept == brute_force(rows) and len(kept) < len(rows) * 0.75
+
+
+def test_crowd_under_one_passage(spark):
+    """2,300 different texts that share most of a passage, some of them near copies of each other by their own words."""
+    rnd, rows = random.Random(2), []
+    passage = say(rnd, 30)
+    while len(rows) < 2300:
+        own = say(rnd, rnd.choice([6, 8, 9, 40]))
+        rows.append((len(rows), " ".join([*passage, *own])))
+        if rnd.random() < 0.3:
+            rows.append((len(rows), " ".join([*passage, *own[:-1], "last"])))
+    kept = {r.doc_id for r in jaccard.keep_first(spark.createDataFrame(rows, DOCS)).collect()}
+    assert kept == brute_force(rows)
