@@ -8,17 +8,13 @@ them one agrees. Inside a key, fingerprints are stored as bit planes: word b hol
 One query updates 64 distances at a time with carry-save counters, a block is left as soon as all its
 distances exceed the radius, and what is within it joins one tree per key, so a crowd of n makes at most n - 1 links.
 
-``WIDE`` (15 bits) is for near copies of similarity 0.8 on five-word shingles, whose fingerprints differ in about nine bits. No
-set of bit keys is selective there, so the keys are segments of the text itself: runs of words cut where the words say
-so (12 to 96 words), of which two such copies share some. Segments of more than ``CROWD`` fingerprints (boilerplate) are
-keys only for documents that have no other; those use their three rarest.
+Near copies of a given Jaccard similarity are not found by these keys; ``jaccard`` does that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +27,7 @@ from tablecheck.session import cut_lineage, ship_by_value
 
 ship_by_value(__name__)
 
-RADIUS, WIDE, CROWD = 3, 15, 2048
-#: Words of a segment at least and at most; one word in ANCHOR may end it.
-SEGMENT_MIN, SEGMENT_MAX, ANCHOR = 12, 96, 16
+RADIUS, CROWD = 3, 2048
 #: Start bits and widths of the five parts.
 PARTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 KEYS = tuple(combinations(range(5), 2))
@@ -58,32 +52,16 @@ def fingerprint(words: list[bytes], shingle: int, seed: int = 42) -> int:
     return int(bits.view("<i8")[0])
 
 
-def segments(words: list[bytes]) -> list[int]:
-    """Distinct hashes of the text's segments, in order of appearance."""
-    out, start = {}, 0
-    for i, word in enumerate(words, 1):
-        size = i - start
-        if i == len(words) or size >= SEGMENT_MAX or (size >= SEGMENT_MIN and crc32(word) % ANCHOR == 0):
-            out[int(np.int64(np.uint64(xxhash.xxh64_intdigest(b" ".join(words[start:i])))))] = None
-            start = i
-    return list(out)
-
-
-def fingerprints(docs: DataFrame, shingle: int, cut: bool = False) -> DataFrame:
-    """doc_id, text_hash, fingerprint (long), segments (empty unless ``cut``) per row; a null text has no words, no words give zero."""
+def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, text_hash, fingerprint (long) per row; a null text has no words, no words give zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, pieces = [], []
-            for cell in batch.column("text"):
-                words = words_of(cell.as_py())
-                marks.append(fingerprint(words, shingle))
-                pieces.append(segments(words) if cut else [])
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(marks, pa.int64()), pa.array(pieces, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fingerprint", "segments"])
+            marks = pa.array([fingerprint(words_of(cell.as_py()), shingle) for cell in batch.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), marks], ["doc_id", "text_hash", "fingerprint"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fingerprint bigint, segments array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fingerprint bigint")
 
 
 def part(k: int) -> Column:
@@ -242,30 +220,18 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) ->
     return compare(placed, radius)
 
 
-def wide_links(marked: DataFrame, radius: int = WIDE, crowd: int = CROWD) -> DataFrame:
-    """a, b: links within ``radius`` between fingerprints of ``marked`` (fingerprint, segments) that share a segment."""
-    keyed = marked.select("fingerprint", F.explode("segments").alias("key")).distinct()
-    count = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # a document's segments by how many fingerprints have them: bounded by the document
-    ranked = keyed.join(cut_lineage(count, "segment-counts"), "key").groupBy("fingerprint").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("at"))
-    usual = F.filter("at", lambda x: x["n"] <= crowd)
-    chosen = F.when(F.size(usual) > 0, usual).otherwise(F.slice("at", 1, 3))
-    return compare(ranked.select("fingerprint", F.explode(chosen).alias("at")).select("fingerprint", "at.key"), radius)
-
-
 def classes(docs: DataFrame, shingle: int, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """doc_id, text_hash, fingerprint (long), root (one per class), component_id per row of ``docs`` (doc_id, text; others are ignored).
 
-    Links are all within ``radius`` bits for a radius of 3 or less, and those that share a segment for a wider one.
+    Links are all within ``radius`` bits, 3 at most.
     """
-    marked = cut_lineage(fingerprints(docs, shingle, radius > RADIUS), "fingerprints")
+    marked = cut_lineage(fingerprints(docs, shingle), "fingerprints")
     nodes = cut_lineage(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least_doc")), "nodes")
-    links = wide_links(marked, radius, crowd) if radius > RADIUS else near_links(nodes.select("fingerprint"), radius, crowd)
-    linked = components(links).withColumnRenamed("node", "fingerprint")
+    linked = components(near_links(nodes.select("fingerprint"), radius, crowd)).withColumnRenamed("node", "fingerprint")
     rooted = nodes.join(linked, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     # a fingerprint that many documents share is split by AQE: the other side has one row for it
-    return marked.drop("segments").join(rooted.join(least, "root").select("fingerprint", "root", "component_id"), "fingerprint")
+    return marked.join(rooted.join(least, "root").select("fingerprint", "root", "component_id"), "fingerprint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
@@ -279,12 +245,8 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int = RADIUS, crowd:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, radius: int = WIDE, crowd: int = CROWD) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the first of their class: smallest doc_id (null last), then text hash; repeated rows stay once."""
-    found = classes(docs, shingle, radius, crowd)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    heads = found.groupBy("root").agg(F.min(order).alias("head")).select(F.col("head.doc_id").alias("head_id"), F.col("head.text_hash").alias("head_hash")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key_id"), F.xxhash64("text").alias("key_hash"))
-    same = F.col("key_id").eqNullSafe(F.col("head_id")) & (F.col("key_hash") == F.col("head_hash"))
-    kept = rows.join(cut_lineage(heads, "heads"), same, "left_semi")
-    return kept.dropDuplicates(["key_id", "key_hash"]).select("row.*")
+def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """``jaccard.keep_first``: near copies are told by the shingles themselves, not by fingerprints."""
+    from tablecheck.llm import jaccard  # which uses this module's words
+
+    return jaccard.keep_first(docs, shingle)
