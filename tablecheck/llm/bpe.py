@@ -141,31 +141,39 @@ class Vocabulary:
 def encoder(vocabulary: Vocabulary, memo_size: int = MEMO) -> Callable[[str], bytes]:
     """A function from text to its ids as packed 32-bit integers.
 
-    A single space between two other characters always begins a pre-token, so such texts are cut there and
-    the pieces remembered; texts with a space beside other white space are matched as a whole.
+    A single space between two other characters always begins a pre-token, so such texts are cut there; what
+    follows a space is remembered without it, once for a word alone and once for each word with marks, whose pre-tokens
+    are sought first. Texts with a space beside other white space are matched as a whole.
     """
     find = regex.compile(vocabulary.pattern).findall
     mixed = regex.compile(r"[\s\x1c-\x1f] | [\s\x1c-\x1f]").search
-    memo: dict[str, bytes] = {}
+    spaced: dict[str, bytes] = {}
+    others: dict[str, bytes] = {}
+    known_after_space = spaced.get
+
+    def keep(held: dict[str, bytes], key: str, ids: bytes) -> bytes:
+        if len(key) <= MEMO_CHARS:
+            if len(held) >= memo_size:
+                held.clear()
+            held[key] = ids
+        return ids
 
-    def one(token: str) -> bytes:
-        return array("i", vocabulary.encode_piece(token.encode())).tobytes()
+    def token_ids(token: str) -> bytes:
+        held, key = (spaced, token[1:]) if token[0] == " " and len(token) > 1 else (others, token)
+        known = held.get(key)
+        return keep(held, key, array("i", vocabulary.encode_piece(token.encode())).tobytes()) if known is None else known
 
-    def ids_of(piece: str) -> bytes:
-        known = memo.get(piece)
-        if known is None:
-            known = b"".join(map(one, find(piece)))
-            if len(piece) <= MEMO_CHARS:
-                if len(memo) >= memo_size:
-                    memo.clear()
-                memo[piece] = known
-        return known
+    def after_space(rest: str) -> bytes:
+        if rest.isalpha():  # one pre-token
+            return token_ids(" " + rest)
+        ids = b"".join(map(token_ids, find(" " + rest)))
+        return keep(spaced, rest, ids) if rest else ids
 
     def encode(text: str) -> bytes:
         if mixed(text):
-            return b"".join(map(ids_of, find(text)))
+            return b"".join(map(token_ids, find(text)))
         first, *rest = text.split(" ")
-        return ids_of(first) + b"".join([ids_of(" " + x) for x in rest])
+        return b"".join([*map(token_ids, find(first)), *[known_after_space(x) or after_space(x) for x in rest]])
 
     return encode
 

@@ -1,11 +1,14 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Windows of a document as long as a benchmark item are compared with the item. A similar window shares word
-shingles with the item, and moved right to the first of them it loses none, so only windows that begin at a shared
-shingle (or end with the document) can be the best. Each has a 64-bit SimHash of its shingles; a multi-index
-finds all windows within ``RADIUS`` bits of the item: the bits are cut into ``BLOCKS`` blocks, of which one differs in
-at most RADIUS // BLOCKS = 1 bit, and the index holds every value of every block of an item within that one bit. What is found is
-verified by the exact weighted Jaccard similarity of shingle counts.
+Windows of a document as long as a benchmark item are compared with the items of that length. A similar window shares word
+shingles with its item, and moved right to the first of them it loses none, so only windows that begin at a shingle of some
+item of that length (or end with the document) can be the best. Each has a 64-bit SimHash of its shingles, and a multi-index
+over the items finds its candidates: the bits are cut into ``BLOCKS`` blocks, of which one differs in
+at most RADIUS // BLOCKS = 1 bit, and the index holds every value of every block of an item within that one bit, so no item within ``RADIUS``
+bits is missed. What is found is verified by the exact weighted Jaccard similarity of shingle counts.
+
+Positions carry lengths, not items: what a document has at a place is bounded by the number of different item
+lengths, however many items share a beginning.
 
 At similarity 0.8 two fingerprints differ in 9.2 bits on average (standard deviation 2.8); 22 bits are more than
 4.5 deviations above, so fewer than one such pair in 100,000 is beyond the radius.
@@ -75,29 +78,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     if radius // BLOCKS > 1:
         raise ValueError("the index holds neighbours at one bit only")
-    items = cut_lineage(items_of(benchmark, shingle), "items")
+    items = items_of(benchmark, shingle)
+    items = cut_lineage(items.withColumn("item", F.xxhash64("item_id", "shingles")), "items")  # never null, unlike the id
     sizes = [r.k for r in items.select("k").distinct().collect()]  # five values at most
-    index = items.select("item_id", "k", "n", F.explode(F.array_distinct("shingles")).alias("shingle"))
+    index = items.select("k", "n", F.explode("shingles").alias("shingle")).distinct()
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_list(F.col("text")).alias("words"))
     hits = []
     for k in sizes:
         placed = base.select("doc_id", "text_hash", F.posexplode(shingles(F.col("words"), k)).alias("pos", "shingle"))
-        hits.append(placed.join(index.filter(F.col("k") == k), "shingle").select("doc_id", "text_hash", "pos", "item_id", "k", "n"))
-    schema = "doc_id bigint, text_hash bigint, pos int, item_id bigint, k int, n int"
+        hits.append(placed.join(index.filter(F.col("k") == k), "shingle").select("doc_id", "text_hash", "pos", "k", "n"))
+    schema = "doc_id bigint, text_hash bigint, pos int, k int, n int"
     hits = reduce(DataFrame.unionByName, hits) if hits else docs.sparkSession.createDataFrame([], schema)
-    # bounded by one document's own words
-    anchors = cut_lineage(hits.groupBy("doc_id", "text_hash", "k").agg(F.collect_set(F.struct("item_id", "pos", "n")).alias("hits")), "item-hits")
+    # bounded by one document's own words and the number of item lengths
+    anchors = cut_lineage(hits.groupBy("doc_id", "text_hash", "k").agg(F.collect_set(F.struct("pos", "n")).alias("hits")), "item-hits")
     anchors = anchors.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("text_hash", "hit_hash")
     near = []
     for k in sizes:
         same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
         texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
         # one plan at every size: whether the list of hits could be broadcast depends on the data
-        rows = texts.join(anchors.filter(F.col("k") == k).hint("merge"), same).withColumn("words", word_list(F.col("text"))).select("doc_id", "text_hash", "hits", shingles(F.col("words"), k).alias("all"))
+        rows = texts.join(anchors.filter(F.col("k") == k).hint("merge"), same).withColumn("words", word_list(F.col("text"))).select("doc_id", "text_hash", "k", "hits", shingles(F.col("words"), k).alias("all"))
         start = lambda h: F.least(h["pos"], F.greatest(F.lit(0), F.size("all") - h["n"]))
-        starts = F.array_distinct(F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), start(h).alias("start"), h["n"].alias("n"))))
-        rows = rows.select("doc_id", "text_hash", "all", F.explode(starts).alias("w"))
-        near.append(rows.select("doc_id", "text_hash", "w.item_id", "w.start", F.slice("all", F.col("w.start") + 1, F.col("w.n")).alias("window")))
+        starts = F.array_distinct(F.transform("hits", lambda h: F.struct(start(h).alias("start"), h["n"].alias("n"))))
+        rows = rows.select("doc_id", "text_hash", "k", "all", F.explode(starts).alias("w"))
+        near.append(rows.select("doc_id", "text_hash", "k", "w.n", "w.start", F.slice("all", F.col("w.start") + 1, F.col("w.n")).alias("window")))
     if not near:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, text_hash bigint, item_id bigint, similarity double")
     windows = cut_lineage(reduce(DataFrame.unionByName, near).withColumn("fingerprint", simhash(F.col("window"))), "item-windows")
@@ -108,18 +112,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         return F.transform(flips, lambda m: F.struct(F.lit(j).alias("block"), block("fingerprint", j).bitwiseXOR(m).alias("value")))
 
     neighbours = F.flatten(F.array(*[around(j) for j in range(BLOCKS)]))
-    table = items.select("item_id", F.col("fingerprint").alias("item_mark"), F.explode(neighbours).alias("b")).select("item_id", "item_mark", "b.block", "b.value")
-    probes = windows.select("doc_id", "text_hash", "item_id", "start", "fingerprint", F.explode(values).alias("b")).select("doc_id", "text_hash", "item_id", "start", "fingerprint", "b.block", "b.value")
+    table = items.select("item", "k", "n", F.col("fingerprint").alias("item_mark"), F.explode(neighbours).alias("b")).select("item", "k", "n", "item_mark", "b.block", "b.value")
+    window = ["doc_id", "text_hash", "k", "n", "start"]
+    probes = windows.select(*window, "fingerprint", F.explode(values).alias("b")).select(*window, "fingerprint", "b.block", "b.value")
     within = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_mark"))) <= radius
-    key = ["doc_id", "text_hash", "item_id", "start"]
-    found = probes.join(table, ["item_id", "block", "value"]).filter(within).select(*key).distinct()
-    found = found.select(*[F.col(c).alias(f"found_{c}") for c in key])
-    equal = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"found_{c}")) for c in key])
-    candidates = windows.join(found, equal, "left_semi")
+    found = probes.join(table, ["k", "n", "block", "value"]).filter(within).select(*window, "item").distinct()
+    found = found.select(*[F.col(c).alias(f"found_{c}") for c in window], "item")
+    equal = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"found_{c}")) for c in window])
+    candidates = windows.join(found, equal)
+    key = ["doc_id", "text_hash", "item", "start"]
     counted = candidates.select(*key, F.size("window").alias("size"), F.explode("window").alias("shingle")).groupBy(*key, "size", "shingle").agg(F.count(F.lit(1)).alias("uses"))
-    wanted = items.select(F.col("item_id").alias("of"), F.col("n"), F.explode("shingles").alias("shingle")).groupBy("of", "n", "shingle").agg(F.count(F.lit(1)).alias("has"))
-    shared = counted.join(wanted, F.col("item_id").eqNullSafe(F.col("of")) & (counted["shingle"] == wanted["shingle"]))
-    common = shared.groupBy(*key, "size", "n").agg(F.sum(F.least("uses", "has")).alias("common"))
+    wanted = items.select("item", "item_id", "n", F.explode("shingles").alias("shingle")).groupBy("item", "item_id", "n", "shingle").agg(F.count(F.lit(1)).alias("has"))
+    common = counted.join(wanted, ["item", "shingle"]).groupBy(*key, "item_id", "size", "n").agg(F.sum(F.least("uses", "has")).alias("common"))
     scored = common.withColumn("similarity", F.col("common") / (F.col("size") + F.col("n") - F.col("common")))
     return scored.filter(F.col("similarity") >= similarity).groupBy("doc_id", "text_hash", "item_id").agg(F.max("similarity").alias("similarity"))
 

@@ -70,8 +70,10 @@ FROM c GROUP BY conv_id
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return quality.judge(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    for_threshold = fold(F.col("doc_id"), 2) == 1
+    weights = quality.fit(docs, labels.filter(~for_threshold))
+    return quality.judge(docs, weights, quality.threshold(docs, labels.filter(for_threshold), weights))
 
 
 QUERIES["op8_quality"] = op8_quality
@@ -164,27 +166,27 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op4_decontaminate"] = op4_decontaminate
 ORACLE_SQL["op4_decontaminate"] = r"""
-WITH i AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL
+WITH i AS (SELECT row_number() OVER () AS item, item_id, w FROM (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL)
 ), it AS (
-  SELECT item_id, least(5, len(w)) AS k, len(w) - least(5, len(w)) + 1 AS n, [array_to_string(w[p:p + least(5, len(w)) - 1], ' ') for p in range(1, len(w) - least(5, len(w)) + 2)] AS s FROM i WHERE len(w) > 0
+  SELECT item, item_id, least(5, len(w)) AS k, len(w) - least(5, len(w)) + 1 AS n, [array_to_string(w[p:p + least(5, len(w)) - 1], ' ') for p in range(1, len(w) - least(5, len(w)) + 2)] AS s FROM i WHERE len(w) > 0
 ), ks AS (SELECT DISTINCT k FROM it
 ), d AS (SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL
 ), ds AS (
   SELECT doc_id, text, k, [array_to_string(w[p:p + k - 1], ' ') for p in range(1, len(w) - k + 2)] AS s FROM d, ks WHERE len(w) >= k
 ), g AS (SELECT doc_id, text, k, len(s) AS size, unnest(s) AS gram, unnest(range(1, len(s) + 1)) AS pos FROM ds
-), iu AS (SELECT DISTINCT item_id, k, n, unnest(s) AS gram FROM it
+), iu AS (SELECT DISTINCT item, k, n, unnest(s) AS gram FROM it
 ), h AS (
-  SELECT DISTINCT doc_id, text, k, item_id, n, least(pos, greatest(1, size - n + 1)) AS start FROM g JOIN iu USING (k, gram)
+  SELECT DISTINCT doc_id, text, k, item, n, least(pos, greatest(1, size - n + 1)) AS start FROM g JOIN iu USING (k, gram)
 ), c AS (
-  SELECT h.doc_id, h.text, h.item_id, h.n, h.start, gram, count(*) AS uses FROM h JOIN g ON g.doc_id = h.doc_id AND g.text = h.text AND g.k = h.k AND g.pos >= h.start AND g.pos < h.start + h.n
+  SELECT h.doc_id, h.text, h.item, h.n, h.start, gram, count(*) AS uses FROM h JOIN g ON g.doc_id IS NOT DISTINCT FROM h.doc_id AND g.text = h.text AND g.k = h.k AND g.pos >= h.start AND g.pos < h.start + h.n
   GROUP BY ALL
-), z AS (SELECT doc_id, text, item_id, n, start, sum(uses) AS size FROM c GROUP BY ALL
-), x AS (SELECT item_id, gram, count(*) AS has FROM (SELECT item_id, unnest(s) AS gram FROM it) GROUP BY ALL
+), z AS (SELECT doc_id, text, item, n, start, sum(uses) AS size FROM c GROUP BY ALL
+), x AS (SELECT item, item_id, gram, count(*) AS has FROM (SELECT item, item_id, unnest(s) AS gram FROM it) GROUP BY ALL
 ), v AS (
-  SELECT c.doc_id, c.text, c.item_id, c.n, c.start, sum(least(uses, has)) AS common FROM c JOIN x USING (item_id, gram) GROUP BY ALL
+  SELECT c.doc_id, c.text, c.item, x.item_id, c.n, c.start, sum(least(uses, has)) AS common FROM c JOIN x USING (item, gram) GROUP BY ALL
 )
-SELECT doc_id, item_id, round(max(common / (size + n - common)), 6) AS similarity FROM v JOIN z USING (doc_id, text, item_id, n, start)
-WHERE common / (size + n - common) >= 0.8 GROUP BY doc_id, text, item_id
+SELECT v.doc_id, item_id, round(max(common / (size + v.n - common)), 6) AS similarity FROM v JOIN z ON z.doc_id IS NOT DISTINCT FROM v.doc_id AND z.text = v.text AND z.item = v.item AND z.n = v.n AND z.start = v.start
+WHERE common / (size + v.n - common) >= 0.8 GROUP BY v.doc_id, v.text, item_id
 """
 
 

@@ -7,8 +7,6 @@ cut further by the same argument: its three other parts hold at most three diffe
 them one agrees. Inside a key, fingerprints are stored as bit planes: word b holds bit b of 64 fingerprints.
 One query updates 64 distances at a time with carry-save counters, a block is left as soon as all its
 distances exceed the radius, and what is within it joins one tree per key, so a crowd of n makes at most n - 1 links.
-
-Near copies of a given Jaccard similarity are not found by these keys; ``jaccard`` does that.
 """
 
 from __future__ import annotations
@@ -245,8 +243,17 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int = RADIUS, crowd:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``jaccard.keep_first``: near copies are told by the shingles themselves, not by fingerprints."""
-    from tablecheck.llm import jaccard  # which uses this module's words
+def keep_first(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any others), all columns, that are the first of their class.
 
-    return jaccard.keep_first(docs, shingle)
+    First is the smallest doc_id (null last), then the smallest text hash, so ties are settled and repeated rows stay
+    once. Texts without words (null, empty, blank) are one class. Classes are those of ``near_duplicates``.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    firsts = classes(docs, shingle, radius, crowd).groupBy("root").agg(F.min(order).alias("head"))
+    known = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    heads = cut_lineage(firsts.select(F.col("head.last").alias("key_last"), known(F.col("head.doc_id")).alias("key_id"), F.col("head.text_hash").alias("key_hash")), "firsts")
+    number = F.col("doc_id").cast("long")
+    rows = docs.select(F.struct("*").alias("row"), number.isNull().alias("key_last"), known(number).alias("key_id"), F.xxhash64("text").alias("key_hash"))
+    key = ["key_last", "key_id", "key_hash"]
+    return rows.join(heads, key, "left_semi").dropDuplicates(key).select("row.*")

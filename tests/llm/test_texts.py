@@ -1,6 +1,7 @@
 """Chat windows, quality, line templates, decontamination: edge cases and brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -91,6 +92,63 @@ def test_quality_score_is_the_mean_log_ratio(spark):
     assert got[2].score > 0 > got[3].score and got[2].kept and not got[3].kept
 
 
+def test_quality_equals_plain_counts(spark):
+    """Score by plain counting, bucket by bucket, and the same verdicts from few and from all trusted labels."""
+    rnd = random.Random(5)
+    chain = {w: [rnd.choice(range(300)) for _ in range(4)] for w in range(300)}  # each word is followed by one of four
+
+    def prose(n):
+        w, out = rnd.randrange(300), []
+        for _ in range(n):
+            out.append(f"w{w}")
+            w = rnd.choice(chain[w])
+        return out
+
+    texts, kind = [], []
+    for i in range(240):
+        words = prose(rnd.randint(60, 200))
+        kind.append(i % 3 != 2)
+        if not kind[-1]:
+            rnd.shuffle(words)
+        texts.append(" ".join(words))
+    df = spark.createDataFrame([*enumerate(texts), (1000, None), (None, texts[0]), (1001, "")], DOCS)
+    rows = [(i, int(kind[i]), 0) for i in range(240) if i % 2]
+    labels = lambda r: spark.createDataFrame(r, "doc_id bigint, quality int, toxic int")
+    weights = quality.fit(df, labels(rows), buckets=4096)
+
+    def places(text):
+        words = [x for x in (text or "").split(" ") if x]
+        spoken = spark.createDataFrame([(words,)], "w array<string>").select(quality.grams("w", 4096).alias("g"))
+        return spoken.first().g
+
+    held = [places(t) for t in (texts[1], texts[2])]
+    raw, target = Counter(), Counter()
+    for r in df.select(quality.words(F.col("text")).alias("w"), "doc_id").select("doc_id", quality.grams("w", 4096).alias("g")).collect():
+        raw.update(r.g)
+        if r.doc_id is not None and r.doc_id < 240 and r.doc_id % 2 and kind[r.doc_id]:
+            target.update(r.g)
+    size, trusted = sum(raw.values()), sum(target.values())
+    for b in set(held[0] + held[1]):
+        plain = (target[b] + trusted * raw[b] / size) / (2 * trusted)  # smoothed by as many n-grams, dealt like the corpus
+        assert abs(weights[b] - math.log(plain / (raw[b] / size))) < 1e-9
+    cut = quality.threshold(df, labels([(i, int(kind[i]), 0) for i in range(0, 240, 2)]), weights)
+    got = {r.doc_id: r for r in quality.judge(df, weights, cut).collect()}
+    assert abs(got[1].score - sum(weights[b] for b in held[0]) / len(held[0])) < 1e-9 and got[1000].score == 0 == got[1001].score
+    right = sum(got[i].kept == kind[i] for i in range(0, 240, 2))
+    assert right >= 0.95 * 120  # shuffled words go, though every word of them is common
+    few = quality.fit(df, labels([r for r in rows if r[1]][:20]), buckets=4096)
+    again = {r.doc_id: r.kept for r in quality.judge(df, few, quality.threshold(df, labels([(i, int(kind[i]), 0) for i in range(0, 240, 2)]), few)).collect()}
+    assert sum(again[i] == got[i].kept for i in range(240)) >= 0.9 * 240
+
+
+def test_threshold_without_both_kinds_and_with_ties(spark):
+    df = spark.createDataFrame([(i, "a b c " * 40) for i in range(4)], DOCS)
+    labels = lambda r: spark.createDataFrame(r, "doc_id bigint, quality int, toxic int")
+    assert quality.threshold(df, labels([(1, 1, 0), (2, None, 0)]), [0.5] * 8) == quality.THRESHOLD
+    cut = quality.threshold(df, labels([(1, 1, 0), (2, 0, 0), (3, 0, 1)]), [0.5] * 8)
+    assert cut <= 0.5  # equal scores cannot be parted, so nothing good is lost
+
+
 def test_quality_without_labels_or_documents(spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     empty = spark.createDataFrame([], DOCS)
@@ -184,6 +242,19 @@ def test_leaks_equal_brute_force(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _ in [*docs, docs[3]] if d not in leaked)
 
 
+def test_items_with_one_beginning_are_found_by_the_index(spark):
+    """Many items that share twelve words: a position carries lengths, the index the items; equal texts under two ids are two items."""
+    rnd = random.Random(11)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(4)) for _ in range(n))
+    head = say(12)
+    items = [(i, f"{head} {say(18)}") for i in range(60)] + [(None, f"{head} {say(18)}"), (60, "one and the same text of this item"), (None, "one and the same text of this item"), (7, "another text under the id seven")]
+    docs = [(0, f"{say(20)} {items[5][1]} {say(20)}"), (1, f"{head} {say(40)}"), (2, items[60][1]), (3, "x one and the same text of this item y"), (4, "another text under the id seven " * 2)]
+    df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(df, bench).collect()}
+    want = plain_leaks(docs, items, 0.8)
+    assert set(got) == set(want) == {(0, 5), (2, None), (3, 60), (3, None), (4, 7)} and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_leaks_of_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b c")], DOCS), spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contaminated(docs, bench).count() == 0
