@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm import bpe, decontaminate, jaccard, langid, linetree
+from tablecheck.llm import bpe, decontaminate, langid, linetree, simhash
 from tablecheck.llm.common import fold, free_name, read_table
 from tablecheck.llm.queries import BPE_FILE, PIECE_FILE
 from tablecheck.session import cut_lineage
@@ -46,8 +46,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies (Jaccard similarity of five-word shingles of 0.8 or more)."""
-    return jaccard.keep_first(docs)
+    """Keeps one document of each class that SimHash links (three-word shingles, three bits).
+
+    The smallest doc_id stays, a null one only where there is no other; texts without words are one class, repeated rows stay once.
+    """
+    return simhash.keep_first(docs, shingle=3, radius=3)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
