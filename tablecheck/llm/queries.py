@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm import bpe, chat, decontaminate, html_wrapper, langid, linetree, ngram_lm, quality, simhash, warc
+from tablecheck.llm import align, bpe, chat, decontaminate, html_wrapper, langid, linetree, minhash, ngram_lm, quality, resample, simhash, warc
 from tablecheck.llm.common import fold, read_table
 from tablecheck.session import cut_lineage
 
@@ -17,6 +17,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 PIECE_FILE = "piece_bpe_32k.model"
+BYTE_FILE = "byte_bpe_50k.json"
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,3 +200,29 @@ def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_ngram_lm"] = op7_ngram_lm
+
+
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies by four-word shingles, similarity 0.8 and more, over all documents."""
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+QUERIES["op11_minhash"] = op11_minhash
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment measures of all documents between the byte-level and the piece vocabulary."""
+    docs = read_table(spark, sf_dir, "documents")
+    return align.measures(docs, public_tokenizers.path(BYTE_FILE), public_tokenizers.PATTERN, public_tokenizers.path(PIECE_FILE))
+
+
+QUERIES["op12_align"] = op12_align
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark's words, and the tenth that is drawn."""
+    drawn = resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), seed=2024, percent=10, min_words=20, buckets=10_000, order=1)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES["op13_resample"] = op13_resample
