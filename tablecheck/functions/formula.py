@@ -30,6 +30,7 @@ def is_error_value(computed: Column) -> Column:
 
 
 def add_prefix(formula: Column) -> Column:
+    """Prefix before every call of such a function: its name before a bracket, not preceded by a word character or a point."""
     names = "|".join(PREFIXED_FUNCTIONS)
     return F.regexp_replace(formula, rf"(?i)(?<![\w.])({names})\(", PREFIX + "$1(")
 
@@ -59,3 +60,31 @@ def name_scope(destinations: Column, attr_text: Column) -> Column:
 
 def name_broken(attr_text: Column) -> Column:
     return F.contains(attr_text, F.lit("#REF!"))
+
+
+_CELL = r"\$?([A-Za-z]{1,3})\$?(\d+)"
+_AREA_RE = rf"(?:'((?:[^']|'')+)'|(?<![#\p{{L}}\p{{N}}_.'])([\p{{L}}\p{{N}}_.]+))!{_CELL}(?::{_CELL})?"
+
+
+def column_number(letters: Column) -> Column:
+    """1 for A, 27 for AA."""
+    digits = F.transform(F.split(F.upper(letters), ""), lambda c: F.ascii(c) - 64)
+    return F.aggregate(digits, F.lit(0), lambda n, d: n * 26 + d)
+
+
+def areas(attr_text: Column) -> Column:
+    """Rectangles that a defined name stands for: structs of sheet, top, left, bottom, right (rows and columns from 1).
+
+    Areas without a sheet and broken ones are left out; a rectangle may be written from any of its corners.
+    """
+    part = lambda n: F.regexp_extract_all(attr_text, F.lit(_AREA_RE), F.lit(n))
+    found = F.arrays_zip(*[part(n).alias(k) for n, k in enumerate(("quoted", "bare", "c1", "r1", "c2", "r2"), 1)])
+
+    def area(x: Column) -> Column:
+        c1, r1 = column_number(x["c1"]), x["r1"].cast("int")
+        single = x["c2"] == ""
+        c2, r2 = F.when(single, c1).otherwise(column_number(x["c2"])), F.when(single, r1).otherwise(x["r2"].try_cast("int"))
+        sheet = F.when(x["quoted"] != "", F.replace(x["quoted"], F.lit("''"), F.lit("'"))).otherwise(x["bare"])
+        return F.struct(sheet.alias("sheet"), F.least(r1, r2).alias("top"), F.least(c1, c2).alias("left"), F.greatest(r1, r2).alias("bottom"), F.greatest(c1, c2).alias("right"))
+
+    return F.transform(found, area)

@@ -27,7 +27,7 @@ def dtype_of(non_null: Column, numeric: Column) -> Column:
     )
 
 
-def _finite_number(text: Column) -> Column:
+def finite_number(text: Column) -> Column:
     x = try_numeric(text)
     return F.when(~F.isnan(x), x)
 
@@ -37,7 +37,9 @@ def _value_counts(cells: DataFrame, keys: list[str], number: Column) -> DataFram
     return cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")).withColumn("x", number)
 
 
-def _summarise(counted: DataFrame, keys: list[str]) -> DataFrame:
+def _summarise(counted: DataFrame, keys: list[str], texts: bool = True) -> DataFrame:
+    """``texts``: whether the values may make a text column; extremes of texts need a sort."""
+    text = F.col("value").cast("string") if texts else F.lit(None).cast("string")
     present, number = F.col("value").isNotNull(), F.col("x").isNotNull()
     out = counted.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("non_null"),
@@ -47,15 +49,14 @@ def _summarise(counted: DataFrame, keys: list[str]) -> DataFrame:
         F.min("x").alias("_min"),
         F.max("x").alias("_max"),
         F.sum(F.col("x") * F.col("n")).alias("_sum"),
-        F.min(F.col("value").cast("string")).alias("_first"),
-        F.max(F.col("value").cast("string")).alias("_last"),
+        *([F.min(text).alias("_first"), F.max(text).alias("_last")] if texts else []),
     )
-    return _finish(out, keys)
+    return _finish(out if texts else out.withColumns({"_first": text, "_last": text}), keys)
 
 
 def column_profile(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Profile of every column of a long text table; ``keys`` names the column (and its table)."""
-    return _summarise(_value_counts(cells, keys, _finite_number(F.col("value"))), keys)
+    return _summarise(_value_counts(cells, keys, finite_number(F.col("value"))), keys)
 
 
 def profile_table(df: DataFrame) -> DataFrame:
@@ -78,26 +79,49 @@ def profile_table(df: DataFrame) -> DataFrame:
         if cols:
             narrow = df.select(*cols)
             cells = narrow.unpivot([], narrow.columns, "col", "value")
-            number = _finite_number(F.col("value")) if kind == "string" else F.col("value").cast("double")
-            parts.append(_summarise(_value_counts(cells, ["col"], number), ["col"]))
+            number = finite_number(F.col("value")) if kind == "string" else F.col("value").cast("double")
+            parts.append(_summarise(_value_counts(cells, ["col"], number), ["col"], texts=kind == "string"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def column_profile_approx(cells: DataFrame, keys: list[str], rsd: float = 0.02) -> DataFrame:
-    """Same profile with an approximate distinct count: one aggregate, no shuffle of values."""
-    cells = cells.withColumn("x", _finite_number(F.col("value")))
-    out = cells.groupBy(*keys).agg(
+def column_sketches(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per column whose sketches can be stored and merged later: counts, extremes and sum, a distinct sketch, a quantile sketch.
+
+    One aggregate; values never travel.  The relative error of a distinct count is about 1.6 % (one standard deviation), the rank error of a quantile
+    about 1.3 %, whatever the number of values and of merges.
+    """
+    x = finite_number(F.col("value"))
+    numbered = cells.withColumn("x", x)
+    return numbered.groupBy(*keys).agg(
         F.count("value").alias("non_null"),
         F.count_if(F.col("value").isNull()).alias("null_count"),
-        F.approx_count_distinct("value", rsd).alias("unique_count"),
         F.count("x").alias("numeric_count"),
-        F.min("x").alias("_min"),
-        F.max("x").alias("_max"),
-        F.sum("x").alias("_sum"),
-        F.min("value").alias("_first"),
-        F.max("value").alias("_last"),
+        F.min("x").alias("num_min"),
+        F.max("x").alias("num_max"),
+        F.sum("x").alias("num_sum"),
+        F.hll_sketch_agg("value", F.lit(12)).alias("distinct_sketch"),
+        F.kll_sketch_agg_double("x").alias("quantile_sketch"),
+    )
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketch rows of several tables, days or corpora merged to one row per ``keys``."""
+    total = lambda c: F.sum(c).alias(c)
+    return sketches.groupBy(*keys).agg(
+        total("non_null"), total("null_count"), total("numeric_count"), F.min("num_min").alias("num_min"), F.max("num_max").alias("num_max"), total("num_sum"),
+        F.hll_union_agg("distinct_sketch").alias("distinct_sketch"), F.kll_merge_agg_double("quantile_sketch").alias("quantile_sketch"),
+    )
+
+
+def sketch_profile(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Profile read off sketch rows: type, counts, extremes, approximate distinct count and median (null without numbers)."""
+    some = F.col("numeric_count") > 0
+    return sketches.select(
+        *keys, dtype_of(F.col("non_null"), F.col("numeric_count")).alias("dtype"), "non_null", "null_count", "num_min", "num_max",
+        (F.col("num_sum") / F.nullif(F.col("numeric_count"), F.lit(0))).alias("num_mean"),
+        F.hll_sketch_estimate("distinct_sketch").alias("approx_unique"),
+        F.when(some, F.kll_sketch_get_quantile_double("quantile_sketch", F.lit(0.5))).alias("median"),
     )
-    return _finish(out, keys)
 
 
 def _finish(out: DataFrame, keys: list[str]) -> DataFrame:

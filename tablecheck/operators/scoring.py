@@ -67,10 +67,10 @@ def blended_weights(blends: DataFrame, weights: DataFrame | None = None) -> Data
     return known
 
 
-def blend_weight(dimension: Column, detected: Column, blend: Column) -> Column:
-    """Blended default weight of one dimension, without a join."""
+def blend_weight(dimension: Column, detected: Column, blend: Column, weights: dict[str, list[float]] = WEIGHTS) -> Column:
+    """Blended weight of one dimension, without a join; ``weights`` lists a weight per dimension for each scenario."""
     table = F.create_map(*[
-        F.lit(x) for s, ws in WEIGHTS.items() for d, w in zip(DIMENSIONS, ws) for x in (f"{s}/{d}", w)
+        F.lit(x) for s, ws in weights.items() for d, w in zip(DIMENSIONS, ws) for x in (f"{s}/{d}", w)
     ])
     weight = lambda scenario: F.element_at(table, F.concat(scenario, F.lit("/"), dimension))
     mixed = F.aggregate(
@@ -189,7 +189,7 @@ def run_stability(runs: DataFrame, keys: list[str] = ["case_id", "dimension"]) -
 
 
 def consistency_caps(dims: DataFrame, case: str = "case_id") -> DataFrame:
-    """Completeness is at most 2 when data accuracy is 0, then data accuracy when formula logic is 0.
+    """Completeness is at most 2 when data accuracy is 0, then data accuracy when formula logic is 0; a note says so at the end of the feedback.
 
     The window covers the eight reviews of one case.
     """
@@ -200,8 +200,12 @@ def consistency_caps(dims: DataFrame, case: str = "case_id") -> DataFrame:
     cap_d = (F.col("dimension") == "data_accuracy") & (F.col("_fl") == 0) & (F.col("score") > 2)
     reason = F.when(cap_c, "data accuracy is 0").when(cap_d, "formula logic is 0")
     note = F.format_string(" [Consistency adjustment: capped from %d to 2 because %s]", "score", reason)
+    df = df.withColumn("cap_note", F.when(reason.isNotNull(), note))
+    if "feedback" in df.columns:
+        noted = F.concat(F.coalesce("feedback", F.lit("")), "cap_note")
+        df = df.withColumn("feedback", F.when(F.col("cap_note").isNotNull(), noted).otherwise(F.col("feedback")))
     return (
-        df.withColumn("cap_note", F.when(reason.isNotNull(), note))
+        df
         .withColumn("score", F.when(F.col("cap_note").isNotNull(), 2).otherwise(F.col("score")))
         .drop("_da", "_fl")
     )
@@ -212,13 +216,18 @@ def _average(score: Column, weight: Column, keep: Column) -> Column:
     return F.sum(F.when(keep, score * weight)) / F.nullif(w, F.lit(0.0))
 
 
-def summarise(dims: DataFrame, case: list[str] = ["case_id"]) -> DataFrame:
-    """Weighted averages and status lists per case; ``dims`` carries score, status and weight."""
+def summarise(dims: DataFrame, case: list[str] = ["case_id"], score_columns: bool = False) -> DataFrame:
+    """Weighted averages and status lists per case; ``dims`` carries score, status and weight.
+
+    With ``score_columns`` every dimension's score is a column as well, from the same aggregate.
+    """
     counted = F.col("score").isNotNull() & ~F.col("status").isin("skipped", "error")
     na = (F.col("status") != "skipped") & ~counted
     listed = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("dimension")))), ",")
     s, w, d = F.col("score"), F.col("weight"), F.col("dimension")
+    wide = [F.max(F.when(d == x, s)).alias(x) for x in DIMENSIONS] if score_columns else []
     return dims.groupBy(*case).agg(
+        *wide,
         _average(s, w, counted & d.isin(*CONTENT_DIMS)).alias("data_content_avg"),
         _average(s, w, counted & d.isin(*STRUCTURE_DIMS)).alias("structure_usability_avg"),
         _average(s, w, counted).alias("overall_weighted_avg"),
@@ -237,6 +246,23 @@ def cost_summary(dims: DataFrame, case: list[str] = ["case_id"]) -> DataFrame:
     )
 
 
+def cost_report(dims: DataFrame, case: list[str] = ["case_id"]) -> DataFrame:
+    """Tokens, latency and cost of every dimension and, as dimension ``total``, of the case (its highest latency)."""
+    parts = dims.select(*case, "dimension", "input_tokens", "output_tokens", "latency_ms", "cost")
+    total = cost_summary(dims, case).select(
+        *case, F.lit("total").alias("dimension"), F.col("total_input_tokens").alias("input_tokens"), F.col("total_output_tokens").alias("output_tokens"),
+        F.col("total_latency_ms").alias("latency_ms"), F.col("total_cost").alias("cost"),
+    )
+    return parts.unionByName(total)
+
+
+def applicability(dimension: Column, applicable: Column, reasons: Column) -> Column:
+    """Whether a dimension applies to a case and, if not, why: struct of is_applicable and reason.  What is not mentioned applies."""
+    applies = F.coalesce(F.element_at(applicable, dimension), F.lit(True))
+    reason = F.when(~applies, F.coalesce(F.element_at(reasons, dimension), F.lit("")))
+    return F.struct(applies.alias("is_applicable"), reason.alias("reason"))
+
+
 def expected_check(score: Column, lo: Column, hi: Column, must_be_na: Column) -> Column:
     """Regression verdict of one dimension."""
     return (

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablecheck.functions.formula import is_error_value, sheet_refs, shown_formula, uses_indirect
-from tablecheck.operators.rownum import first_n, first_per_key
+from tablecheck.functions.formula import areas, is_error_value, sheet_refs, shown_formula, uses_indirect
+from tablecheck.operators.rownum import first_per_key
 
 NO_COLOR = "00000000"
 
@@ -23,26 +23,24 @@ def join_values(texts: DataFrame, values: DataFrame) -> DataFrame:
     return texts.join(values.select(*on, "computed_value"), on, "left")
 
 
-def formula_stats(found: DataFrame, cases: DataFrame | None = None, lines: int | None = None) -> DataFrame:
-    """Per case: totals and the error lines, all of them or the first ``lines``.
+def formula_stats(found: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """Per case: number of formulas and of formula errors.
 
     ``cases`` (case_id) names cases that may have no formula; they come with zeros.
     """
-    totals = found.groupBy("case_id").agg(
+    out = found.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("total_formulas"), F.count_if("has_error").alias("formula_errors")
     )
-    line = F.concat("sheet", F.lit("!"), "coord", F.lit(": "), "shown", F.lit(" → "), "computed_value")
-    errors = found.where("has_error").withColumn("line", line)
-    order = ["sheet_idx", "row_idx", "col_idx"]
-    if lines is not None:
-        errors = first_n(errors, ["case_id"], order, lines)
-    lists = errors.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct(*order, "line"))).alias("e"))
-    out = totals.join(lists, "case_id", "left")
     if cases is not None:
         out = cases.select("case_id").distinct().join(out, "case_id", "left")
-    text = F.array_join(F.transform("e", lambda x: x["line"]), "\n")
     none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("case_id", none("total_formulas"), none("formula_errors"), F.coalesce(text, F.lit("")).alias("error_details"))
+    return out.select("case_id", none("total_formulas"), none("formula_errors"))
+
+
+def error_lines(found: DataFrame) -> DataFrame:
+    """One row per formula error: case_id, sheet_idx, row_idx, col_idx, line."""
+    line = F.concat("sheet", F.lit("!"), "coord", F.lit(": "), "shown", F.lit(" → "), "computed_value")
+    return found.where("has_error").select("case_id", "sheet_idx", "row_idx", "col_idx", line.alias("line"))
 
 
 def cross_sheet_refs(found: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -60,6 +58,45 @@ def cross_sheet_refs(found: DataFrame, sheets: DataFrame) -> DataFrame:
     return first.select("case_id", "sheet", "target", "coord", F.col("formula").alias("example"))
 
 
+def named_areas(names: DataFrame) -> DataFrame:
+    """Rectangles of defined names (case_id, name, attr_text), one row each: case_id, name, sheet, top, left, bottom, right."""
+    return names.select("case_id", "name", F.explode(areas(F.col("attr_text"))).alias("a")).select("case_id", "name", "a.*")
+
+
+def named_refs(names: DataFrame) -> DataFrame:
+    """Defined names as cross references: case_id, sheet (``name`` and the name), target, coord, example; local and broken names are none."""
+    first = first_per_key(named_areas(names), ["case_id", "name", "sheet"], ["top", "left", "bottom", "right"])
+    coord = F.format_string("R%dC%d:R%dC%d", "top", "left", "bottom", "right")
+    texts = names.select("case_id", "name", F.col("attr_text").alias("example")).distinct()
+    return first.join(texts, ["case_id", "name"]).select("case_id", F.concat(F.lit("name "), "name").alias("sheet"), F.col("sheet").alias("target"), coord.alias("coord"), "example")
+
+
+#: Rows of the stretches a sheet is cut into, from fine to coarse.
+STRETCHES = tuple(64 * 8**k for k in range(6))
+
+
+def cells_in_areas(cells: DataFrame, found: DataFrame) -> DataFrame:
+    """``cells`` (case_id, sheet, row_idx, col_idx, ...) beside the named areas they lie in.
+
+    An area is filed under the finest stretches of rows that cover it with two at most; a cell looks into one stretch of each size
+    that is in use.  So a tall area costs two rows, and no cell is compared with areas far away.
+    """
+    height = F.col("bottom") - F.col("top") + 1
+    level = F.lit(len(STRETCHES) - 1)
+    for k in reversed(range(len(STRETCHES) - 1)):
+        level = F.when(height <= STRETCHES[k], k).otherwise(level)
+    size = F.element_at(F.array(*[F.lit(s) for s in STRETCHES]), F.col("level") + 1)
+    filed = found.withColumn("level", level)
+    filed = filed.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("top") / size), F.floor(F.col("bottom") / size))))
+    used = [r.level for r in filed.select("level").distinct().collect()]  # six at most
+    if not used:
+        used = [0]
+    looks = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("row_idx") / STRETCHES[k]).alias("stretch")) for k in sorted(used)])
+    probing = cells.withColumn("_look", F.explode(looks)).select("*", "_look.level", "_look.stretch").drop("_look")
+    inside = F.col("row_idx").between(F.col("top"), F.col("bottom")) & F.col("col_idx").between(F.col("left"), F.col("right"))
+    return probing.join(filed, ["case_id", "sheet", "level", "stretch"]).where(inside).drop("level", "stretch")
+
+
 def first_indirect(found: DataFrame) -> DataFrame:
     hits = found.where(F.startswith("formula", F.lit("=")) & uses_indirect(F.col("formula")))
     first = first_per_key(hits, ["case_id", "sheet"], ["row_idx", "col_idx"])
@@ -71,41 +108,36 @@ def visible_styles(styles: DataFrame) -> DataFrame:
 
 
 def fonts_used(styles: DataFrame) -> DataFrame:
-    """Explicit fonts, or the theme font of a workbook that sets none."""
-    own = F.when(F.col("font_scheme").isNull(), F.col("font_name"))
-    names = visible_styles(styles).select("case_id", own.alias("own"), "font_name").distinct()
-    return names.groupBy("case_id").agg(
-        F.coalesce(
-            F.nullif(F.array_join(F.array_sort(F.collect_set("own")), ","), F.lit("")), F.min("font_name"), F.lit("")
-        ).alias("fonts")
-    )
+    """Explicit fonts of every workbook, one row each, or the theme font of a workbook that sets none: case_id, item."""
+    seen = visible_styles(styles).where(F.col("font_name").isNotNull())
+    names = seen.select("case_id", F.col("font_scheme").isNull().alias("own"), "font_name").distinct()
+    about = names.groupBy("case_id").agg(F.bool_or("own").alias("any_own"), F.min("font_name").alias("theme"))
+    both = names.join(about, "case_id")
+    chosen = F.when(F.col("any_own"), F.when(F.col("own"), F.col("font_name"))).otherwise(F.col("theme"))
+    return both.select("case_id", chosen.alias("item")).where("item IS NOT NULL").distinct()
 
 
 def color_palette(styles: DataFrame) -> DataFrame:
-    """All colours in order, transparent black left out."""
-    colors = visible_styles(styles).select("case_id", F.explode(F.array("font_color", "fill_color")).alias("color"))
-    colors = colors.where(F.col("color").isNotNull() & (F.col("color") != NO_COLOR)).distinct()
-    return colors.groupBy("case_id").agg(F.array_join(F.sort_array(F.collect_set("color")), ",").alias("colors"))
-
-
-def layout_lists(layout: DataFrame) -> DataFrame:
-    """Conditional rules, merged ranges and frozen panes, counted and listed whole."""
-    counts = layout.groupBy("case_id").agg(
-        F.count_if(F.col("kind") == "rule").alias("rule_count"),
-        F.count_if(F.col("kind") == "merged").alias("merged_count"),
-        F.count_if(F.col("kind") == "freeze").alias("frozen_count"),
-    )
-    named = layout.withColumn("name", F.concat("sheet", F.lit("!"), "item"))
-    lists = named.groupBy("case_id", "kind").agg(F.sort_array(F.collect_list(F.struct("sheet", "ord", "name"))).alias("l"))
-    text = lambda k: F.max(F.when(F.col("kind") == k, F.array_join(F.transform("l", lambda x: x["name"]), ",")))
-    texts = lists.groupBy("case_id").agg(text("rule").alias("rules"), text("merged").alias("merged"), text("freeze").alias("frozen"))
-    return counts.join(texts, "case_id")
+    """All colours of every workbook but transparent black, one row each: case_id, item."""
+    colors = visible_styles(styles).select("case_id", F.explode(F.array("font_color", "fill_color")).alias("item"))
+    return colors.where(F.col("item").isNotNull() & (F.col("item") != NO_COLOR)).distinct()
+
+
+def format_items(styles: DataFrame, layout: DataFrame) -> DataFrame:
+    """Everything about the look of a workbook as rows: case_id, kind (font, color, rule, merged, freeze), sheet, ord, item."""
+    plain = lambda df, kind: df.select("case_id", F.lit(kind).alias("kind"), F.lit("").alias("sheet"), F.lit(0).cast("bigint").alias("ord"), "item")
+    own = layout.select("case_id", "kind", "sheet", F.col("ord").cast("bigint").alias("ord"), "item")
+    return plain(fonts_used(styles), "font").unionByName(plain(color_palette(styles), "color")).unionByName(own)
 
 
 def formatting(styles: DataFrame, layout: DataFrame) -> DataFrame:
-    """Fonts, colours and layout of every workbook of ``styles``; one without layout items has counts of zero."""
-    out = fonts_used(styles).join(color_palette(styles), "case_id", "left").join(layout_lists(layout), "case_id", "left")
-    return out.na.fill(0, ["rule_count", "merged_count", "frozen_count"])
+    """Numbers of fonts, colours and layout items of every workbook of ``styles``; their lists are :func:`format_items`."""
+    count = lambda kind, name: F.count_if(F.col("kind") == kind).alias(name)
+    counts = format_items(styles, layout).groupBy("case_id").agg(
+        count("font", "font_count"), count("color", "color_count"), count("rule", "rule_count"), count("merged", "merged_count"), count("freeze", "frozen_count")
+    )
+    out = visible_styles(styles).select("case_id").distinct().join(counts, "case_id", "left")
+    return out.na.fill(0, [c for c in counts.columns if c != "case_id"])
 
 
 def bold_header(styles: DataFrame) -> DataFrame:

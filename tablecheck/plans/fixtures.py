@@ -139,6 +139,10 @@ SELECT DISTINCT case_id, sheet,
        (sheet = 'Segments' AND CAST(RIGHT(case_id, 6) AS INT) % 2 = 0) AS hidden
 FROM ({f3}) f WHERE side = 'generated'"""
 
+# The same corpus where every other case has lost its unique columns, so that its rows can only be compared by position.
+_FIXTURES["f3_mixed"] = """
+SELECT * FROM ({f3}) f WHERE NOT (CAST(RIGHT(case_id, 6) AS INT) % 2 = 1 AND col_idx IN (1, 4))"""
+
 # part and a copy under other names.
 _FIXTURES["f4_src"] = "SELECT p_partkey AS row_idx, p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part"
 _FIXTURES["f4_gen"] = """
@@ -161,7 +165,7 @@ FROM (
   FROM (SELECT k, run, {{each:0,7}} AS dim_idx FROM (SELECT o_orderkey AS k, {{each:1,3}} AS run FROM orders) a) b
 ) c"""
 _FIXTURES["f5_cases"] = f"""
-SELECT CONCAT('c', LPAD(CAST(k AS VARCHAR(20)), 12, '0')) AS case_id, k, {_pick('k % 7', SCENARIOS)} AS scenario,
+SELECT CONCAT('c', LPAD(CAST(k AS VARCHAR(20)), 12, '0')) AS case_id, CONCAT('task ', CAST(k % 500 AS VARCHAR(20))) AS task_id, k, {_pick('k % 7', SCENARIOS)} AS scenario,
        CASE WHEN k % 3 = 0 THEN {_pick('k % 7', SCENARIOS)} END AS blend1,
        CASE WHEN k % 3 = 0 THEN CASE WHEN k % 31 = 0 THEN 'mystery' ELSE {_pick('(k + 2) % 7', SCENARIOS)} END END AS blend2,
        CASE k % 4 WHEN 0 THEN 'Claude-Sonnet-4-x' WHEN 1 THEN 'claude-3-haiku-y' WHEN 2 THEN 'other' ELSE 'claude-opus-4' END AS model,
@@ -216,12 +220,19 @@ _FIXTURES["names"] = """
 SELECT CONCAT('rng_', CAST(p_partkey AS VARCHAR(20))) AS name, CAST(CASE p_partkey % 4 WHEN 3 THEN 2 ELSE 1 END AS INT) AS destinations,
        CASE p_partkey % 4 WHEN 0 THEN 'Data!$A$1' WHEN 1 THEN '$A$1' WHEN 2 THEN '#REF!$A$1' ELSE 'Data!$A$1,Other!$B$2' END AS attr_text
 FROM part"""
+# Defined names of the formula workbooks: a rectangle of one sheet, a local cell, a broken name, rectangles of two sheets.
+_FIXTURES["f6_names"] = f"""
+SELECT CONCAT('case_', LPAD(CAST(p_partkey % 25 AS VARCHAR(20)), 6, '0')) AS case_id, CONCAT('rng_', CAST(p_partkey AS VARCHAR(20))) AS name,
+       CASE p_partkey % 4 WHEN 0 THEN CONCAT('Data!$A$', CAST(p_size AS VARCHAR(20)), ':$C$', CAST(p_size + p_partkey % 700 AS VARCHAR(20)))
+         WHEN 1 THEN CONCAT('$B$', CAST(p_size AS VARCHAR(20))) WHEN 2 THEN '#REF!$A$1'
+         ELSE CONCAT('''Sheet 1''!$A$1:$B$', CAST(p_size AS VARCHAR(20)), ',Data!$AB$2:$B$', CAST(p_size AS VARCHAR(20))) END AS attr_text
+FROM part"""
 _FIXTURES["charts"] = f"""
 SELECT CONCAT('case_', LPAD(CAST({idiv('p_partkey', 1000)} AS VARCHAR(20)), 6, '0')) AS case_id, 'Customers' AS sheet, p_partkey AS chart_idx,
        CASE p_partkey % 7 WHEN 0 THEN 'bar' WHEN 1 THEN 'line' WHEN 2 THEN 'pie' WHEN 3 THEN 'area' WHEN 4 THEN 'scatter' ELSE 'unknown' END AS chart_type,
        CASE WHEN p_partkey % 3 > 0 THEN p_name END AS title, p_partkey % 2 = 0 AS has_legend,
        CASE WHEN p_partkey % 70 = 0 THEN 'x' END AS x_title, CASE WHEN p_partkey % 71 = 1 THEN 'y' END AS y_title
-FROM part WHERE p_partkey % 50 = 0 OR p_size = 11"""
+FROM part"""
 
 # F8: reviewer replies, one per case and dimension.
 _TICKS = "```"

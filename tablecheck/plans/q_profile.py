@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablecheck.functions import naming
-from tablecheck.functions.cells import is_empty
+from tablecheck.functions.cells import try_numeric
 from tablecheck.operators import matching as mt, profile as pf, sheets as sh
 from tablecheck.operators.rownum import dedupe_names
 from tablecheck.plans import sqltext as q
 from tablecheck.plans.fixtures import fixture, with_fixtures
 from tablecheck.plans.registry import query, table
+from tablecheck.session import cut_lineage
 
 SHEET = ["case_id", "side", "sheet"]
 STATS = ["num_min", "num_max", "num_mean", "num_sum"]
@@ -63,10 +64,23 @@ def agg_column_profile_corpus(spark, sf):
     return _rounded(pf.column_profile(fixture(spark, sf, "f3"), [*SHEET, "col_name"]))
 
 
-@query("agg_column_profile_approx")
+@query("agg_column_profile_approx", with_fixtures("f3") + f"""
+SELECT side, sheet, col_name, count(value) AS non_null, count(DISTINCT value) AS unique_count, true AS distinct_ok,
+       CASE WHEN count({q.number('value')}) > 0 THEN true END AS median_ok FROM f3 GROUP BY ALL""")
 def agg_column_profile_approx(spark, sf):
-    """Column profiles with approximate distinct counts."""
-    return _rounded(pf.column_profile_approx(fixture(spark, sf, "f3"), [*SHEET, "col_name"]))
+    """Column sketches of every sheet merged over all cases, beside exact counts: distinct counts within 5 %, the median's rank within 3 %."""
+    cells = fixture(spark, sf, "f3")
+    merged = pf.merge_sketches(cut_lineage(pf.column_sketches(cells, [*SHEET, "col_name"]), "sketches"), ["side", "sheet", "col_name"])
+    est = pf.sketch_profile(merged, ["side", "sheet", "col_name"])
+    keys = ["side", "sheet", "col_name"]
+    exact = cells.groupBy(*keys).agg(F.count_distinct("value").alias("unique_count"))
+    x = pf.finite_number(F.col("value"))
+    ranked = cells.select(*keys, x.alias("x")).where("x IS NOT NULL").join(est.select(*keys, "median"), keys)
+    share = ranked.groupBy(*keys).agg((F.count_if(F.col("x") < F.col("median")) / F.count(F.lit(1))).alias("below"), (F.count_if(F.col("x") <= F.col("median")) / F.count(F.lit(1))).alias("upto"))
+    both = est.join(exact, keys).join(share, keys, "left")
+    near = F.abs(F.col("approx_unique") - F.col("unique_count")) <= 0.05 * F.col("unique_count")
+    middle = (F.col("below") <= 0.53) & (F.col("upto") >= 0.47)
+    return both.select(*keys, "non_null", "unique_count", near.alias("distinct_ok"), F.when(F.col("upto").isNotNull(), middle).alias("median_ok"))
 
 
 @query("agg_sheet_profile", with_fixtures("f2_src") + f"""
@@ -102,105 +116,12 @@ def w_first_n_values(spark, sf):
     return out.select(*SHEET, "col_name", "row_idx", "value", "rn")
 
 
-def _heads(spark, sf):
-    return mt.column_heads(fixture(spark, sf, "f3"), [*SHEET, "col_idx", "col_name"])
-
-
-_HEADS = """
-, h AS (SELECT DISTINCT case_id, side, sheet, col_name, value FROM (
-          SELECT * FROM f3 WHERE value IS NOT NULL
-          QUALIFY row_number() OVER (PARTITION BY case_id, side, sheet, col_name ORDER BY row_idx) <= 100) t)
-"""
-
-
-@query("agg_value_overlap", with_fixtures("f3") + _HEADS + """
-, c AS (SELECT DISTINCT s.case_id, s.sheet AS s_sheet, g.sheet AS g_sheet, s.col_name AS source_col, g.col_name AS generated_col
-        FROM f3 s JOIN f3 g ON s.case_id = g.case_id AND lower(s.col_name) = lower(g.col_name) AND s.side = 'source' AND g.side = 'generated'
-        WHERE (s.sheet, g.sheet) IN (('customer', 'Customers'), ('part list', 'Parts List'))
-          AND s.row_idx = g.row_idx)
-SELECT case_id, s_sheet, source_col, generated_col, round(both_n * 1.0 / greatest(a + b - both_n, 1), 9) AS overlap
-FROM (SELECT c.*, (SELECT count(*) FROM h WHERE h.case_id = c.case_id AND h.side = 'source' AND h.sheet = c.s_sheet AND h.col_name = c.source_col) AS a,
-             (SELECT count(*) FROM h WHERE h.case_id = c.case_id AND h.side = 'generated' AND h.sheet = c.g_sheet AND h.col_name = c.generated_col) AS b,
-             (SELECT count(*) FROM h JOIN h k ON h.value = k.value AND h.case_id = k.case_id WHERE h.case_id = c.case_id AND h.side = 'source'
-                AND h.sheet = c.s_sheet AND h.col_name = c.source_col AND k.side = 'generated' AND k.sheet = c.g_sheet AND k.col_name = c.generated_col) AS both_n
-      FROM c) t""")
-def agg_value_overlap(spark, sf):
-    """Jaccard of the first 100 values of equally named columns."""
-    heads = _heads(spark, sf).withColumn("low", F.lower("col_name"))
-    pair = F.when(F.col("sheet").isin("customer", "Customers"), "customer").when(F.col("sheet").isin("part list", "Parts List"), "parts")
-    heads = heads.withColumn("pair", pair).where("pair IS NOT NULL")
-    s = heads.where("side = 'source'").select("case_id", "pair", "low", F.col("sheet").alias("s_sheet"), F.col("col_name").alias("source_col"), F.col("head").alias("a"))
-    g = heads.where("side = 'generated'").select("case_id", "pair", "low", F.col("col_name").alias("generated_col"), F.col("head").alias("b"))
-    return s.join(g, ["case_id", "pair", "low"]).select(
-        "case_id", "s_sheet", "source_col", "generated_col", F.round(naming.jaccard(F.col("a"), F.col("b")), 9).alias("overlap"))
-
-
-def _column_pairs(spark, sf):
-    heads = _heads(spark, sf)
-    pair = F.when(F.col("sheet").isin("customer", "Customers"), "customer").when(F.col("sheet").isin("part list", "Parts List"), "parts")
-    return mt.match_columns(heads.withColumn("pair", pair).where("pair IS NOT NULL"), ["case_id", "pair"])
-
-
-@query("j_column_pairs")
-def j_column_pairs(spark, sf):
-    """Column mapping of every table pair: exact, then greedy by name and values."""
-    return _column_pairs(spark, sf)
-
-
-@query("f_match_columns_exact", with_fixtures("f3") + """
-, s AS (SELECT case_id, lower(col_name) AS low, arg_min(col_name, col_idx) AS source_col, min(col_idx) AS col_order FROM f3
-        WHERE side = 'source' AND sheet = 'customer' GROUP BY ALL)
-, g AS (SELECT case_id, lower(col_name) AS low, arg_max(col_name, col_idx) AS generated_col FROM f3
-        WHERE side = 'generated' AND sheet = 'Customers' GROUP BY ALL)
-SELECT case_id, col_order, source_col, generated_col, 'exact_name' AS match_type, CAST(1.0 AS DOUBLE) AS confidence FROM s JOIN g USING (case_id, low)""")
-def f_match_columns_exact(spark, sf):
-    """Case-insensitive equal names."""
-    f3 = fixture(spark, sf, "f3")
-    src, gen = f3.where("side = 'source' AND sheet = 'customer'"), f3.where("side = 'generated' AND sheet = 'Customers'")
-    return mt.match_exact(src, gen, ["case_id"])
-
-
 def _tables(spark, sf):
     cols = mt.table_columns(fixture(spark, sf, "f3"), SHEET)
     order = F.when(F.col("sheet").isin("customer", "Customers"), 0).when(F.col("sheet").isin("part list", "Parts List"), 1).otherwise(2)
     return cols.withColumn("sheet_idx", order)
 
 
-@query("j_sheet_pairs")
-def j_sheet_pairs(spark, sf):
-    """Table pairing of every case; all pairs are kept, the first is marked."""
-    return mt.match_tables(_tables(spark, sf))
-
-
-@query("s_best_match")
-def s_best_match(spark, sf):
-    """Best-scoring generated sheet of every source sheet."""
-    out = mt.match_tables(_tables(spark, sf))
-    return out.groupBy("case_id").agg(F.max_by("generated_sheet", "score").alias("best_sheet"), F.max("score").alias("score"))
-
-
-def _name_pairs(spark, sf):
-    """Consecutive customer and part names, distinct."""
-    p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("a"))
-    b = table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("p_name").alias("b"))
-    return p.join(b, "p_partkey").select("a", "b").distinct()
-
-
-@query("f_name_similarity")
-def f_name_similarity(spark, sf):
-    """Name similarity of distinct pairs of neighbouring part names."""
-    return _name_pairs(spark, sf).withColumn("similarity", naming.name_similarity("a", "b"))
-
-
-@query("f_pair_score")
-def f_pair_score(spark, sf):
-    """Column and table pair scores over distinct name pairs."""
-    pairs = _name_pairs(spark, sf).withColumn("name", naming.name_similarity("a", "b"))
-    words = naming.jaccard(F.split("a", " "), F.split("b", " "))
-    return pairs.select("a", "b", naming.column_pair_score(F.col("name"), words).alias("column_score"),
-                        naming.table_pair_score(F.col("name"), words).alias("table_score"))
-
-
 @query("f_match_type", """
 SELECT o_orderkey, CASE WHEN (o_custkey % 101) / 100.0 > 0.5 THEN 'fuzzy_name' ELSE 'value_overlap' END AS match_type,
        (o_custkey % 101) / 100.0 >= 0.3 AS accepted, (o_custkey % 101) / 100.0 >= 0.5 AS compared FROM orders""")
@@ -249,23 +170,32 @@ def set_except_cols(spark, sf):
         F.array_join(F.array_sort(F.array_except("b", "a")), ",").alias("added"))
 
 
+PART_BYTES = 1 << 14
+# The generated sheets and one per case that has a header and no rows.
+NAMED_SQL = """
+SELECT case_id, sheet, row_idx, col_idx, col_name, value FROM f3 WHERE side = 'generated'
+UNION ALL SELECT DISTINCT case_id, 'Notes', CAST(NULL AS BIGINT), col_idx, CONCAT('Note, ', CAST(col_idx AS VARCHAR(20))), CAST(NULL AS VARCHAR(40)) FROM f3 WHERE side = 'generated' AND sheet = 'Segments'"""
+
+
+def named_cells(spark, sf):
+    return spark.sql(NAMED_SQL.replace("FROM f3", "FROM {f3}"), f3=fixture(spark, sf, "f3"))
+
+
 @query("p_visible", with_fixtures("f3", "f3_visibility") + """
 SELECT case_id, sheet, count(*) AS cells FROM f3 JOIN f3_visibility v USING (case_id, sheet) WHERE side = 'generated' AND NOT hidden GROUP BY ALL""")
 def p_visible(spark, sf):
     """Cells of visible sheets only."""
     cells = fixture(spark, sf, "f3").where("side = 'generated'")
-    shown = fixture(spark, sf, "f3_visibility").where("NOT hidden").select("case_id", "sheet")
-    counted = cells.groupBy("case_id", "sheet").agg(F.count(F.lit(1)).alias("cells"))
-    return counted.join(shown, ["case_id", "sheet"], "left_semi")
+    shown = sh.visible(cells, fixture(spark, sf, "f3_visibility"))
+    return shown.groupBy("case_id", "sheet").agg(F.count(F.lit(1)).alias("cells"))
 
 
 @query("p_nonempty_tables", with_fixtures("f3") + f"""
-SELECT case_id, side, sheet, count(*) AS cells FROM f3 GROUP BY ALL HAVING count(*) FILTER (WHERE NOT {q.empty('value')}) > 0""")
+, n AS ({NAMED_SQL}) SELECT case_id, sheet, count(*) AS cells FROM n GROUP BY ALL HAVING count(row_idx) > 0""")
 def p_nonempty_tables(spark, sf):
-    """Tables that hold any value."""
-    filled = F.count_if(~is_empty(F.col("value")))
-    out = fixture(spark, sf, "f3").groupBy(*SHEET).agg(F.count(F.lit(1)).alias("cells"), filled.alias("filled"))
-    return out.where("filled > 0").drop("filled")
+    """Tables that have rows."""
+    kept = sh.nonempty(named_cells(spark, sf), ["case_id", "sheet"])
+    return kept.groupBy("case_id", "sheet").agg(F.count(F.lit(1)).alias("cells"))
 
 
 _SPARSE = "SELECT case_id, side, sheet, row_idx, col_idx, CASE WHEN col_idx >= 3 AND right(case_id, 1) IN ('0', '2', '4', '6', '8') THEN ' ' ELSE value END AS value FROM f3"
@@ -278,7 +208,7 @@ WHERE col_idx <= coalesce(last_col, 1) GROUP BY ALL""")
 def w_trim_columns(spark, sf):
     """Trailing empty columns dropped."""
     sparse = spark.sql(_SPARSE.replace("FROM f3", "FROM {f3}"), f3=fixture(spark, sf, "f3"))
-    kept = sh.trim_columns(sparse, SHEET, F.xxhash64("case_id", "sheet", "row_idx", "col_idx"))
+    kept = sh.trim_columns(sparse, SHEET)
     return kept.groupBy(*SHEET).agg(F.max("col_idx").alias("kept_columns"), F.count(F.lit(1)).alias("cells"))
 
 
@@ -297,16 +227,20 @@ def w_header_dedupe(spark, sf):
     return dedupe_names(raw, ["table_id"], "col_idx", "name").select("table_id", "col_idx", "header")
 
 
-@query("w_lone_header", """
-SELECT concat_ws('-', o_custkey, o_orderstatus, o_orderpriority) AS table_id, count(*) = 1 AS single_row, bool_or(o_orderkey % 3 = 0) AS has_typed_cell,
-       count(*) = 1 AND bool_or(o_orderkey % 3 = 0) AS first_row_is_data FROM orders GROUP BY ALL""")
+_TYPED = """
+SELECT CONCAT(CAST(o_custkey AS VARCHAR(20)), '-', o_orderstatus, '-', o_orderpriority) AS table_id, o_orderkey AS row_idx, CAST(col_idx AS INT) AS col_idx,
+       CASE WHEN col_idx = 1 THEN o_orderpriority WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR(20)) ELSE 'n/a' END AS value
+FROM (SELECT *, {each} AS col_idx FROM orders) x"""
+
+
+@query("w_lone_header", "WITH c AS (" + _TYPED.format(each="unnest([1, 2])") + f""")
+SELECT table_id, count(DISTINCT row_idx) = 1 AS single_row, bool_or({q.number('value')} IS NOT NULL) AS has_typed_cell,
+       count(DISTINCT row_idx) = 1 AND bool_or({q.number('value')} IS NOT NULL) AS first_row_is_data FROM c GROUP BY ALL""")
 def w_lone_header(spark, sf):
-    """A lone first row with a non-text cell is data, not a header."""
-    rows = table(spark, sf, "orders")
-    typed = F.when(F.col("o_orderkey") % 3 == 0, "number").otherwise("string")
-    out = rows.groupBy(F.concat_ws("-", "o_custkey", "o_orderstatus", "o_orderpriority").alias("table_id")).agg(
-        (F.count(F.lit(1)) == 1).alias("single_row"), F.bool_or(typed != "string").alias("has_typed_cell"))
-    return out.withColumn("first_row_is_data", F.col("single_row") & F.col("has_typed_cell"))
+    """A lone first row with a non-text cell is data, not a header; cell types are read off the values."""
+    cells = spark.sql(_TYPED.format(each="explode(array(1, 2))").replace("FROM orders", f"FROM parquet.`{sf}/orders.parquet`"))
+    kind = F.when(try_numeric(F.col("value")).isNotNull(), "number").otherwise("text")
+    return sh.lone_headers(cells.withColumn("kind", kind), ["table_id"])
 
 
 _TRUNC = with_fixtures("f3") + _ROWSIG + """
@@ -341,39 +275,55 @@ def set_union_last_wins(spark, sf):
     return a.unionByName(b).groupBy("sheet").agg(F.max("file_idx").alias("file_idx"))
 
 
-def sheet_texts(spark, sf):
-    """CSV text of every generated sheet with its visibility."""
-    f3 = fixture(spark, sf, "f3").where("side = 'generated'")
-    texts = sh.sheet_texts(f3, ["case_id", "sheet"])
-    return texts.join(fixture(spark, sf, "f3_visibility"), ["case_id", "sheet"])
+def sheet_views(spark, sf):
+    """CSV view of every generated sheet with its visibility."""
+    texts = sh.sheet_views(named_cells(spark, sf), ["case_id", "sheet"])
+    shown = texts.join(fixture(spark, sf, "f3_visibility"), ["case_id", "sheet"], "left")
+    return shown.withColumn("hidden", F.coalesce("hidden", F.lit(False)))
 
 
 _CSV_FIELD = """CASE WHEN regexp_matches({0}, '[,"\\n\\r]') THEN '"' || replace({0}, '"', '""') || '"' ELSE coalesce({0}, '') END"""
-SHEETS_SQL = f"""
-, gen AS (SELECT * FROM f3 WHERE side = 'generated')
+_SHEET_LINES = f"""
+, gen AS ({NAMED_SQL})
 , hdr AS (SELECT case_id, sheet, string_agg({_CSV_FIELD.format('col_name')}, ',' ORDER BY col_idx) AS header, count(*) AS col_count
           FROM (SELECT DISTINCT case_id, sheet, col_idx, col_name FROM gen) d GROUP BY ALL)
-, rw AS (SELECT case_id, sheet, row_idx, string_agg({_CSV_FIELD.format('value')}, ',' ORDER BY col_idx) AS line FROM gen
+, rw AS (SELECT case_id, sheet, row_idx, string_agg({_CSV_FIELD.format('value')}, ',' ORDER BY col_idx) AS line FROM gen WHERE row_idx IS NOT NULL
          GROUP BY ALL HAVING NOT bool_and({q.empty('value')}))
+"""
+SHEETS_SQL = _SHEET_LINES + """
 , rn AS (SELECT *, row_number() OVER (PARTITION BY case_id, sheet ORDER BY row_idx) - 1 AS pos, count(*) OVER (PARTITION BY case_id, sheet) AS n FROM rw)
 , kept AS (SELECT case_id, sheet, pos, line, n FROM rn WHERE n <= 500 OR pos < 100 OR pos >= n - 50
            UNION ALL SELECT DISTINCT rn.case_id, rn.sheet, 100, '[... ' || CAST(n - 150 AS VARCHAR) || ' rows truncated ...]'
                      || repeat(',[... ' || CAST(n - 150 AS VARCHAR) || ' rows truncated ...]', hdr.col_count - 1), n
            FROM rn JOIN hdr ON rn.case_id = hdr.case_id AND rn.sheet = hdr.sheet WHERE n > 500)
-, sheets AS (SELECT k.case_id, k.sheet, any_value(header) || chr(10) || string_agg(line, chr(10) ORDER BY pos) || chr(10) AS csv_text,
-             max(n) AS row_count, any_value(col_count) AS col_count, max(n) > 500 AS truncated, any_value(hidden) AS hidden
-             FROM kept k JOIN hdr ON k.case_id = hdr.case_id AND k.sheet = hdr.sheet
-             JOIN f3_visibility v ON k.case_id = v.case_id AND k.sheet = v.sheet GROUP BY ALL)
+, sheets AS (SELECT hdr.case_id, hdr.sheet, any_value(header) || chr(10) || coalesce(string_agg(line, chr(10) ORDER BY pos) || chr(10), '') AS csv_text,
+             coalesce(max(n), 0) AS row_count, any_value(col_count) AS col_count, coalesce(max(n), 0) > 500 AS truncated, coalesce(any_value(hidden), false) AS hidden
+             FROM hdr LEFT JOIN kept k ON k.case_id = hdr.case_id AND k.sheet = hdr.sheet
+             LEFT JOIN f3_visibility v ON hdr.case_id = v.case_id AND hdr.sheet = v.sheet GROUP BY ALL)
+"""
+_PARTS_SQL = with_fixtures("f3") + _SHEET_LINES + f"""
+, al AS (SELECT case_id, sheet, -1 AS row_idx, header AS line FROM hdr UNION ALL SELECT * FROM rw)
+, st AS (SELECT *, strlen(line) + 1 AS n_bytes, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY case_id, sheet ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM al)
+, pt AS (SELECT *, 2 * (s // {PART_BYTES}) + CASE WHEN s // {PART_BYTES} = (s + n_bytes - 1) // {PART_BYTES} THEN 0 ELSE 1 END AS part FROM st)
 """
 
 
-@query("src_sheet_csv", with_fixtures("f3", "f3_visibility") + SHEETS_SQL + "SELECT * FROM sheets")
+@query("src_sheet_csv", _PARTS_SQL + """
+SELECT case_id, sheet, part, string_agg(line, chr(10) ORDER BY row_idx) || chr(10) AS csv_text, count(*) AS n_lines FROM pt GROUP BY ALL""")
 def src_sheet_csv(spark, sf):
-    """CSV text of every sheet, truncated when long."""
-    return sheet_texts(spark, sf)
+    """Whole CSV text of every sheet in parts of at most 16 KiB."""
+    return sh.sheet_texts(named_cells(spark, sf), ["case_id", "sheet"], PART_BYTES)
+
+
+@query("w_sheet_view", with_fixtures("f3", "f3_visibility") + SHEETS_SQL + "SELECT * FROM sheets")
+def w_sheet_view(spark, sf):
+    """CSV text of every sheet as a review shows it, long ones by head and tail."""
+    return sheet_views(spark, sf)
 
 
-@query("s_largest_table", with_fixtures("f3", "f3_visibility") + SHEETS_SQL + "SELECT case_id, arg_max(sheet, (length(csv_text), sheet)) AS sheet FROM sheets GROUP BY ALL")
+@query("s_largest_table", _PARTS_SQL + """
+SELECT case_id, arg_max(sheet, (n, sheet)) AS sheet, max(n) AS n_bytes FROM (SELECT case_id, sheet, sum(n_bytes)::BIGINT AS n FROM pt GROUP BY ALL) t GROUP BY ALL""")
 def s_largest_table(spark, sf):
-    """Sheet with the longest text per case."""
-    return sheet_texts(spark, sf).groupBy("case_id").agg(F.max_by("sheet", F.struct(F.length("csv_text"), "sheet")).alias("sheet"))
+    """Sheet with the longest whole text per case, from byte sums."""
+    sizes = sh.sheet_sizes(sh.sheet_lines(named_cells(spark, sf), ["case_id", "sheet"]), ["case_id", "sheet"])
+    return sizes.groupBy("case_id").agg(F.max_by("sheet", F.struct("n_bytes", "sheet")).alias("sheet"), F.max("n_bytes").alias("n_bytes"))

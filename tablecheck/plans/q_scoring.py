@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablecheck.operators import scoring as so
-from tablecheck.operators.skew import key_join
 from tablecheck.plans.fixtures import DIMENSIONS, SCENARIOS, fixture, with_fixtures
 from tablecheck.plans.registry import query, table
 
@@ -105,9 +104,10 @@ def agg_run_stability(spark, sf):
     return so.run_stability(fixture(spark, sf, "f5")).withColumn("spread", F.round("spread", 6))
 
 
-@query("f_consistency_caps", _F5 + _MEDIAN + _CAPPED + "SELECT case_id, dimension, score, cap_note FROM capped")
+@query("f_consistency_caps", _F5 + _MEDIAN + _CAPPED + "SELECT case_id, dimension, score, cap_note, feedback || coalesce(cap_note, '') AS feedback FROM capped")
 def f_consistency_caps(spark, sf):
-    return so.consistency_caps(merged(spark, sf, [])).select("case_id", "dimension", "score", "cap_note")
+    """Scores capped by others, with the note at the end of the feedback."""
+    return so.consistency_caps(merged(spark, sf, ["feedback"])).select("case_id", "dimension", "score", "cap_note", "feedback")
 
 
 @query("j_weights", _F5 + _W + """
@@ -167,17 +167,12 @@ def costs(spark, sf):
     return so.cost_summary(priced(spark, sf)).withColumn("total_cost", F.round("total_cost", 8))
 
 
-@query("agg_cost", _PRICED + """, per AS (SELECT case_id, string_agg(dimension || '=' || (input_tokens + output_tokens), ',' ORDER BY dimension) AS per_dimension
-FROM priced GROUP BY case_id) SELECT * FROM costs JOIN per USING (case_id)""")
+@query("agg_cost", _PRICED + """
+SELECT case_id, dimension, input_tokens, output_tokens, latency_ms, round(cost, 8) AS cost FROM priced
+UNION ALL SELECT case_id, 'total', total_input_tokens, total_output_tokens, total_latency_ms, total_cost FROM costs""")
 def agg_cost(spark, sf):
-    """Token and cost totals, highest latency, and tokens per dimension."""
-    part = F.concat("dimension", F.lit("="), (F.col("input_tokens") + F.col("output_tokens")).cast("string"))
-    dims = priced(spark, sf).withColumn("part", part)
-    per = dims.groupBy("case_id").agg(
-        F.sum("input_tokens").alias("total_input_tokens"), F.sum("output_tokens").alias("total_output_tokens"),
-        F.max("latency_ms").alias("total_latency_ms"), F.round(F.sum("cost"), 8).alias("total_cost"),
-        F.array_join(F.array_sort(F.collect_list("part")), ",").alias("per_dimension"))
-    return per
+    """Tokens, latency and cost of every dimension and of the whole case."""
+    return so.cost_report(priced(spark, sf)).withColumn("cost", F.round("cost", 8))
 
 
 @query("rep_cost", _PRICED + "SELECT * FROM costs")
@@ -207,23 +202,18 @@ def full_summary(spark, sf):
 
 
 @query("rep_summary", _SUMMARY + """
-SELECT c.case_id, c.scenario, """ + ", ".join(
+SELECT c.case_id, c.task_id, c.scenario, """ + ", ".join(
     f"coalesce(CAST(max(d.score) FILTER (WHERE d.dimension = '{d}') AS VARCHAR), 'N/A') AS {d}" for d in DIMENSIONS) + """,
        coalesce(any_value(s.data_content_avg), 0) AS data_content_avg, coalesce(any_value(s.structure_usability_avg), 0) AS structure_usability_avg,
        coalesce(any_value(s.overall_weighted_avg), 0) AS overall_weighted_avg
-FROM f5_cases c JOIN dims d USING (case_id) JOIN summ s USING (case_id) GROUP BY c.case_id, c.scenario""")
+FROM f5_cases c JOIN dims d USING (case_id) JOIN summ s USING (case_id) GROUP BY c.case_id, c.task_id, c.scenario""")
 def rep_summary(spark, sf):
-    """Score sheet: one row per case, dimensions as columns; pivot and averages in one aggregate."""
-    dims = weighted_dims(spark, sf)
-    counted = F.col("score").isNotNull() & ~F.col("status").isin("skipped", "error")
-    avg = lambda cond: F.round(F.coalesce(so._average(F.col("score"), F.col("weight"), cond), F.lit(0.0)), 9)
-    wide = dims.groupBy("case_id").agg(
-        *[F.coalesce(F.max(F.when(F.col("dimension") == d, F.col("score"))).cast("string"), F.lit("N/A")).alias(d) for d in DIMENSIONS],
-        avg(counted & F.col("dimension").isin(*so.CONTENT_DIMS)).alias(AVGS[0]),
-        avg(counted & F.col("dimension").isin(*so.STRUCTURE_DIMS)).alias(AVGS[1]),
-        avg(counted).alias(AVGS[2]))
-    cases = fixture(spark, sf, "f5_cases").select("case_id", "scenario")
-    return cases.join(wide, "case_id")
+    """Score sheet: one row per case, dimensions as columns, with the averages of the summary."""
+    wide = so.summarise(weighted_dims(spark, sf), score_columns=True)
+    shown = [F.coalesce(F.col(d).cast("string"), F.lit("N/A")).alias(d) for d in DIMENSIONS]
+    averages = [F.round(F.coalesce(a, F.lit(0.0)), 9).alias(a) for a in AVGS]
+    cases = fixture(spark, sf, "f5_cases").select("case_id", "task_id", "scenario")
+    return cases.join(wide.select("case_id", *shown, *averages), "case_id")
 
 
 @query("s_batch_rank", _SUMMARY + "SELECT case_id, coalesce(overall_weighted_avg, 0) AS score FROM summ")
@@ -268,9 +258,14 @@ def p_skip_dims(spark, sf):
     return _gate(spark, sf).withColumn("s", s).where("s = 'skipped'").select("case_id", "dimension")
 
 
-@query("p_applicable", _F5 + _GATE + "SELECT case_id, dimension, coalesce(applicable, true) AS is_applicable FROM g")
+@query("p_applicable", _F5 + _GATE + """SELECT case_id, dimension, coalesce(applicable, true) AS is_applicable,
+       CASE WHEN applicable = false THEN CASE WHEN n_screens > 0 THEN 'no ' || dimension || ' needed' ELSE '' END END AS reason FROM g""")
 def p_applicable(spark, sf):
-    return _gate(spark, sf).select("case_id", "dimension", F.coalesce(F.element_at("applicable", F.col("dimension")), F.lit(True)).alias("is_applicable"))
+    """Whether a dimension applies to a case, and the reason where it does not."""
+    reasons = F.when(F.col("n_screens") > 0, F.create_map("dimension", F.concat(F.lit("no "), "dimension", F.lit(" needed")))).otherwise(
+        F.create_map().cast("map<string,string>"))
+    found = so.applicability(F.col("dimension"), F.col("applicable"), reasons)
+    return _gate(spark, sf).select("case_id", "dimension", found.alias("a")).select("case_id", "dimension", "a.*")
 
 
 @query("p_visual_gate", _F5 + _GATE + f"SELECT case_id, dimension, {_STATUS} AS status FROM g")
@@ -284,7 +279,7 @@ SELECT case_id, dimension, run, CASE WHEN dimension IN ('professional_formatting
        THEN 3 ELSE score END AS score FROM f5 JOIN f5_cases USING (case_id)""")
 def p_visual_cap(spark, sf):
     cases = fixture(spark, sf, "f5_cases").select("case_id", "n_screens")
-    df = key_join(fixture(spark, sf, "f5"), cases, ["case_id"], F.xxhash64("case_id", "dimension", "run"))
+    df = fixture(spark, sf, "f5").join(cases, "case_id")
     return df.select("case_id", "dimension", "run", so.visual_cap(F.col("dimension"), F.col("n_screens"), F.col("score")).alias("score"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablecheck.functions import naming
 from tablecheck.operators import reconcile as rc, report as rpt
+from tablecheck.operators.rownum import positions
 from tablecheck.plans import q_reconcile as qr
 from tablecheck.plans.fixtures import fixture, with_fixtures
 from tablecheck.plans.q_replies import _P as PARSED
@@ -21,12 +22,15 @@ from tablecheck.streaming import results as st
 
 @query("src_csv", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def src_csv(spark, sf):
-    """Delimited tables with a header, comma and tab separated."""
+    """Delimited tables of one folder, each read by its own separator: commas, tabs under either name, and a file without rows."""
     cust = table(spark, sf, "customer")
-    a, b = scratch_path(spark, "table") + ".csv", scratch_path(spark, "table") + ".tsv"
-    cust.where("c_custkey % 2 = 0").write.option("header", True).csv(a)
-    cust.where("c_custkey % 2 = 1").write.option("header", True).option("sep", "\t").csv(b)
-    return fs.read_table(spark, a, cust.schema).unionByName(fs.read_table(spark, b, cust.schema))
+    path = scratch_path(spark, "tables")
+    out = lambda rest, sep, ext: cust.where(rest).write.mode("append").option("header", True).option("sep", sep).option("extension", ext).csv(path)
+    out("c_custkey % 3 = 0", ",", "csv")
+    out("c_custkey % 3 = 1", "\t", "tsv")
+    out("c_custkey % 3 = 2", "\t", "csv")
+    out("false", ",", "csv")
+    return fs.read_tables(spark, path, cust.schema)
 
 
 @query("src_json", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
@@ -48,7 +52,7 @@ def src_jsonl(spark, sf):
     path = scratch_path(spark, "jsonl")
     good = F.to_json(F.struct("o_orderkey", "o_custkey"))
     line = F.when(F.col("o_orderkey") % 7 != 0, good).otherwise(F.concat(F.lit("{broken "), F.col("o_orderkey").cast("string")))
-    o.select(line.alias("value"), F.col("o_orderpriority").alias("grp")).repartition(1, "grp").write.partitionBy("grp").text(path)
+    o.select(line.alias("value"), F.col("o_orderpriority").alias("grp")).write.partitionBy("grp").text(path)
     recs = fs.read_json_lines(spark, path)
     grp = F.url_decode(F.regexp_extract("file_path", "grp=([^/]*)/", 1))
     ok = F.startswith("record", F.concat(F.lit("Record "), F.col("line_no").cast("string"), F.lit(": ")))
@@ -61,7 +65,7 @@ def src_text(spark, sf):
     """Whole text files, UTF-8 or Latin-1."""
     p = table(spark, sf, "part")
     path = scratch_path(spark, "text")
-    latin = p.select(F.concat("p_name", F.lit(" é")).alias("value"), F.replace("p_brand", F.lit("#"), F.lit("_")).alias("brand")).repartition(1, "brand")
+    latin = p.select(F.concat("p_name", F.lit(" é")).alias("value"), F.replace("p_brand", F.lit("#"), F.lit("_")).alias("brand"))
     latin.write.partitionBy("brand").text(path)
     texts = fs.read_texts(spark, path + "/*/*.txt")
     brand = F.replace(F.regexp_extract("file_path", "brand=([^/]*)/", 1), F.lit("_"), F.lit("#"))
@@ -73,16 +77,30 @@ _PATHS = """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'a/B.CSV' WHEN 1 THEN '
 WHEN 5 THEN 'photo.JPEG' WHEN 6 THEN 'noext' ELSE 'report.pdf' END AS path FROM pages"""
 
 
-@query("src_route", f"""
+@query("src_route_kind", f"""
 SELECT page_id, path, CASE page_id % 8 WHEN 0 THEN 'csv' WHEN 1 THEN 'jsonl' WHEN 2 THEN 'json' WHEN 3 THEN 'workbook' WHEN 5 THEN 'image' WHEN 7 THEN 'pdf' ELSE 'text' END AS loader,
        CASE WHEN page_id % 8 = 5 THEN '[Image file: photo.JPEG — visual content not extractable as text]' END AS placeholder FROM ({_PATHS}) t""")
-def src_route(spark, sf):
+def src_route_kind(spark, sf):
     """Loader of every path by its suffix."""
     df = spark.sql(_PATHS.replace("FROM pages", f"FROM parquet.`{sf}/pages.parquet`"))
     kind = fs.loader_of(F.col("path"))
     return df.select("page_id", "path", kind.alias("loader"), F.when(kind == "image", fs.image_placeholder(F.col("path"))).alias("placeholder"))
 
 
+@query("src_route", """
+SELECT 'csv' AS kind, c_custkey || ',' || c_name || ',' || c_nationkey || ',' || c_mktsegment AS text FROM customer
+UNION ALL SELECT 'json', '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"}' FROM supplier UNION ALL SELECT 'text', p_name FROM part""")
+def src_route(spark, sf):
+    """Files of a folder read by the loaders their names ask for, in one form: lines of tables and texts, JSON documents."""
+    root = scratch_path(spark, "inputs")
+    table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").write.option("header", True).csv(root + "/tables")
+    table(spark, sf, "supplier").select("s_suppkey", "s_name").write.json(root + "/documents")
+    table(spark, sf, "part").select("p_name").write.text(root + "/notes")
+    read = fs.read_inputs(spark, root)
+    lines = read.select("kind", F.explode(F.split("text", "\n")).alias("text"))
+    return lines.where((F.col("text") != "") & ~F.startswith("text", F.lit("c_custkey,")))
+
+
 @query("src_fixed_width", """
 SELECT lpad(CAST(o_orderkey % 9000 AS VARCHAR), 4, '0') || '-' || lpad(CAST(o_custkey % 9000 AS VARCHAR), 4, '0') AS account, 'Title ' || o_orderpriority AS title,
        CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS period_balance, o_totalprice AS year_to_date,
@@ -106,20 +124,23 @@ _FILES = """SELECT source AS case_id, doc_id, 'f' || CAST(doc_id AS VARCHAR) ||
 CASE WHEN doc_id % 10 <> 9 THEN text END AS content, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS file_idx FROM documents"""
 
 
+BUNDLE_BYTES = 1 << 15
+
+
 @query("src_bundle", f"""
-SELECT case_id, part, md5(string_agg('--- Input File: ' || path || CASE WHEN description = '' THEN '' ELSE ' (' || description || ')' END || ' ---' || chr(10)
-       || coalesce(content, '[Error loading file: not found]'), chr(10) || chr(10) ORDER BY file_idx)) AS digest, count(*) AS files
-FROM (SELECT *, CAST(file_idx // 16 AS BIGINT) AS part FROM ({_FILES}) a) b GROUP BY ALL""")
+WITH f AS (SELECT *, '--- Input File: ' || path || CASE WHEN description = '' THEN '' ELSE ' (' || description || ')' END || ' ---' || chr(10)
+                  || coalesce(content, '[Error loading file: not found]') AS block FROM ({_FILES}) a)
+, s AS (SELECT *, strlen(block) + 2 AS n, coalesce(sum(strlen(block) + 2) OVER (PARTITION BY case_id ORDER BY file_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM f)
+, p AS (SELECT *, 2 * (s // {BUNDLE_BYTES}) + CASE WHEN s // {BUNDLE_BYTES} = (s + n - 1) // {BUNDLE_BYTES} THEN 0 ELSE 1 END AS part FROM s)
+SELECT case_id, part, md5(string_agg(block, chr(10) || chr(10) ORDER BY file_idx)) AS digest, count(*) AS files FROM p GROUP BY ALL""")
 def src_bundle(spark, sf):
-    """Inputs of every case as text parts of at most 16 files, in order."""
-    from tablecheck.operators.rownum import positions
-
+    """Inputs of every case as text parts of at most 32 KiB, in order."""
     docs = positions(table(spark, sf, "documents"), "doc_id", ["source"], "file_idx")
     files = docs.select(
         F.col("source").alias("case_id"), "file_idx", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
         F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise("").alias("description"),
         F.when(F.col("doc_id") % 10 != 9, F.col("text")).alias("content"), F.lit(None).cast("string").alias("error"))
-    return fs.bundle(files, 16).select("case_id", "part", F.md5("text").alias("digest"), "files")
+    return fs.bundle(files, BUNDLE_BYTES).select("case_id", "part", F.md5("text").alias("digest"), "files")
 
 
 @query("src_doc_tables", """
@@ -268,7 +289,7 @@ def stream_results(spark, sf):
     replies = fixture(spark, sf, "f8").select("case_id", "dimension", F.lit("2024-01-01 00:00:00").alias("arrived"), "reply", "k")
     inbox, out, mark = f"{base}/in", f"{base}/out", f"{base}/checkpoint"
     replies.where("k % 2 = 0").drop("k").write.json(inbox)
-    st.run_available(st.scored(st.reply_stream(spark, inbox)), out, mark)
+    st.run_available(st.reply_stream(spark, inbox), out, mark)
     replies.where("k % 2 = 1 OR k % 10 = 0").drop("k").write.mode("append").json(inbox)
-    st.run_available(st.scored(st.reply_stream(spark, inbox)), out, mark)
+    st.run_available(st.reply_stream(spark, inbox), out, mark)
     return st.stored(spark, out)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tablecheck.functions.cells import is_empty, try_numeric
+from tablecheck.operators.rownum import first_n, part_number, running_max, running_sum
+from tablecheck.session import cut_lineage
 
-FILES_PER_PART = 64
+#: Bytes of a part of a bundle.
+PART_BYTES = 1 << 20
 # How a file is read, by lower-case suffix.
 LOADERS = {
     ".csv": "csv",
@@ -47,18 +53,85 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str, sep:
     return spark.read.schema(schema).option("header", True).option("sep", sep).option("escape", '"').csv(path)
 
 
+SEPARATORS = (",", "\t", ";")
+#: Lines of a file that show its separator.
+HEAD_LINES = 20
+
+
+def dialects(spark: SparkSession, path: str) -> DataFrame:
+    """file_path, sep and has_rows of every delimited file below ``path``, from its first lines.
+
+    The separator is the one that cuts the header into most fields (the comma where they tie); a ``.tsv`` file is tab
+    separated.  Only the first block of a file is looked at, and at most ``HEAD_LINES`` of its lines travel.
+    """
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file_path"), "value", F.monotonically_increasing_id().alias("at")
+    )
+    head = first_n(lines.where(F.btrim("value") != ""), ["file_path"], ["at"], HEAD_LINES)
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    fields = lambda sep: F.max(F.when(F.col("rn") == 1, F.size(F.split(bare, sep))))
+    best = F.array_max(F.array(*[F.struct(fields(s).alias("n"), F.lit(-i).alias("rank"), F.lit(s).alias("sep")) for i, s in enumerate(SEPARATORS)]))
+    found = head.groupBy("file_path").agg(best.alias("best"), (F.count(F.lit(1)) > 1).alias("has_rows"))
+    sep = F.when(suffix(F.col("file_path")) == ".tsv", "\t").otherwise(F.col("best.sep"))
+    return found.select("file_path", sep.alias("sep"), "has_rows")
+
+
+def read_tables(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """All delimited files below ``path`` with a header and that schema, each read by its own separator; files without rows are left out.
+
+    One read per separator; what reaches the driver is the list of files, as for any read.
+    """
+    by_sep: dict[str, list[str]] = {}
+    for r in dialects(spark, path).where("has_rows").collect():
+        by_sep.setdefault(r.sep, []).append(unquote(r.file_path))
+    parts = [spark.read.schema(schema).option("header", True).option("sep", s).option("escape", '"').csv(files) for s, files in sorted(by_sep.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
+def _any_case(suffix_: str) -> str:
+    return "*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix_)
+
+
+def read_inputs(spark: SparkSession, root: str) -> DataFrame:
+    """Contents of all files below ``root`` in one form: path, kind, ord, text.
+
+    One listing pattern per kind of loader, each kind read by its own reader: tables and texts line by line (numbered from 1),
+    JSON-lines files record by record, JSON files whole, images as a placeholder.  Kinds that need a codec of their own come
+    with a null text, so that nothing is dropped silently.
+    """
+    glob = lambda names: "{" + ",".join(_any_case(n) for n in names) + "}"
+    reader = lambda names, fmt: spark.read.format(fmt).option("pathGlobFilter", glob(names)).option("recursiveFileLookup", True)
+    of = lambda kind: [s for s, k in LOADERS.items() if k == kind]
+    path = F.col("_metadata.file_path").alias("path")
+    lines = number_lines(spark, root, glob([*of("csv"), ".tsv", ".txt", ".md", ".log"]))
+    kind = F.when(suffix(F.col("file_path")).isin(*of("csv"), ".tsv"), "csv").otherwise("text")
+    parts = [lines.select(F.col("file_path").alias("path"), kind.alias("kind"), F.col("line_no").alias("ord"), F.col("value").alias("text"))]
+    records = number_lines(spark, root, glob(of("jsonl")))
+    parts.append(records.select(F.col("file_path").alias("path"), F.lit("jsonl").alias("kind"), F.col("line_no").alias("ord"),
+                                F.concat(F.lit("Record "), F.col("line_no").cast("string"), F.lit(": "), "value").alias("text")))
+    whole = reader(of("json"), "text").option("wholetext", True).load(root)
+    parts.append(whole.select(path, F.lit("json").alias("kind"), F.lit(1).cast("bigint").alias("ord"), F.col("value").alias("text")))
+    rest = [s for s, k in LOADERS.items() if k not in ("csv", "json", "jsonl")]
+    listed = reader(rest, "binaryFile").load(root).select("path").withColumn("kind", loader_of(F.col("path")))
+    name = F.element_at(F.split("path", "/"), -1)
+    shown = F.when(F.col("kind") == "image", image_placeholder(name))
+    parts.append(listed.select("path", "kind", F.lit(1).cast("bigint").alias("ord"), shown.alias("text")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """One JSON document per file."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def number_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their 1-based number inside the file.
+def number_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """Lines of text files (of all below ``path`` whose names match ``pattern``) with their 1-based number inside the file.
 
     A large file arrives in blocks; lines are ranked inside their block and
     block sizes are summed, so no task holds more than one block.
     """
-    lines = spark.read.text(path).select(
+    reader = spark.read if pattern is None else spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    lines = reader.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -125,15 +198,17 @@ def file_blocks(files: DataFrame) -> DataFrame:
     return files.select("case_id", "file_idx", F.concat(header, F.lit("\n"), body).alias("block"))
 
 
-def bundle(files: DataFrame, files_per_part: int = FILES_PER_PART) -> DataFrame:
-    """All inputs of a case in file order, in numbered parts of a fixed number of files.
+def bundle(files: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """All inputs of a case in file order, in numbered parts of at most ``part_bytes`` bytes.
 
-    The parts of a case joined by blank lines are its whole bundle; no part
-    grows with the number of files a case has.
+    ``files`` carries file_idx, dense from 0 inside a case.  The parts of a case joined by blank lines are its whole bundle; a part holds
+    whole files, so only a file that is longer makes a longer part.
     """
-    blocks = file_blocks(files).withColumn("part", F.floor(F.col("file_idx") / files_per_part))
+    blocks = file_blocks(files).withColumn("n_bytes", F.octet_length("block").cast("bigint") + 2)
+    placed = running_sum(blocks, ["case_id"], "file_idx", "n_bytes", "start")
+    placed = placed.withColumn("part", part_number(F.col("start"), F.col("n_bytes"), part_bytes))
     ordered = F.array_sort(F.collect_list(F.struct("file_idx", "block")))
-    return blocks.groupBy("case_id", "part").agg(
+    return placed.groupBy("case_id", "part").agg(
         F.array_join(F.transform(ordered, lambda x: x["block"]), "\n\n").alias("text"), F.count(F.lit(1)).alias("files")
     )
 
@@ -142,23 +217,25 @@ def document_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Cells of the tables inside text documents, with a flag for all-numeric columns.
 
     A table starts at a ``[Table n]`` line; its rows are ``a | b`` lines and the
-    first of them is the header.
+    first of them is the header.  Which table a line belongs to and its place there come from running maxima and sums over slices
+    of lines, so neither a long document nor a long table is one task.
     """
     lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    w = Window.partitionBy(id_col).orderBy("line_no")
     mark = F.regexp_extract("line", r"^\[Table (\d+)\]$", 1).try_cast("int")
-    lines = lines.withColumn("mark", mark)
-    lines = lines.withColumn("table_no", F.last("mark", ignorenulls=True).over(w))
-    rows = lines.where(F.col("table_no").isNotNull() & F.col("mark").isNull() & F.contains("line", F.lit(" | ")))
-    rank = F.row_number().over(Window.partitionBy(id_col, "table_no").orderBy("line_no"))
-    rows = rows.withColumn("rn", rank)
-    cells = rows.select(
-        id_col, "table_no", (F.col("rn") - 1).alias("row_no"), F.posexplode(F.split("line", r" \| ")).alias("col_idx", "value")
-    )
-    head = cells.where("row_no = 0").select(id_col, "table_no", "col_idx", F.trim("value").alias("col_name"))
+    lines = lines.withColumn("mark", F.when(mark.isNotNull(), F.struct("line_no", mark.alias("table_no"))))
+    lines = running_max(cut_lineage(lines, "document-lines"), [id_col], "line_no", "mark", "of")
+    is_row = F.col("of").isNotNull() & F.col("mark").isNull() & F.contains("line", F.lit(" | "))
+    lines = lines.select(id_col, "line_no", "line", F.col("of.line_no").alias("table_at"), F.col("of.table_no").alias("table_no"), is_row.cast("bigint").alias("is_row"))
+    lines = running_sum(cut_lineage(lines, "table-lines"), [id_col], "line_no", "is_row", "rows_before")
+    rows = cut_lineage(lines.where("is_row = 1").drop("is_row"), "table-rows")
+    first = rows.groupBy(id_col, "table_at").agg(F.min("rows_before").alias("first_row"))
+    rows = rows.join(cut_lineage(first, "table-starts"), [id_col, "table_at"])
+    rows = rows.withColumn("row_no", F.col("rows_before") - F.col("first_row"))
+    cells = rows.select(id_col, "table_at", "table_no", "row_no", F.posexplode(F.split("line", r" \| ")).alias("col_idx", "value"))
+    head = cells.where("row_no = 0").select(id_col, "table_at", "col_idx", F.trim("value").alias("col_name"))
     body = cells.where("row_no > 0").withColumn("value", F.trim("value"))
-    numeric = body.groupBy(id_col, "table_no", "col_idx").agg(
+    numeric = body.groupBy(id_col, "table_at", "col_idx").agg(
         (F.count_if(try_numeric(F.col("value")).isNull()) == 0).alias("is_numeric")
     )
-    keys = [id_col, "table_no", "col_idx"]
-    return body.join(head, keys).join(numeric, keys)
+    about = cut_lineage(head.join(numeric, [id_col, "table_at", "col_idx"]), "table-columns")
+    return body.join(about, [id_col, "table_at", "col_idx"]).select(id_col, "table_no", "col_idx", "row_no", "value", "col_name", "is_numeric")

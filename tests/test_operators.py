@@ -68,11 +68,11 @@ def test_key_join_keeps_null_keys(spark):
     assert got == {1: 10, 2: 20, 3: None}
 
 
-def test_positions_small_slices(spark):
+def test_positions_within_keys(spark):
     ids = random.Random(3).sample(range(5000), 700)
     df = spark.createDataFrame([(i, i % 3) for i in ids], "i long, g int")
     for keys in ([], ["g"]):
-        got = positions(df, "i", keys, chunk=16, fan=4).collect()
+        got = positions(df, "i", keys).collect()
         groups = {}
         for i in sorted(ids):
             groups.setdefault(i % 3 if keys else 0, []).append(i)
@@ -277,15 +277,16 @@ def test_scores_out_of_range_are_errors(spark):
 
 def test_positions_keep_rows_without_order_value(spark):
     df = spark.createDataFrame([(5,), (None,), (1,), (None,)], "i long")
-    assert sorted((r.pos, r.i) for r in positions(df, "i", chunk=2, fan=2).collect() if r.i) == [(0, 1), (1, 5)]
-    assert sorted(r.pos for r in positions(df, "i", chunk=2, fan=2).collect()) == [0, 1, 2, 3]
+    assert sorted((r.pos, r.i) for r in positions(df, "i").collect() if r.i) == [(0, 1), (1, 5)]
+    assert sorted(r.pos for r in positions(df, "i").collect()) == [0, 1, 2, 3]
 
 
 def test_workbook_without_layout_is_kept(spark):
     styles = spark.createDataFrame([("a", False, 500, "X", None, None, "FF", None)], "case_id string, hidden boolean, row_idx int, font_name string, font_scheme string, font_color string, fill_color string, border_style string")
     layout = spark.createDataFrame([], "case_id string, sheet string, kind string, item string, ord int")
     row = wb.formatting(styles, layout).first()
-    assert (row.fonts, row.colors, row.rule_count, row.rules) == ("X", "FF", 0, None)
+    assert (row.font_count, row.color_count, row.rule_count) == (1, 1, 0)
+    assert sorted((r.kind, r.item) for r in wb.format_items(styles, layout).collect()) == [("color", "FF"), ("font", "X")]
 
 
 def test_caps_follow_each_other(spark):
@@ -333,7 +334,9 @@ def test_broken_case_is_reported(spark, tmp_path):
 def test_bundle_parts_make_the_whole(spark):
     rows = [("c", i, f"f{i}", "", f"text {i}", None) for i in range(20)]
     df = spark.createDataFrame(rows, "case_id string, file_idx long, path string, description string, content string, error string")
-    whole = "\n\n".join(r.text for r in fs.bundle(df, 6).orderBy("part").collect())
+    parts = fs.bundle(df, 100).orderBy("part").collect()
+    assert len(parts) > 5 and all(len(p.text.encode()) <= 100 for p in parts)
+    whole = "\n\n".join(p.text for p in parts)
     assert whole == "\n\n".join(f"--- Input File: f{i} ---\ntext {i}" for i in range(20))
 
 
