@@ -5,10 +5,11 @@ with a digit are variable fields (``<*>``) from the start; below the leading tok
 line has two templates, each with one half left open (lines of ``DEPTH`` tokens or fewer have one), and lines that
 agree in count, leading tokens and either half share a template.
 
-A template recurs when lines of it stand in at least ``MIN_DOCS`` documents that otherwise have little in common with
-others: of the rest of such a document, less than ``MAX_SHARED`` may be lines of frequent templates. Copies of a
-document therefore do not turn its lines into templates; they are left to near-duplicate removal. Lines of recurring
-templates are dropped from every document.
+A template recurs when lines of it stand in at least ``MIN_DOCS`` documents with different text of their own (lines of no frequent
+template), more for lines shorter than ``DEPTH``, in proportion: a short line recurs by chance. Of the rest of such a document less than
+``MAX_SHARED`` may be lines of frequent templates, so a page that is mostly boilerplate counts, and one with equal
+own text counts once. Copies of a document, which share more, do not turn its lines into templates; they are left to near-duplicate
+removal. Lines of recurring templates are dropped from every document.
 
 Only hashes travel. The counts are combined before the shuffle; lines of frequent templates are the only ones that are
 joined, against a written table which Spark broadcasts when it is small and AQE balances when not.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from tablecheck.llm.common import WORD_SEPARATOR, words
 from tablecheck.session import cut_lineage
 
-DEPTH, MIN_TOKENS, MIN_DOCS, MAX_SHARED = 8, 3, 3, 0.5
+DEPTH, MIN_TOKENS, MIN_DOCS, MAX_SHARED = 8, 1, 3, 0.75
 VARIABLE = "[^ \\t-\\r]*[0-9][^ \\t-\\r]*"
 
 
@@ -48,12 +49,17 @@ def masked_lines(text: Column) -> Column:
 
 
 def parsed(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """doc_id, text_hash, size (tokens), lines (distinct templates with the tokens of their line)."""
+    """doc_id, text_hash, size (tokens), lines (distinct templates with the tokens of their line), mark (of all lines with a token)."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), masked_lines(F.col("text")).alias("lines"))
     line = lambda tokens: F.struct(templates(tokens, depth, min_tokens).alias("keys"), F.size(tokens).alias("size"))
     return rows.select("doc_id", "text_hash", F.array_distinct(F.transform("lines", line)).alias("lines")).withColumn(
         "size", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["size"])
-    )
+    ).withColumn("mark", _mark(F.filter("lines", lambda x: x["size"] > 0), lambda x: F.xxhash64(x["keys"])))
+
+
+def _mark(lines: Column, hashed) -> Column:
+    """One number for a set of lines: what is left when a part of them is taken out by the same operation marks the others."""
+    return F.aggregate(lines, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(hashed(x)))
 
 
 def recurring(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, max_shared: float = MAX_SHARED) -> tuple[DataFrame, DataFrame]:
@@ -61,18 +67,21 @@ def recurring(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS,
     rows = cut_lineage(parsed(docs, depth, min_tokens), "line-parsed")  # texts are parsed once; hashes are small
     every = rows.select(F.explode(F.array_distinct(F.flatten("lines.keys"))).alias("template"))
     frequent = cut_lineage(every.groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("template"), "line-frequent")
-    apart = rows.select("doc_id", "text_hash", "size", F.posexplode("lines").alias("line", "at")).select(
-        "doc_id", "text_hash", "size", "line", F.col("at.size").alias("tokens"), F.explode("at.keys").alias("template")
+    apart = rows.select("doc_id", "text_hash", "size", "mark", F.posexplode("lines").alias("line", "at")).select(
+        "doc_id", "text_hash", "size", "mark", F.col("at.size").alias("tokens"), F.xxhash64("at.keys").alias("line"), F.explode("at.keys").alias("template")
     )
     # a document's frequent lines: bounded by the document itself
-    marked = apart.join(frequent, "template").groupBy("doc_id", "text_hash", "size").agg(
+    marked = apart.join(frequent, "template").groupBy("doc_id", "text_hash", "size", "mark").agg(
         F.collect_set(F.struct("line", "tokens")).alias("shared"), F.collect_set(F.struct("line", "tokens", "template")).alias("at")
     )
-    marked = marked.withColumn("shared", F.aggregate("shared", F.lit(0).cast("long"), lambda n, x: n + x["tokens"]))
+    own = F.col("mark").bitwiseXOR(_mark(F.col("shared"), lambda x: x["line"]))
+    marked = marked.withColumn("own", own).withColumn("shared", F.aggregate("shared", F.lit(0).cast("long"), lambda n, x: n + x["tokens"])).drop("mark")
     marked = cut_lineage(marked, "line-marked")
-    uses = marked.select("size", "shared", F.explode("at").alias("at")).select("at.template", "at.tokens", "size", "shared")
+    uses = marked.select("own", "size", "shared", F.explode("at").alias("at")).select("own", "at.template", "at.tokens", "size", "shared")
     alone = (F.col("size") > F.col("tokens")) & (F.col("shared") - F.col("tokens") < max_shared * (F.col("size") - F.col("tokens")))
-    counts = uses.groupBy("template").agg(F.sum(alone.cast("long")).alias("documents")).filter(F.col("documents") >= min_docs)
+    apart = uses.filter(alone).select("template", "tokens", "own").distinct()
+    needed = min_docs * F.ceil(F.lit(depth) / F.least("tokens", F.lit(depth)))
+    counts = apart.groupBy("template", "tokens").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= needed).drop("tokens")
     found = cut_lineage(counts, "line-templates")
     hits = marked.select("doc_id", "text_hash", F.explode("at.template").alias("template")).join(found.select("template"), "template")
     return found, hits.groupBy("doc_id", "text_hash").agg(F.collect_set("template").alias("dropped"))
@@ -83,8 +92,8 @@ def drop_recurring(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TO
     ``n_lines`` and ``n_dropped``.
 
     A null text stays null and has no lines; an empty text has one empty line. Lines of fewer than
-    ``min_tokens`` tokens are never dropped. Repeated rows count once per row in the first count and get the same result; a null doc_id is
-    an id like any other. Line feeds between kept lines stay.
+    ``min_tokens`` tokens are never dropped. Repeated rows count as often as they stand when frequent templates are sought, and once after that; they
+    get the same result. A null doc_id is an id like any other. Line feeds between kept lines stay.
     """
     _, hits = recurring(docs, depth, min_tokens, min_docs, max_shared)
     hits = hits.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("text_hash", "hit_hash")

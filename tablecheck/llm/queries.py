@@ -131,23 +131,23 @@ WITH d AS (
   FROM (SELECT *, unnest(range(1, len(masked) + 1)) AS pos FROM d)
 ), k AS (
   SELECT doc_id, text, pos, len(w) AS n,
-    CASE WHEN len(w) < 3 THEN [] WHEN len(w) <= 8 THEN ['0 ' || array_to_string(w, ' ')]
+    CASE WHEN len(w) < 1 THEN [] WHEN len(w) <= 8 THEN ['0 ' || array_to_string(w, ' ')]
       ELSE ['1 ' || len(w) || ' ' || array_to_string(w[1:8 + h], ' '), '2 ' || len(w) || ' ' || array_to_string(w[1:8], ' ') || ' ' || array_to_string(w[9 + h:], ' ')] END AS keys
   FROM (SELECT *, (len(w) - 8 + 1) // 2 AS h FROM l)
 ), u AS (SELECT DISTINCT doc_id, text, n, keys FROM k
 ), f AS (
   SELECT key FROM (SELECT DISTINCT doc_id, text, unnest(keys) AS key FROM u) GROUP BY key HAVING count(*) >= 3
-), m AS (
-  SELECT u.*, len(list_filter(keys, lambda x: x IN (SELECT key FROM f))) AS hits FROM u
 ), m2 AS (
   SELECT DISTINCT u.doc_id, u.text, u.n, u.keys FROM (SELECT *, unnest(keys) AS key FROM u) u JOIN f USING (key)
 ), s AS (
   SELECT doc_id, text, sum(n) AS size FROM u GROUP BY doc_id, text
 ), r AS (
   SELECT m2.*, s.size, sum(m2.n) OVER (PARTITION BY m2.doc_id, m2.text) AS shared FROM m2 JOIN s ON s.doc_id = m2.doc_id AND s.text = m2.text
+), w AS (
+  SELECT doc_id, text, string_agg(array_to_string(keys, chr(1)), chr(2) ORDER BY keys) AS own FROM (SELECT doc_id, text, n, keys FROM u WHERE n > 0 EXCEPT SELECT doc_id, text, n, keys FROM m2) x GROUP BY doc_id, text
 ), t AS (
-  SELECT key FROM (SELECT *, unnest(keys) AS key FROM r) JOIN f USING (key)
-  GROUP BY key HAVING count(*) FILTER (size > n AND shared - n < 0.5 * (size - n)) >= 3
+  SELECT key FROM (SELECT r.*, coalesce(own, '') AS own, unnest(keys) AS key FROM r LEFT JOIN w ON w.doc_id IS NOT DISTINCT FROM r.doc_id AND w.text = r.text) JOIN f USING (key)
+  WHERE size > n AND shared - n < 0.75 * (size - n) GROUP BY key, n HAVING count(DISTINCT own) >= 3 * ceil(8 / least(n, 8))
 ), b AS (
   SELECT DISTINCT k.doc_id, k.text, k.pos FROM (SELECT *, unnest(keys) AS key FROM k) k JOIN t USING (key)
 ), o AS (
