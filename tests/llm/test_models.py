@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import math
 import random
 import re
@@ -285,15 +286,15 @@ def test_scores_without_training_or_rows(spark):
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a = "</p><p>no";</script></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><header><h1>Head&nbsp;line &lt;%d&gt;</h1></header><p>First <b>bold</b>text %d.<br>next<p>Second   open
-paragraph %d<div class="ad">Buy</div><ul><li>one<li>two</ul><form><p>Mail <input></p></form><!-- <p>hidden</p> -->
-<table><tr><td>c1<td>c2</table><section id="comments"><p>Nice!</p></section></article>
+paragraph %d<div class="ad">Buy</div><ul><li>one %d<li>two %d</ul><form><p>Mail <input></p></form><!-- <p>hidden</p> -->
+<table><tr><td>c1 %d<td>c2 %d</table><section id="comments"><p>Nice!</p></section></article>
 <aside><p>Side</p></aside><footer>&copy; me</footer></body></html>"""
-TEXT = "Head line <%d>\nFirst boldtext %d. next\nSecond open paragraph %d\none\ntwo\nc1\nc2"
+TEXT = "Head line <%d>\nFirst boldtext %d. next\nSecond open paragraph %d\none %d\ntwo %d\nc1 %d\nc2 %d"
 PLAIN = "<html><body><div class='top'>Links here</div><div class='story'><p>Story %s goes on and on %s</p><div>Join us now</div><p>End %s</p></div><div class='end'>Imprint</div></body></html>"
 
 
 def test_pages(spark):
-    rows = [(i, f"http://a.example/{i}", PAGE % (i, i, i)) for i in range(6)]
+    rows = [(i, f"http://a.example/{i}", PAGE % ((i,) * 7)) for i in range(6)]
     rows += [(10 + i, f"https://b.example:80/{i}", PLAIN % ((f"n{i}",) * 3)) for i in range(6)]
     rows += [(50, None, None), (51, "::", ""), (52, "http://c/", "just text &eacute; a < b"), (None, "http://a.example/x", "<p>un<p>closed <a title=\"x>"), (0, rows[0][1], rows[0][2])]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("host", F.lit(1)).withColumn("wrapper", F.lit("clash"))
@@ -301,7 +302,7 @@ def test_pages(spark):
     assert len(got) == len(rows)
     text = {(r.page_id, r.url): r.text for r in got}
     for i in range(6):
-        assert text[i, f"http://a.example/{i}"] == TEXT % (i, i, i)
+        assert text[i, f"http://a.example/{i}"] == TEXT % ((i,) * 7)
         # no article: the varying slot is found by aligning the host's pages, what is constant in it is template
         assert text[10 + i, f"https://b.example:80/{i}"] == f"Story n{i} goes on and on n{i}\nEnd n{i}"
     assert text[50, None] == "" and text[51, "::"] == "" and text[52, "http://c/"] == "just text é a < b"
@@ -309,6 +310,47 @@ def test_pages(spark):
     assert html_wrapper.main_text(df.limit(0)).count() == 0
 
 
+def test_constant_blocks_of_an_article_are_template(spark):
+    """A paragraph, a list and a heading that stand on all pages of a host go, in an article too; what varies stays, whatever its tag."""
+    page = "<html><body><div class='top'>Links</div><article><h1>Title %d</h1><p>Sign up for our letter today</p><p>Story %d</p><ul><li>Buy now</li></ul><div>Note %d</div></article></body></html>"
+    rows = [(i, f"http://a.example/{i}", page % (i, i, i)) for i in range(7)] + [(9, "http://b.example/", page % (9, 9, 9))]
+    got = {r.page_id: r.text for r in html_wrapper.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nStory {i}\nNote {i}" for i in range(7))
+    assert got[9] == "Title 9\nSign up for our letter today\nStory 9\nBuy now\nNote 9"  # one page says nothing about its host
+
+
+def test_names_that_only_hold_a_chrome_word_stay():
+    page = "<article><div class='share-price'>12 USD</div><p class='article-header'>Head</p><div class='social-science'>Study</div><div id='comment-policy-essay'>Essay</div>%s</article>"
+    chrome = "<div class='site-footer'>f</div><div id='cookie-notice'>c</div><div class='x ad'>a</div><ul class='share-buttons'><li>s</li></ul><div class='comments'>n</div>"
+    assert html_wrapper.extract(page % chrome) == "12 USD\nHead\nStudy\nEssay"
+
+
+def plain_match(a, b):
+    if a.label != b.label:
+        return 0
+    left, right = a.elements(), b.elements()
+    best = lambda i, j: 0 if i == len(left) or j == len(right) else max(best(i + 1, j), best(i, j + 1), plain_match(left[i], right[j]) + best(i + 1, j + 1))
+    return 1 + best(0, 0)
+
+
+def test_alignment_equals_brute_force():
+    rnd = random.Random(8)
+    grow = lambda depth: "".join(f"<{t}>{grow(depth - 1) if depth else 'x'}</{t}>" for t in rnd.choices(["div", "span", "ul"], k=rnd.randint(0, 3)))
+    for _ in range(150):
+        a, b = html_wrapper.parse(grow(3)), html_wrapper.parse(grow(3))
+        pairs = {}
+        assert html_wrapper.match(a, b, pairs) == plain_match(a, b) == len(pairs)
+
+
+def test_wrappers_of_deep_and_wide_pages():
+    deep = lambda i: "<div>" * 3000 + f"<p>in {i}</p>" + "</div>" * 3000
+    wrapper = html_wrapper.induce([deep(i) for i in range(4)])
+    assert html_wrapper.extract(deep(7), json.loads(json.dumps(wrapper))) == "in 7"
+    wide = lambda i: "<body>" + "".join(f"<p>{i} {k}</p>" for k in range(20000)) + "<p>always</p></body>"
+    wrapper = html_wrapper.induce([wide(i) for i in range(4)])
+    assert html_wrapper.extract(wide(9), wrapper) == "\n".join(f"9 {k}" for k in range(20000))
+
+
 def test_tree_matching_counts_the_largest_alignment():
     tree = html_wrapper.parse
     a, b = tree("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>"), tree("<div><p>1</p><p>2</p></div>")
