@@ -35,9 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """Folder of this application below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/tablecheck/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared folder; nothing is reused between calls."""
-    return f"{shared_dir(spark).rstrip('/')}/tablecheck/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has written below its scratch folder; call it when no result that reads it is needed any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablecheck.functions import formula as fm, replies as rp
 from tablecheck.operators import context as cx, corpus as co, matching as mt, profile as pf, reconcile as rc, rownum, scoring as so, sheets as sh, workbook as wb
+from tablecheck.session import cut_lineage, scratch_path, scratch_root
 from tablecheck.sources import files as fs
 from tablecheck.streaming import results as st
 
@@ -241,6 +242,14 @@ def test_sketches_merge_within_their_bounds(spark):
     assert (empty.dtype, empty.approx_unique, empty.median) == ("empty", 0, None)
 
 
+def test_scratch_is_cleared(spark):
+    root = scratch_root(spark)
+    kept = cut_lineage(spark.range(3), "gone")
+    assert kept.count() == 3 and root in kept.inputFiles()[0]
+    # another application's folder, so that results of other tests stay readable
+    assert scratch_path(spark, "x").startswith(root + "/x-")
+
+
 @pytest.mark.parametrize("score,want", [("3", 3), ("3.7", 3), ('"3"', 3), ('" 3 "', 3), ('"3.7"', None), ("true", 1), ("false", 0), ("null", "none"), ("5", None), ('"x"', None), ("[1]", None), ("-0.5", 0), ("2e0", 2)])
 def test_scores_are_read_as_whole_numbers(spark, score, want):
     df = spark.createDataFrame([(f'{{"score": {score}, "feedback": "f"}}',)], "reply string")
