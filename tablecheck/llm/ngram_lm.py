@@ -1,19 +1,20 @@
 """Word bigram scoring by deleted interpolation.
 
-P(w | h) = l2 * c(h, w) / c(h) + l1 * c(w) / N + l0 / (V + 1), with weights by how often the context h was seen. h is the previous word
-if it is one of the ``CONTEXTS`` most frequent training words, the start of a text, or "any other word". The weights are
-learned by expectation-maximisation on the bigrams of a deleted fold of training documents, with the counts of all others;
-the final counts are those of all training documents.
+P(w | h) = l2 * c(h, w) / c(h) + l1 * c(w) / N + l0 / (V + 1), with weights by how often the context h was seen. h is the previous word, whatever
+it is, or the start of a text. The weights are learned by expectation-maximisation on the bigrams of a deleted fold of training
+documents, with the counts of all others; the final counts are those of all training documents.
 
 Counts grow with the corpus, so no task and no driver holds them. Texts are packed into batches of about ``BATCH_CHARS``
-characters (a written table); the deleted fold has batches of its own, with odd numbers. Each batch asks for its
-distinct words once, as plain rows of hash, batch and the word's own count after every context; one shuffle by hash sums them
-(a window, so no row per key is joined), and only sums that exceed the batch's own go back. They are stored with the
-batch, so learning the weights and scoring only read. Within a batch numpy does the rest.
+characters (a written table); the deleted fold has batches of its own, with odd numbers. A batch asks for each of its distinct words and
+bigrams once, as sorted 64-bit keys with its own counts, cut into blocks by the keys' leading bits. All blocks of one stretch of keys
+meet in one task, which adds them up and returns to every block the sums of its keys in their order. There are as many stretches as the
+corpus has ``PART_BYTES``, so what meets stays the same size at any scale, and a word that stands everywhere is one key per batch. Blocks
+are packed (differences of sorted keys, byte by byte), and sums travel without their keys. Within a batch numpy does the rest.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,25 +23,27 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.session import cut_lineage, ship_by_value
 
 ship_by_value(__name__)
 
-CONTEXTS, BATCH_CHARS, ROUNDS, BUCKETS = 14, 6_000_000, 30, 40
-#: The end of a text, as a token that no word can be.
-END = b"\x0b"
+BATCH_CHARS, PART_BYTES, ROUNDS, BUCKETS = 6_000_000, 8_000_000, 30, 40
+#: The end of a text, as a token that no word can be, and the context of a text's first token.
+END, START = b"\x0b", np.uint64(0x9AE16A3B2F90404F)
 #: Steps per doubling when ratios are tabulated for expectation-maximisation.
 STEPS = 4
 
 
 def pack(docs: DataFrame, train: Column, deleted: Column, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """Batches of documents: batch, doc_ids, kinds (0 held out, 1 training, 2 deleted fold), texts (packed: tokens by
-    spaces, documents by line feeds). A longer text is a batch of its own; a null text has only the end token."""
+    spaces, documents by line feeds), n_bytes (unpacked), taught (tokens of training documents). A longer text is a batch of its own; a null
+    text has only the end token."""
     kind = F.when(F.coalesce(train & deleted, F.lit(False)), 2).when(F.coalesce(train, F.lit(False)), 1).otherwise(0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), kind.cast("int").alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("texts", pa.binary()), ("n_bytes", pa.int64()), ("taught", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -50,13 +53,13 @@ def pack(docs: DataFrame, train: Column, deleted: Column, batch_chars: int = BAT
         def close(odd: int) -> pa.RecordBatch:
             nonlocal number
             ids, kinds, lines = open_batches[odd]
-            packed = zstandard.ZstdCompressor(level=3).compress(b"\n".join(lines))
-            row = {"batch": 2 * ((part << 24) + number) + odd, "doc_ids": ids, "kinds": kinds, "texts": packed}
+            taught = sum(line.count(b" ") + 1 for line, kind in zip(lines, kinds, strict=True) if kind)
+            texts = b"\n".join(lines)
+            row = {"batch": 2 * ((part << 24) + number) + odd, "doc_ids": ids, "kinds": kinds, "texts": zstandard.ZstdCompressor(level=3).compress(texts), "n_bytes": len(texts), "taught": taught}
             open_batches[odd], sizes[odd] = ([], [], []), 0
             number += 1
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        schema = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("texts", pa.binary())])
         for batch in batches:
             for values in zip(*(batch.column(c) for c in ("doc_id", "kind", "text")), strict=True):
                 doc_id, kind, text = (v.as_py() for v in values)
@@ -71,122 +74,114 @@ def pack(docs: DataFrame, train: Column, deleted: Column, batch_chars: int = BAT
             if open_batches[odd][0]:
                 yield close(odd)
 
-    return rows.mapInArrow(run, "batch bigint, doc_ids array<bigint>, kinds array<int>, texts binary")
+    return rows.mapInArrow(run, "batch bigint, doc_ids array<bigint>, kinds array<int>, texts binary, n_bytes bigint, taught bigint")
 
 
-class Batch:
-    """Tokens of a batch as numbers: ``token`` (into ``words``), ``doc`` of each token, ``context`` of each token."""
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, all first bytes before all second ones, compressed."""
+    planes = np.ascontiguousarray(np.asarray(values, "<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-    def __init__(self, texts: bytes, contexts: dict[bytes, int]):
-        lines = pa.array(zstandard.ZstdDecompressor().decompress(texts).split(b"\n"), pa.binary())
-        lists = pc.split_pattern(lines.cast(pa.string()), " ")
-        coded = lists.values.dictionary_encode()
-        self.words = [w.encode() for w in coded.dictionary.to_pylist()]
-        self.token = coded.indices.to_numpy().astype(np.int64)
-        ends = lists.offsets.to_numpy().astype(np.int64)
-        self.doc = np.repeat(np.arange(len(lines)), np.diff(ends))
-        self.key = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
-        of_word = np.array([contexts.get(w, 1) for w in self.words], np.int64)
-        self.context = np.concatenate([[0], of_word[self.token[:-1]]])
-        self.context[ends[:-1]] = 0
-        self.size = np.diff(ends)
 
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
 
-def uses_of(place: np.ndarray, taught: np.ndarray, size: int) -> np.ndarray:
-    """Uses by training documents."""
-    return np.bincount(place[taught], minlength=size)
 
+class Batch:
+    """Tokens of a batch: ``doc`` of each, and the places of its word, its bigram and its context among the batch's sorted distinct ``keys``.
+
+    Keys of words are even, keys of bigrams odd. The context of a text's first token is the place of the end token: both
+    stand once in every text.
+    """
 
-def vocabulary(batches: DataFrame) -> DataFrame:
-    """word, uses, deleted (those of the deleted fold) per distinct training word."""
+    def __init__(self, texts: bytes):
+        lines = pa.array(zstandard.ZstdDecompressor().decompress(texts).split(b"\n"), pa.binary())
+        lists = pc.split_pattern(lines.cast(pa.string()), " ")
+        coded = lists.values.dictionary_encode()
+        token = coded.indices.to_numpy().astype(np.int64)
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        self.size = np.diff(starts)
+        self.doc = np.repeat(np.arange(len(lines)), self.size)
+        words = np.array([xxhash.xxh64_intdigest(w.encode()) for w in coded.dictionary.to_pylist()], np.uint64) & ~np.uint64(1)
+        before = np.concatenate([[START], words[token[:-1]]])
+        before[starts[:-1]] = START
+        pairs = (before * np.uint64(0x9E3779B97F4A7C15)) ^ words[token]
+        pairs = (pairs ^ (pairs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        distinct, of_token = np.unique((pairs ^ (pairs >> np.uint64(32))) | np.uint64(1), return_inverse=True)
+        self.keys = np.sort(np.concatenate([words, distinct]))
+        at_word = np.searchsorted(self.keys, words)
+        self.word, self.pair = at_word[token], np.searchsorted(self.keys, distinct)[of_token]
+        self.context = np.concatenate([[0], self.word[:-1]])
+        self.context[starts[:-1]] = self.word[starts[1:] - 1]
+
+    def own(self, kinds: np.ndarray) -> np.ndarray:
+        """The batch's own training uses of every key."""
+        taught = kinds[self.doc] > 0
+        return np.bincount(np.concatenate([self.word[taught], self.pair[taught]]), minlength=len(self.keys))
+
+
+def blocks(batches: DataFrame, bits: int) -> DataFrame:
+    """part, batch, keys, counts: the distinct keys of every batch, cut by their first ``bits`` bits."""
+    parts = 1 << bits
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
             for number, texts, kinds in zip(row.column("batch"), row.column("texts"), row.column("kinds"), strict=True):
-                batch = Batch(texts.as_py(), {})
-                uses = uses_of(batch.token, np.array(kinds.as_py())[batch.doc] > 0, len(batch.words))
-                used = np.flatnonzero(uses)
-                odd = number.as_py() % 2
-                keep = [pa.array([batch.words[i] for i in used], pa.binary()), pa.array(uses[used], pa.int64()), pa.array(uses[used] * odd, pa.int64())]
-                yield pa.RecordBatch.from_arrays(keep, ["word", "uses", "deleted"])
-
-    rows = batches.select("batch", "kinds", "texts").mapInArrow(run, "word binary, uses bigint, deleted bigint")
-    return rows.groupBy("word").agg(F.sum("uses").alias("uses"), F.sum("deleted").alias("deleted"))
-
-
-def own_counts(batch: Batch, kinds: np.ndarray, width: int) -> np.ndarray:
-    """(words, contexts): the batch's own training uses of every word after every context."""
-    taught = kinds[batch.doc] > 0
-    flat = (batch.token * width + batch.context)[taught]
-    return np.bincount(flat, minlength=len(batch.words) * width).reshape(-1, width)
-
-
-def requests(batches: DataFrame, contexts: dict[bytes, int]) -> DataFrame:
-    """key, batch, c0, c1, ...: every distinct word of every batch with the batch's own counts."""
-    width = len(contexts) + 2
+                batch = Batch(texts.as_py())
+                own = batch.own(np.array(kinds.as_py()))
+                low = (np.arange(parts, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.uint64)
+                cuts = [*np.searchsorted(batch.keys, low).tolist(), len(batch.keys)]
+                made = [(p, np.diff(batch.keys[a:b], prepend=low[p]), own[a:b]) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+                columns = [pa.array([p for p, _, _ in made], pa.int32()), pa.array([number.as_py()] * len(made), pa.int64())]
+                columns += [pa.array([packed(m[k]) for m in made], pa.binary()) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "batch", "keys", "counts"])
+
+    return batches.select("batch", "kinds", "texts").mapInArrow(run, "part int, batch bigint, keys binary, counts binary")
+
+
+def sums(asked: DataFrame) -> DataFrame:
+    """batch, part, total, deleted (null for even batches): per block the corpus counts of its keys in their order; known, with the first
+    block of a part: how many different training words lie in it."""
+
+    def added(part: int, held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        keys = [np.cumsum(unpacked(k)) for _, k, _ in held]  # from the part's lowest key on
+        ends = np.cumsum([len(k) for k in keys])
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.concatenate([unpacked(c) for _, _, c in held]).astype(np.int64)
+        total = np.bincount(place, counts, len(distinct)).astype(np.int64)
+        odd = np.repeat([number % 2 == 1 for number, _, _ in held], np.diff(ends, prepend=0))
+        deleted = np.bincount(place[odd], counts[odd], len(distinct)).astype(np.int64)
+        known = int(((total > 0) & (distinct % np.uint64(2) == 0)).sum())
+        cut = [place[e - len(k) : e] for e, k in zip(ends, keys, strict=True)]
+        columns = [
+            pa.array([number for number, _, _ in held], pa.int64()),
+            pa.array([part] * len(held), pa.int32()),
+            pa.array([packed(total[c]) for c in cut], pa.binary()),
+            pa.array([packed(deleted[c]) if number % 2 else None for (number, _, _), c in zip(held, cut, strict=True)], pa.binary()),
+            pa.array([known, *[0] * (len(held) - 1)], pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["batch", "part", "total", "deleted", "known"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for row in rows:
-            for number, texts, kinds in zip(row.column("batch"), row.column("texts"), row.column("kinds"), strict=True):
-                batch = Batch(texts.as_py(), contexts)
-                own = own_counts(batch, np.array(kinds.as_py()), width).astype(np.int32)
-                for at in range(0, len(own), 1 << 16):
-                    part = slice(at, at + (1 << 16))
-                    columns = [pa.array(batch.key[part].view(np.int64)), pa.array(np.full(len(own[part]), number.as_py()))]
-                    columns += [pa.array(np.ascontiguousarray(own[part, c])) for c in range(width)]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "batch", *(f"c{c}" for c in range(width))])
-
-    schema = "key bigint, batch bigint, " + ", ".join(f"c{c} int" for c in range(width))
-    return batches.select("batch", "kinds", "texts").mapInArrow(run, schema)
-
-
-def answers(asked: DataFrame, width: int) -> DataFrame:
-    """batch, key, total0, ..., deleted0, ... (null for even batches): corpus counts, where they are more than the batch's own."""
-    by_key = Window.partitionBy("key")
-    odd = F.col("batch") % 2 == 1
-    own = sum((F.col(f"c{c}").cast("long") for c in range(width)), F.lit(0).cast("long"))
-    sums = [F.sum(f"c{c}").over(by_key).alias(f"total{c}") for c in range(width)]
-    sums += [F.sum(F.when(odd, F.col(f"c{c}")).otherwise(0)).over(by_key).alias(f"deleted{c}") for c in range(width)]
-    every = asked.select("batch", "key", own.alias("own"), *sums)
-    more = sum((F.col(f"total{c}") for c in range(width)), F.lit(0)) > F.col("own")
-    return every.filter(more).select("batch", "key", *(f"total{c}" for c in range(width)), *(F.when(odd, F.col(f"deleted{c}")).alias(f"deleted{c}") for c in range(width)))
-
-
-def resolve(batches: DataFrame, answered: DataFrame, contexts: dict[bytes, int]) -> DataFrame:
-    """The batches with ``total`` and, for odd ones, ``deleted``: packed corpus counts of their words after every context."""
-    width = len(contexts) + 2
+            for part, *block in zip(*(row.column(c).to_pylist() for c in ("part", "batch", "keys", "counts")), strict=True):
+                if part != now and held:
+                    yield added(now, held)
+                    held = []
+                now = part
+                held.append(tuple(block))
+        if held:
+            yield added(now, held)
+
+    return asked.repartition("part").sortWithinPartitions("part", "batch").mapInArrow(run, "batch bigint, part int, total binary, deleted binary, known bigint")
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        known = right.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        known = known[order]
-        packed: dict[str, list[bytes | None]] = {"total": [], "deleted": []}
-        for number, texts, kinds in zip(*(left.column(c).to_pylist() for c in ("batch", "texts", "kinds")), strict=True):
-            batch = Batch(texts, contexts)
-            own = own_counts(batch, np.array(kinds), width)
-            at = np.minimum(np.searchsorted(known, batch.key), max(len(known) - 1, 0))
-            hit = known[at] == batch.key if len(known) else np.zeros(len(own), bool)
-            for name, column in packed.items():
-                if name == "deleted" and number % 2 == 0:
-                    column.append(None)
-                    continue
-                counts = own.astype("<i8")
-                for c in range(width if hit.any() else 0):
-                    counts[hit, c] = right.column(f"{name}{c}").to_numpy(zero_copy_only=False)[order][at[hit]]
-                column.append(squeeze.compress(counts.tobytes()))
-        for name, column in packed.items():
-            left = left.append_column(name, pa.array(column, pa.binary()))
-        return left.select(["batch", "doc_ids", "kinds", "texts", "total", "deleted"])
-
-    schema = "batch bigint, doc_ids array<bigint>, kinds array<int>, texts binary, total binary, deleted binary"
-    return batches.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(run, schema)
-
-
-def per_token(batch: Batch, packed: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per token of a batch: corpus counts of its bigram and of its word."""
-    counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<i8").reshape(-1, width)
-    return counts[batch.token, batch.context], counts.sum(axis=1)[batch.token]
+
+def in_order(answers: pa.Table, name: str) -> np.ndarray:
+    """The counts of a batch's keys from its blocks."""
+    blocks_ = sorted(zip(answers.column("part").to_pylist(), answers.column(name).to_pylist(), strict=True))
+    return np.concatenate([unpacked(b) for _, b in blocks_]).astype(np.int64)
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
@@ -198,25 +193,25 @@ def estimates(pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: in
     return pair / np.maximum(context, 1), word / max(total, 1)
 
 
-def held_out_table(resolved: DataFrame, contexts: dict[bytes, int], context_uses: np.ndarray, main_total: int) -> DataFrame:
-    """bucket, two, one, n: how many tokens of the deleted fold have which estimates (logarithms in steps; -9999 for zero).
-
-    ``context_uses``: of each context outside the fold."""
-    width = len(contexts) + 2
+def held_out_table(batches: DataFrame, answers: DataFrame, main_total: int) -> DataFrame:
+    """bucket, two, one, n: how many tokens of the deleted fold have which estimates (logarithms in steps; -9999 for zero), from the counts outside it."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         step = lambda f: np.where(f > 0, np.rint(STEPS * np.log2(np.maximum(f, 1e-300))), -9999).astype(np.int64)
-        for row in rows:
-            for texts, total, deleted in zip(*(row.column(c) for c in ("texts", "total", "deleted")), strict=True):
-                batch = Batch(texts.as_py(), contexts)
-                (pair, word), (fold_pair, fold_word) = (per_token(batch, x.as_py(), width) for x in (total, deleted))
-                context = context_uses[batch.context]
-                f2, f1 = estimates(pair - fold_pair, context, word - fold_word, main_total)
-                kinds, n = np.unique(np.stack([bucket(context), step(f2), step(f1)], axis=1), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(kinds[:, i]) for i in range(3)), pa.array(n)], ["bucket", "two", "one", "n"])
-
-    odd = resolved.filter("batch % 2 = 1").select("texts", "total", "deleted")
-    return odd.mapInArrow(run, "bucket bigint, two bigint, one bigint, n bigint").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
+        counts = in_order(right, "total") - in_order(right, "deleted")
+        found = []
+        for texts in left.column("texts").to_pylist():
+            batch = Batch(texts)
+            context = counts[batch.context]
+            f2, f1 = estimates(counts[batch.pair], context, counts[batch.word], main_total)
+            kinds, n = np.unique(np.stack([bucket(context), step(f2), step(f1)], axis=1), axis=0, return_counts=True)
+            found.append(np.column_stack([kinds, n]))
+        rows = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+        return pa.table({name: pa.array(np.ascontiguousarray(rows[:, i]).astype(np.int64)) for i, name in enumerate(("bucket", "two", "one", "n"))})
+
+    odd = batches.filter("batch % 2 = 1").select("batch", "texts").groupBy("batch")
+    found = odd.cogroup(answers.filter("batch % 2 = 1").select("batch", "part", "total", "deleted").groupBy("batch"))
+    return found.applyInArrow(run, "bucket bigint, two bigint, one bigint, n bigint").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
 
 
 def learn_weights(table: list[tuple[int, int, int, int]], uniform: float, rounds: int = ROUNDS) -> np.ndarray:
@@ -245,51 +240,43 @@ def learn_weights(table: list[tuple[int, int, int, int]], uniform: float, rounds
     return weights
 
 
-def score(docs: DataFrame, train: Column, deleted: Column, contexts: int = CONTEXTS, batch_chars: int = BATCH_CHARS) -> DataFrame:
+def score(docs: DataFrame, train: Column, deleted: Column, batch_chars: int = BATCH_CHARS, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, kind, n_tokens, n_known, train_tokens, base_score, score (log10) per row of ``docs`` (doc_id, text; others are ignored).
 
     ``train`` and ``deleted`` say which rows teach and which of them are the fold for the weights (null: not). Null and
     blank texts have one token, the end. Without training rows every token has probability 1 / (V + 1) = 1.
-    Repeated rows give repeated rows, and teach repeatedly.
+    Repeated rows give repeated rows, and teach repeatedly. Words and bigrams are told apart by 63 bits of a hash.
     """
     batches = cut_lineage(pack(docs, train, deleted, batch_chars), "lm-batches")
-    words = cut_lineage(vocabulary(batches), "lm-words")
-    total = words.agg(F.coalesce(F.sum("uses"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("deleted"), F.lit(0))).first()
-    tokens, distinct, fold_tokens = int(total[0]), int(total[1]), int(total[2])
-    frequent = words.filter(F.col("word") != F.lit(END)).orderBy(F.desc("uses"), "word").limit(contexts).collect()
-    numbers = {bytes(r.word): i for i, r in enumerate(frequent, 2)}  # 0 start, 1 any other word
-    ends = words.filter(F.col("word") == F.lit(END)).first()
-    # a text's start is used once per text, every word once as the context of what follows it
-    texts = (ends.uses, ends.deleted) if ends else (0, 0)
-    uses = np.array([texts[0], tokens - texts[0] - sum(r.uses for r in frequent), *(r.uses for r in frequent)])
-    in_fold = np.array([texts[1], fold_tokens - texts[1] - sum(r.deleted for r in frequent), *(r.deleted for r in frequent)])
-    width = len(numbers) + 2
-    resolved = cut_lineage(resolve(batches, answers(requests(batches, numbers), width), numbers), "lm-resolved")
+    fold = F.sum(F.when(F.col("batch") % 2 == 1, F.col("taught")))
+    told = batches.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("n_bytes"), F.sum("taught"), fold)]).first()
+    size, tokens, fold_tokens = (int(x) for x in told)
+    bits = max(0, math.ceil(math.log2(max(1, size / part_bytes))))
+    answers = cut_lineage(sums(blocks(batches, bits)), "lm-answers")
+    distinct = int(answers.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0])
     uniform = 1.0 / (distinct + 1)
-    table = held_out_table(resolved, numbers, uses - in_fold, tokens - fold_tokens).collect()  # bounded by buckets and steps
+    again = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both sides below come from written tables
+    table = held_out_table(again(batches), again(answers), tokens - fold_tokens).collect()  # bounded by buckets and steps
     weights = learn_weights([tuple(r) for r in table], uniform)
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows:
-            for ids, kinds, texts, total in zip(*(row.column(c) for c in ("doc_ids", "kinds", "texts", "total")), strict=True):
-                batch = Batch(texts.as_py(), numbers)
-                pair, word = per_token(batch, total.as_py(), width)
-                context = uses[batch.context]
-                f2, f1 = estimates(pair, context, word, tokens)
-                w = weights[bucket(context)]
-                model = np.log10(w[:, 0] * f2 + w[:, 1] * f1 + w[:, 2] * uniform) if tokens else np.zeros(len(f2))
-                base = np.log10((word + 1) / (tokens + distinct + 1))
-                sums = lambda x: np.bincount(batch.doc, x, minlength=len(batch.size))
-                columns = [
-                    pa.array(ids.as_py(), pa.int64()),
-                    pa.array(kinds.as_py(), pa.int32()),
-                    pa.array(batch.size),
-                    pa.array(sums((word > 0).astype(float)).astype(np.int64)),
-                    pa.array(np.full(len(batch.size), tokens)),
-                    pa.array(sums(base)),
-                    pa.array(sums(model)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "kind", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        counts = in_order(right, "total")
+        made: dict[str, list] = {n: [] for n in ("doc_id", "kind", "n_tokens", "n_known", "train_tokens", "base_score", "score")}
+        for ids, kinds, texts in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "kinds", "texts")), strict=True):
+            batch = Batch(texts)
+            word, context = counts[batch.word], counts[batch.context]
+            f2, f1 = estimates(counts[batch.pair], context, word, tokens)
+            w = weights[bucket(context)]
+            model = np.log10(w[:, 0] * f2 + w[:, 1] * f1 + w[:, 2] * uniform) if tokens else np.zeros(len(f2))
+            base = np.log10((word + 1) / (tokens + distinct + 1))
+            over = lambda x, batch=batch: np.bincount(batch.doc, x, minlength=len(batch.size))
+            for name, values in (
+                ("doc_id", ids), ("kind", kinds), ("n_tokens", batch.size), ("n_known", over((word > 0).astype(float)).astype(np.int64)),
+                ("train_tokens", np.full(len(batch.size), tokens)), ("base_score", over(base)), ("score", over(model)),
+            ):
+                made[name].append(pa.array(values, {"kind": pa.int32(), "base_score": pa.float64(), "score": pa.float64()}.get(name, pa.int64())))
+        return pa.table({n: pa.chunked_array(parts) for n, parts in made.items()})
 
     schema = "doc_id bigint, kind int, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return resolved.select("doc_ids", "kinds", "texts", "total").mapInArrow(run, schema)
+    left = again(batches).select("batch", "doc_ids", "kinds", "texts").groupBy("batch")
+    return left.cogroup(again(answers).select("batch", "part", "total").groupBy("batch")).applyInArrow(run, schema)

@@ -266,6 +266,55 @@ def test_scores_against_plain_counts(spark):
     assert runs[0] == runs[1]  # batches change nothing
 
 
+@pytest.mark.parametrize("chars,part", [(1 << 30, 1 << 30), (2000, 700)])
+def test_mixed_score_equals_plain_counts(spark, chars, part):
+    """Every previous word is a context: counts, buckets, weights and scores by plain Python, whatever the batches and blocks are."""
+    rnd = random.Random(13)
+    after = {w: [rnd.randrange(400) for _ in range(3)] for w in range(400)}
+    rows = []
+    for i in range(150):
+        w, words = rnd.randrange(400), []
+        for _ in range(rnd.randint(0, 60)):
+            words.append(f"W{w}")
+            w = rnd.choice(after[w]) if rnd.random() < 0.8 else rnd.randrange(400)
+        rows.append((i, " ".join(words)))
+    kind = lambda d: {2: 0, 5: 2}.get(zlib.crc32(str(d).encode()) % 7, 1)
+    tokens = {d: ["<s>", *t.lower().split(), None] for d, t in rows}
+    pair, word, fold_pair, fold_word = Counter(), Counter(), Counter(), Counter()
+    for d, ws in tokens.items():
+        if kind(d):
+            for p, w in ((pair, word), (fold_pair, fold_word))[: kind(d)]:
+                p.update(zip(ws, ws[1:], strict=False))
+                w.update(ws[1:])
+                w["<s>"] += 1
+    size = sum(n for w, n in word.items() if w != "<s>")
+    fold_size = sum(n for w, n in fold_word.items() if w != "<s>")
+    uniform = 1 / len(word)  # without the start and with one more
+    table = Counter()
+    step = lambda f: round(ngram_lm.STEPS * math.log2(f)) if f else -9999
+    for d, ws in tokens.items():
+        if kind(d) == 2:
+            for h, w in zip(ws, ws[1:], strict=False):
+                c = word[h] - fold_word[h]
+                f2, f1 = (pair[h, w] - fold_pair[h, w]) / max(c, 1), (word[w] - fold_word[w]) / (size - fold_size)
+                table[int(ngram_lm.bucket(np.array([c]))[0]), step(f2), step(f1)] += 1
+    weights = ngram_lm.learn_weights([(*k, n) for k, n in table.items()], uniform)
+    assert len({k[0] for k in table}) >= 4 and weights[2, 0] < weights[6, 0]  # rare contexts are trusted less
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    got = {r.doc_id: r.score for r in ngram_lm.score(spark.createDataFrame(rows, DOCS).repartition(3), fold != 2, fold == 5, batch_chars=chars, part_bytes=part).collect()}
+    for d, ws in tokens.items():
+        want = 0.0
+        for h, w in zip(ws, ws[1:], strict=False):
+            m = weights[int(ngram_lm.bucket(np.array([word[h]]))[0])]
+            want += math.log10(m[0] * pair[h, w] / max(word[h], 1) + m[1] * word[w] / size + m[2] * uniform)
+        assert abs(got[d] - want) < 1e-6, d
+
+
+def test_packed_numbers_come_back():
+    values = np.array([0, 1, 255, 256, 2**40, 2**64 - 1], np.uint64)
+    assert ngram_lm.unpacked(ngram_lm.packed(values)).tolist() == values.tolist() and len(ngram_lm.unpacked(ngram_lm.packed(np.zeros(0, np.uint64)))) == 0
+
+
 def test_bigrams_help_where_there_are_any(spark):
     rows = [(i, "x y z " * 20 if i % 2 else "p q r " * 20) for i in range(80)]
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
