@@ -170,7 +170,8 @@ def test_no_pair_can_be_bettered():
     for _ in range(200):
         src = [(f"{word()}{i}", set(rnd.sample(range(20), 5))) for i in range(6)]
         gen = [(f"{word()}{i}", set(rnd.sample(range(20), 5))) for i in range(6)]
-        got = {a: (b, s) for a, b, s, _ in mt._greedy(src, gen, 0.3, 0.6, 0.4)}
+        share = lambda a, b: len(a[1] & b[1]) / max(len(a[1] | b[1]), 1)
+        got = {a[0]: (b[0], s) for a, b, s, _ in mt._greedy(src, gen, lambda t: t[0], share, 0.3, 0.6, 0.4)}
         assert len({b for b, _ in got.values()}) == len(got)
         free = dict(gen)
         for name, values in src:
