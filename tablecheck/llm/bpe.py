@@ -225,7 +225,11 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", decoded: str = "dec
 
 
 def digests(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: number of ids, digest of the ids, digest of what they decode to."""
+    """Per row of ``df``: doc_id, number of ids, digest of the ids, digest of what they decode to.
+
+    Null and empty texts have no ids and the digests of nothing; ids of any kind, null ones and repeated rows pass through; texts of any length are
+    encoded whole; other columns are ignored, whatever their names.
+    """
     texts = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     coded = decode(encode(texts, path, pattern).drop("text"), path)
     return coded.select(

@@ -16,7 +16,8 @@ def _pull(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root (least node of its component) for every node of ``edges`` (a, b longs; any order, repeats allowed).
+    """node, root (least node of its component) for every node of ``edges`` (a, b longs; any order, repeats allowed, no nulls; a link of a node
+    with itself says nothing). No edges give no rows.
 
     Every round is written to the shared folder, so lineage stays short and a lost executor costs one round.
     Rounds grow with the logarithm of the component size. Stops when a round changes no edge; an error after ``max_rounds``.

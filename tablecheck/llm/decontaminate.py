@@ -129,7 +129,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no window similar to an item."""
+    """The rows of ``docs``, all columns, that hold no window similar to an item.
+
+    Null and empty texts stay; repeated rows stay or go together; rows with equal ids and different texts are judged apart. An empty benchmark keeps everything.
+    """
     found = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
     rows = docs.select(F.struct("*").alias("row"))
     same = F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("row.text") == F.col("hit_hash"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecheck.llm.common import WORD_SEPARATOR, words
+from tablecheck.llm.common import WORD_SEPARATOR
 from tablecheck.session import cut_lineage
 
 DEPTH, MIN_TOKENS, MIN_DOCS, MAX_SHARED = 8, 1, 3, 0.75
@@ -63,7 +63,10 @@ def _mark(lines: Column, hashed) -> Column:
 
 
 def recurring(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, max_shared: float = MAX_SHARED) -> tuple[DataFrame, DataFrame]:
-    """The recurring templates (template, documents), and doc_id, text_hash, dropped (array of templates) of the documents that have any."""
+    """The recurring templates (template, documents), and doc_id, text_hash, dropped (array of templates) of the documents that have any.
+
+    Null and empty texts and blank lines have no template. Ties do not matter: a template recurs or not. An empty table gives two empty ones.
+    """
     rows = cut_lineage(parsed(docs, depth, min_tokens), "line-parsed")  # texts are parsed once; hashes are small
     every = rows.select(F.explode(F.array_distinct(F.flatten("lines.keys"))).alias("template"))
     frequent = cut_lineage(every.groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("template"), "line-frequent")

@@ -21,6 +21,7 @@ BYTE_FILE = "byte_bpe_50k.json"
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and what they decode to, as digests; a null text is an empty one."""
     return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
 
 
@@ -32,6 +33,7 @@ MARKED_TEXT = "\\### Assistant: </turn> ok"
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one with control strings, formatted in windows and read back, as digests."""
     own = spark.sql(f"SELECT -7L AS conv_id, turn, role, r'{MARKED_TEXT}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     return chat.digests(chat.read_back(chat.windows(turns)))
@@ -71,6 +73,7 @@ FROM c GROUP BY conv_id
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every document; half of the labels (by hash of the id) fit the model, the others set the threshold."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     for_threshold = fold(F.col("doc_id"), 2) == 1
     weights = quality.fit(docs, labels.filter(~for_threshold))
@@ -81,6 +84,7 @@ QUERIES["op8_quality"] = op8_quality
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of every page, written to bundles and read back; a null page has an empty payload."""
     pages = read_table(spark, sf_dir, "pages")
     records = pages.select(F.col("page_id").alias("record_id"), "url", F.encode("html", "UTF-8").alias("payload"))
     stored = cut_lineage(warc.bundles(warc.mark_revisits(records)), "warc")
@@ -93,6 +97,7 @@ QUERIES["op2_warc"] = op2_warc
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; a null or empty page has an empty one."""
     texts = html_wrapper.main_text(read_table(spark, sf_dir, "pages"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
@@ -101,6 +106,7 @@ QUERIES["op10_html"] = op10_html
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document by three-word shingles and three bits; texts without words link like any other."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3)
 
 
@@ -108,6 +114,7 @@ QUERIES["op6_simhash"] = op6_simhash
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them; a text without a letter is ``und``."""
     docs = read_table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 4) == 2
     found = langid.identify(docs, public_tokenizers.path(PIECE_FILE), ~held_out)
@@ -118,6 +125,7 @@ QUERIES["op5_language"] = op5_language
 
 
 def op3_linetree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates taken out of every document, as counts and a digest; a null text has no lines."""
     rows = linetree.drop_recurring(read_table(spark, sf_dir, "documents"))
     return rows.select("row.doc_id", "n_lines", "n_dropped", F.length("kept").cast("long").alias("kept_chars"), F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
 
@@ -161,6 +169,7 @@ FROM o LEFT JOIN b ON b.doc_id = o.doc_id AND b.text = o.text AND b.pos = o.pos
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a window similar to a benchmark item, and the best similarity to it; texts without words are in no row."""
     found = decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
@@ -192,6 +201,7 @@ WHERE common / (size + v.n - common) >= 0.8 GROUP BY v.doc_id, v.text, item_id
 
 
 def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model learned from six sevenths of them, one of these as the deleted fold; a null text has the end token only."""
     held_out, deleted = fold(F.col("doc_id"), 7) == 2, fold(F.col("doc_id"), 7) == 5
     scored = ngram_lm.score(read_table(spark, sf_dir, "documents"), ~held_out, deleted)
     return scored.select(
