@@ -24,7 +24,11 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and documents of no clear language; the model learns from the labels of three quarters of them."""
+    """Rejects documents without a letter and documents of no clear language; the model learns from the labels of three quarters of them.
+
+    Null and empty texts go. Of two equally likely languages neither reaches the score. Repeated rows are judged alike, texts of any length as a whole; columns
+    of any name pass through. Without any label all documents with a letter stay.
+    """
     path = public_tokenizers.path(PIECE_FILE)
     pieces = langid.load_pieces(path)
     langs, probability = langid.fit(docs.filter(fold(F.col("doc_id"), 4) != 2).select("lang", "text"), pieces)
@@ -36,7 +40,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines of recurring templates out of the texts; n_chars follows where a line went."""
+    """Takes lines of recurring templates out of the texts; n_chars follows where a line went.
+
+    No row goes: null texts stay null, a text of such lines alone becomes empty. Repeated rows get the same text; columns of any name pass through.
+    """
     rows = linetree.drop_recurring(docs)
     row = F.col("row").withField("text", F.col("kept"))
     if "n_chars" in docs.columns:
@@ -54,12 +61,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
+    """Drops documents that hold a passage of the benchmark.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty benchmark drops nothing.
+    """
     return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left, as digests."""
+    """Token ids of every document that is left, as digests; a null text has no ids, repeated rows give repeated rows."""
     return bpe.digests(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
 
 
