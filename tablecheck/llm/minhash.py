@@ -6,11 +6,11 @@ table's key is a pair of half keys, one from either collection, so HALVES ** 2 t
 of one collection differ: with 12 halves of two rows that happens to less than one in 100,000 pairs at s = 0.8, and to fewer above.
 
 Nodes meet in a table only if others have the same half keys, so half keys are counted first and pairs of them formed only
-from what is left. Members of a key are compared with one representative per round (the member with the most keys, then
-others by hash); members that are linked to each other already need no comparison. What stays open under the keys is
-settled exactly: those nodes get as keys the first n - ceil(0.8 n) + 1 of their shingles, rarest first, of which two sets of
-similarity 0.8 must share one; after the same rounds all pairs left under a key that are in different components and
-can still reach the similarity by their sizes are compared. No key is dropped.
+from what is left. Under a key of few members all pairs are compared; members of a larger one are compared with one representative per
+round (the member with the most keys, then others by hash). Members that are linked to each other already need no comparison. What
+stays open under large keys is settled exactly: those nodes get as keys the first n - ceil(0.8 n) + 1 of their shingles,
+rarest first, of which two sets of similarity 0.8 must share one; after the same rounds all pairs left under a key that are in
+different components and can still reach the similarity by their sizes are compared. No key is dropped.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from tablecheck.session import cut_lineage, ship_by_value
 ship_by_value(__name__)
 
 SHINGLE, PERCENT, HALVES, ROWS = 5, 80, 12, 2
-#: Rounds with representatives, and open pairs per member of a key up to which all are compared at once.
+#: Rounds with representatives, and open pairs per member of a key up to which all of the key are compared at once.
 ROUNDS, PAIRS = 3, 4
 #: Shingles hashed at once, and words whose hashes a task remembers.
 CHUNK, MEMO = 1 << 19, 1 << 20
@@ -143,10 +143,11 @@ def star_pairs(labelled: DataFrame, percent: int, salt: int) -> DataFrame:
     return labelled.join(heads, "key").filter(F.col("label") != F.col("other_label")).filter(near_size(percent)).select(*pair()).distinct()
 
 
-def open_pairs(labelled: DataFrame) -> DataFrame:
-    """key, open: pairs under a key that are in different components, where there are any."""
+def open_keys(labelled: DataFrame) -> DataFrame:
+    """key, few: keys under which pairs are in different components, and whether these are few for the key's members."""
     held = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    return held.select("key", ((F.col("n") * F.col("n") - F.col("q")) / 2).alias("open")).filter("open > 0")
+    left = (F.col("n") * F.col("n") - F.col("q")) / 2
+    return held.filter(left > 0).select("key", (left <= PAIRS * F.col("n")).alias("few"))
 
 
 def cross_pairs(labelled: DataFrame, percent: int) -> DataFrame:
@@ -157,12 +158,12 @@ def cross_pairs(labelled: DataFrame, percent: int) -> DataFrame:
 
 
 class _Links:
-    """Confirmed links so far, the pairs tested for them, and the components they make."""
+    """Pairs tested so far and the components that the confirmed links make."""
 
     def __init__(self, sets: DataFrame, percent: int):
         self.sets, self.percent = sets, percent
         spark = sets.sparkSession
-        self.tested = self.links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+        self.tested = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
         self.roots = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("root"))
 
     def test(self, pairs: DataFrame) -> None:
@@ -172,25 +173,35 @@ class _Links:
         both = first.join(self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")  # a member's set travels once per round
         shared = both.select("a", "b", F.size(F.array_intersect("left", "right")).alias("shared"), (F.size("left") + F.size("right")).alias("sizes"))
         found = cut_lineage(shared.filter(100 * F.col("shared") >= self.percent * (F.col("sizes") - F.col("shared"))).select("a", "b"), "minhash-links")
-        self.links = self.links.union(found)
-        self.roots = cut_lineage(components(self.links), "minhash-components")
+        if not found.isEmpty():
+            self.join(found)
+
+    def join(self, found: DataFrame) -> None:
+        """Components after more links: only those that links connect are looked at again."""
+        fresh = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
+        every = self.roots.union(fresh.join(self.roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+        every = cut_lineage(every, "minhash-nodes-linked")
+        of = lambda c: every.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        edges = found.join(of("a"), "a").join(of("b"), "b").filter("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+        merged = components(edges).select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+        self.roots = cut_lineage(every.join(merged, "root", "left").select("node", F.coalesce("new_root", "root").alias("root")), "minhash-components")
 
     def labelled(self, members: DataFrame) -> DataFrame:
         """``members`` (key, node, n, keys) with the component of each node."""
-        return cut_lineage(members.join(self.roots, "node", "left").select("key", "node", "n", "keys", F.coalesce("root", "node").alias("label")), "minhash-labelled")
+        return members.join(self.roots, "node", "left").select("key", "node", "n", "keys", F.coalesce("root", "node").alias("label"))
 
     def settle(self, members: DataFrame, rounds: int) -> DataFrame:
-        """Tests pairs under the keys of ``members``, a representative per key and round; returns labelled members of keys still open."""
+        """Tests pairs under the keys of ``members``: all under keys with few open ones, a representative per round under others. Returns labelled
+        members of keys still open after ``rounds``."""
+        members = cut_lineage(self.labelled(members), "minhash-labelled")
         for salt in range(rounds):
-            labelled = self.labelled(members)
-            self.test(star_pairs(labelled, self.percent, salt))
-            labelled = self.labelled(members)
-            open_keys = cut_lineage(open_pairs(labelled), "minhash-open")
-            members = labelled.join(open_keys, "key", "left_semi").drop("label")
-            left = open_keys.agg(F.sum("open")).first()[0] or 0
-            if left == 0 or left <= PAIRS * members.count():
-                break
-        return self.labelled(members)
+            left = cut_lineage(members.join(open_keys(members), "key"), "minhash-open")
+            if left.isEmpty():
+                return left.drop("few")
+            few, many = left.filter("few").drop("few"), left.filter(~F.col("few")).drop("few")
+            self.test(cross_pairs(few, self.percent).union(star_pairs(many, self.percent, salt)).distinct())
+            members = cut_lineage(self.labelled(many.drop("label")), "minhash-labelled")
+        return members.join(open_keys(members).select("key"), "key", "left_semi")
 
 
 def with_counts(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -242,12 +253,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     in_tables = members.select("node").distinct()
     sets = cut_lineage(full_sets(docs, nodes.join(in_tables, "node", "left_semi"), shingle), "minhash-sets")
     found = _Links(sets, percent)
-    still = found.settle(members, rounds)
+    still = cut_lineage(found.settle(members, rounds), "minhash-still")
     if not still.isEmpty():
-        if (open_pairs(still).agg(F.sum("open")).first()[0] or 0) > PAIRS * still.count():
-            few = cut_lineage(prefixes(sets, still.select("node").distinct(), percent), "minhash-prefixes")
-            still = found.settle(cut_lineage(with_counts(few, nodes), "minhash-members"), rounds)
-        found.test(cross_pairs(still, percent))
+        rare = cut_lineage(prefixes(sets, still.select("node").distinct(), percent), "minhash-prefixes")
+        found.test(cross_pairs(found.settle(with_counts(rare, nodes), rounds), percent))
     rooted = nodes.select("node", F.col("head.doc_id").alias("least")).join(found.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("least_doc"))
     joined = marked.select("doc_id", "node", "n").join(rooted.join(least, "root").select("node", "least_doc"), "node", "left")
