@@ -3,10 +3,10 @@
 Texts with equal sets are one node. A node has two collections of ``HALVES`` half keys, each made of ``ROWS`` minhashes; a
 table's key is a pair of half keys, one from either collection, so HALVES ** 2 tables of 2 * ROWS minhashes each need
 2 * HALVES * ROWS minhash computations instead of 2 * HALVES ** 2 * ROWS. Two sets of similarity s share a table unless all half keys
-of one collection differ: with 12 halves of two rows that happens to less than one in 100,000 pairs at s = 0.8, and to fewer above.
+of one collection differ: with 16 halves of three rows that happens to about one in 50,000 pairs at s = 0.8, and to fewer above (1 - (1 - (1 - s ** 3) ** 16) ** 2).
 
 Nodes meet in a table only if others have the same half keys, so half keys are counted first and pairs of them formed only
-from what is left. Under a key of few members all pairs are compared; members of a larger one are compared with one representative per
+from what is left. Keys with the same members are one key. Under a key of few members all pairs are compared; members of a larger one are compared with one representative per
 round (the member with the most keys, then others by hash). Members that are linked to each other already need no comparison. What
 stays open under large keys is settled exactly: those nodes get as keys the first n - ceil(0.8 n) + 1 of their shingles,
 rarest first, of which two sets of similarity 0.8 must share one; after the same rounds all pairs left under a key that are in
@@ -28,11 +28,13 @@ from tablecheck.session import cut_lineage, ship_by_value
 
 ship_by_value(__name__)
 
-SHINGLE, PERCENT, HALVES, ROWS = 5, 80, 12, 2
+SHINGLE, PERCENT, HALVES, ROWS = 5, 80, 16, 3
 #: Rounds with representatives, and open pairs per member of a key up to which all of the key are compared at once.
 ROUNDS, PAIRS = 3, 4
 #: Shingles hashed at once, and words whose hashes a task remembers.
 CHUNK, MEMO = 1 << 19, 1 << 20
+#: Bits of the filter of rows whose texts are fetched again.
+FILTER = 1 << 26
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -66,14 +68,18 @@ def functions(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def half_keys(shingles: np.ndarray, starts: np.ndarray, halves: int, rows: int) -> np.ndarray:
-    """2 * ``halves`` half keys for each of the sets that begin at ``starts`` (none is empty): an array (sets, keys)."""
+    """2 * ``halves`` half keys for each of the sets that begin at ``starts`` (none is empty): an array (sets, keys). Keys of the first collection are
+    even, those of the second odd; which half a key is of goes into it.
+    """
     mask, factor = functions(2 * halves * rows)
     made = np.zeros((2 * halves, len(starts)), np.uint64)
     for k in range(2 * halves):
+        made[k] = k
         for r in range(rows):
             least = np.minimum.reduceat((shingles ^ mask[k * rows + r]) * factor[k * rows + r], starts)
             made[k] = (made[k] ^ least) * np.uint64(0x9E3779B97F4A7C15)
             made[k] ^= made[k] >> np.uint64(32)
+        made[k] = made[k] & ~np.uint64(1) | np.uint64(k >= halves)
     return made.T
 
 
@@ -111,21 +117,23 @@ def keyed(docs: DataFrame, shingle: int, halves: int, rows: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id bigint, text_hash bigint, node bigint, n bigint, halves array<bigint>")
 
 
-def tables(nodes: DataFrame, halves: int) -> DataFrame:
+def tables(nodes: DataFrame) -> DataFrame:
     """key, node: members of all tables (pairs of half keys) that more than one node is in."""
-    each = nodes.select("node", F.posexplode("halves").alias("half", "value"))
-    common = each.groupBy("half", "value").agg(F.count(F.lit(1)).alias("of")).filter("of > 1").select("half", "value")
-    left = each.join(common, ["half", "value"], "left_semi")
-    held = left.groupBy("node").agg(F.collect_list(F.struct("half", "value")).alias("held"))  # 2 * halves at most
-    first, second = F.filter("held", lambda h: h["half"] < halves), F.filter("held", lambda h: h["half"] >= halves)
-    pairs = held.select("node", F.explode(first).alias("a"), second.alias("second")).select("node", "a", F.explode("second").alias("b"))
-    return several(pairs.select(F.xxhash64("a.half", "a.value", "b.half", "b.value").alias("key"), "node"))
+    each = nodes.select("node", F.explode("halves").alias("half"))
+    common = each.groupBy("half").agg(F.count(F.lit(1)).alias("of")).filter("of > 1").select("half")
+    left = each.join(common, "half", "left_semi")
+    held = left.groupBy("node").agg(F.collect_list("half").alias("held"))  # 2 * halves at most
+    side = lambda odd: F.filter("held", lambda h: h.bitwiseAND(F.lit(1)) == odd)
+    pairs = held.select("node", F.explode(side(0)).alias("a"), side(1).alias("second")).select("node", "a", F.explode("second").alias("b"))
+    return several(pairs.select(F.xxhash64("a", "b").alias("key"), "node"))
 
 
 def several(members: DataFrame) -> DataFrame:
-    """Members of keys that more than one node has."""
-    many = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    return members.join(many, "key", "left_semi")
+    """Members of keys that more than one node has; of keys with the same members one (they are told apart by number and a mark of 64 bits)."""
+    mark = F.bit_xor(F.xxhash64("node"))
+    many = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), mark.alias("mark")).filter("n > 1")
+    kept = many.groupBy("n", "mark").agg(F.min("key").alias("key")).select("key")
+    return members.join(kept, "key", "left_semi")
 
 
 def near_size(percent: int) -> Column:
@@ -220,7 +228,25 @@ def prefixes(sets: DataFrame, open_nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, heads: DataFrame, shingle: int) -> DataFrame:
-    """node, shingles of the rows of ``docs`` that ``heads`` (head: last, doc_id, text_hash) name."""
+    """node, shingles of the rows of ``docs`` that ``heads`` (head: last, doc_id, text_hash; a written table) name.
+
+    A filter of ``FILTER`` bits, the same size whatever the corpus, keeps most other texts from being moved; the join decides.
+    """
+    known = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    key = ["key_last", "key_id", "key_hash"]
+    bit = F.pmod(F.xxhash64(*key), F.lit(FILTER)).cast("int")
+    wanted = heads.select(F.col("head.last").alias("key_last"), known(F.col("head.doc_id")).alias("key_id"), F.col("head.text_hash").alias("key_hash"))
+    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 31)")).alias("bits")).toArrow()
+    table = np.zeros(FILTER // 32, np.uint32)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("bit").to_numpy()
+            places = np.flatnonzero((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
+            if len(places):
+                yield batch.take(pa.array(places))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -229,11 +255,9 @@ def full_sets(docs: DataFrame, heads: DataFrame, shingle: int) -> DataFrame:
                 found = shingle_set(cell.as_py(), shingle, hashes)
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(found.tobytes())], pa.uint64()).view(pa.int64()), pa.array([signed(found)], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    known = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    key = ["key_last", "key_id", "key_hash"]
-    wanted = heads.select(F.col("head.last").alias("key_last"), known(F.col("head.doc_id")).alias("key_id"), F.col("head.text_hash").alias("key_hash"))
     number = F.col("doc_id").cast("long")
-    rows = docs.select("text", number.isNull().alias("key_last"), known(number).alias("key_id"), F.xxhash64("text").alias("key_hash"))
+    rows = docs.select("text", number.isNull().alias("key_last"), known(number).alias("key_id"), F.xxhash64("text").alias("key_hash")).withColumn("bit", bit)
+    rows = rows.mapInArrow(sift, rows.schema)
     found = rows.join(wanted, key, "left_semi").dropDuplicates(key).select("text")
     return found.mapInArrow(run, "node bigint, shingles array<bigint>")
 
@@ -249,9 +273,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     nodes = marked.filter("n > 0").groupBy("node").agg(F.min(order).alias("head"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     nodes = cut_lineage(nodes, "minhash-nodes")
-    members = cut_lineage(with_counts(cut_lineage(tables(nodes, halves), "minhash-tables"), nodes), "minhash-members")
+    members = cut_lineage(with_counts(cut_lineage(tables(nodes), "minhash-tables"), nodes), "minhash-members")
     in_tables = members.select("node").distinct()
-    sets = cut_lineage(full_sets(docs, nodes.join(in_tables, "node", "left_semi"), shingle), "minhash-sets")
+    heads = cut_lineage(nodes.join(in_tables, "node", "left_semi").select("head"), "minhash-heads")
+    sets = cut_lineage(full_sets(docs, heads, shingle), "minhash-sets")
     found = _Links(sets, percent)
     still = cut_lineage(found.settle(members, rounds), "minhash-still")
     if not still.isEmpty():
