@@ -25,13 +25,14 @@ def verify(reviews: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFram
     """Reviews with refuted claims downgraded.
 
     ``reviews``: keys, evidence.  ``verdicts``: keys, reply, one reply per
-    review; both sides have one row per key, so a plain join cannot be skewed.  Verdicts on numbers no claim carries are ignored; a claim without a
+    review; both sides have one row per key, so a plain join cannot be skewed.  Neither side is broadcast: a size guessed before rows are multiplied
+    would send every review through the driver.  Verdicts on numbers no claim carries are ignored; a claim without a
     verdict stays.
     """
     parsed = verdicts.select(*keys, parse_verdicts(F.col("reply")).alias("v"))
     refuted = F.transform(F.filter("v", lambda r: r["confirmed"] == F.lit(False)), lambda r: r["index"])
     parsed = parsed.select(*keys, refuted.alias("refuted"))
-    both = reviews.join(parsed, keys, "left")
+    both = reviews.join(parsed.hint("merge"), keys, "left")
     checked = F.transform(
         claim_numbers(F.col("evidence")),
         lambda x: F.when(
