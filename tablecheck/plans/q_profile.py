@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablecheck.functions import naming
-from tablecheck.functions.cells import try_numeric
+from tablecheck.functions.cells import is_empty, try_numeric
 from tablecheck.operators import matching as mt, profile as pf, sheets as sh
 from tablecheck.operators.rownum import dedupe_names
 from tablecheck.plans import sqltext as q
@@ -191,8 +191,17 @@ def p_visible(spark, sf):
 
 
 @query("p_nonempty_tables", with_fixtures("f3") + f"""
-, n AS ({NAMED_SQL}) SELECT case_id, sheet, count(*) AS cells FROM n GROUP BY ALL HAVING count(row_idx) > 0""")
+SELECT case_id, side, sheet, count(*) AS cells FROM f3 GROUP BY ALL HAVING count(*) FILTER (WHERE NOT {q.empty('value')}) > 0""")
 def p_nonempty_tables(spark, sf):
+    """Tables that hold any value."""
+    filled = F.count_if(~is_empty(F.col("value")))
+    out = fixture(spark, sf, "f3").groupBy(*SHEET).agg(F.count(F.lit(1)).alias("cells"), filled.alias("filled"))
+    return out.where("filled > 0").drop("filled")
+
+
+@query("p_tables_with_rows", with_fixtures("f3") + f"""
+, n AS ({NAMED_SQL}) SELECT case_id, sheet, count(*) AS cells FROM n GROUP BY ALL HAVING count(row_idx) > 0""")
+def p_tables_with_rows(spark, sf):
     """Tables that have rows."""
     kept = sh.nonempty(named_cells(spark, sf), ["case_id", "sheet"])
     return kept.groupBy("case_id", "sheet").agg(F.count(F.lit(1)).alias("cells"))
