@@ -1,11 +1,10 @@
 """Quality by hashed n-gram log-likelihood ratio, with simple count rules before it; DataFrame functions only.
 
 Words and pairs of neighbouring words are hashed into ``buckets`` classes. Two multinomials are counted: over the raw corpus
-(all documents, whole texts) and over trusted documents (labelled quality 1; a documented sample of at most
-``trusted`` of them). The trusted one is smoothed towards the raw one: its prior holds as many n-grams as were
+(all documents, whole texts) and over all trusted documents (labelled quality 1 and not toxic). The trusted one is smoothed towards the raw one: its prior holds as many n-grams as were
 counted in it, dealt like the raw corpus. So a bucket's log ratio depends on shares alone, not on the
 sizes of the two tables, and never falls below log(1/2). A document's score is the mean over its n-grams, so texts of any
-length compare; it is kept when the score reaches the threshold, which ``threshold`` reads off labelled documents
+length compare; it is kept when the score reaches the threshold, which ``threshold`` reads off all labelled documents
 that the model has not been fitted on. The counts are sums per bucket, combined before the shuffle; the model is
 one array of ``buckets`` doubles, whatever the corpus.
 """
@@ -18,20 +17,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.llm.common import words
-
-BUCKETS, TRUSTED = 1 << 14, 20_000
-#: Labelled documents that set the threshold, and the threshold where there are none of both kinds.
-JUDGED, THRESHOLD = 4096, -0.25
+from tablecheck.operators.rownum import positions, running_sum
+from tablecheck.session import cut_lineage
+
+BUCKETS = 1 << 14
+#: The threshold where labelled documents of both kinds are missing.
+THRESHOLD = -0.25
+#: Ids up to which a list of them is sent to every task; a longer one is joined by shuffle, with the same rows.
+SENT = 1_000_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Repeated windows up to which a list is searched instead of sorted.
 SOUGHT = 64
 SYMBOLS = "[#*$%&|<>]"
 
 
-def trusted_sample(labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
-    """At most ``trusted`` distinct ids labelled quality 1 and not toxic, by hash order (the broadcast's bound)."""
-    ids = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("trusted_id")).distinct()
-    return ids.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(trusted)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Distinct ids labelled quality 1 and not toxic."""
+    return labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("trusted_id")).distinct()
+
+
+def sent(ids: DataFrame) -> DataFrame:
+    """``ids`` marked for a broadcast if it is short."""
+    return F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids
 
 
 def grams(listed: str, buckets: int) -> Column:
@@ -41,13 +48,13 @@ def grams(listed: str, buckets: int) -> Column:
     return F.concat(F.transform(listed, lambda w: bucket(F.xxhash64(w))), F.transform(pairs, lambda w, i: bucket(F.xxhash64(w, F.get(listed, i + 1)))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED) -> list[float]:
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """Log ratio by bucket; all zero where no trusted document has a word, zero where the corpus has nothing. ``buckets`` numbers reach the driver.
 
     Null and empty texts add nothing; a document labelled twice counts once, repeated rows count each; null ids are never trusted.
     """
-    sample = F.broadcast(trusted_sample(labels, trusted))
-    marked = docs.select("doc_id", words(F.col("text")).alias("words")).join(sample, F.col("doc_id") == F.col("trusted_id"), "left")
+    ids = sent(trusted_ids(labels))
+    marked = docs.select("doc_id", words(F.col("text")).alias("words")).join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
     rows = marked.select(F.col("trusted_id").isNotNull().cast("long").alias("trusted"), F.explode(grams("words", buckets)).alias("bucket"))
     counted = {r.bucket: (r.raw, r.target) for r in rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target")).collect()}
     raw, target = (sum(c[k] for c in counted.values()) for k in (0, 1))
@@ -56,25 +63,25 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int
     return [math.log((counted[b][1] / target * raw / counted[b][0] + 1) / 2) if b in counted else 0.0 for b in range(buckets)]
 
 
-def threshold(docs: DataFrame, labels: DataFrame, weights: list[float], judged: int = JUDGED) -> float:
-    """The score that parts labelled documents (quality 1 and 0) with the fewest errors, both kinds weighing the same; of several the lowest.
+def threshold(docs: DataFrame, labels: DataFrame, weights: list[float]) -> float:
+    """The score that parts all labelled documents (quality 1 and 0) with the fewest errors, both kinds weighing the same; of several the lowest.
 
-    At most ``judged`` distinct labelled ids, by hash order, are looked at; ``THRESHOLD`` if one kind is missing. An id with both labels counts
-    as both.
+    ``THRESHOLD`` if one kind is missing. An id with both labels counts as both. Documents are tallied by score and the tallies summed in
+    the order of scores by slices, so no task and no driver holds them all.
     """
     known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("judged_id"), (F.col("quality") == 1).alias("good")).distinct()
-    sample = known.orderBy(F.xxhash64("judged_id"), "judged_id", "good").limit(judged)
-    rows = docs.select("doc_id", words(F.col("text")).alias("words")).filter(F.size("words") >= MIN_WORDS).join(F.broadcast(sample), F.col("doc_id") == F.col("judged_id"))
-    scored = sorted((r.score, r.good) for r in rows.select("good", score("words", weights).alias("score")).collect())
-    good, bad = sum(g for _, g in scored), sum(not g for _, g in scored)
-    if not good or not bad:
+    rows = docs.select("doc_id", words(F.col("text")).alias("words")).filter(F.size("words") >= MIN_WORDS).join(sent(known), F.col("doc_id") == F.col("judged_id"))
+    scored = rows.select("good", score("words", weights).alias("score"))
+    tally = cut_lineage(scored.groupBy("score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")), "scores")
+    total = tally.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.min("score").alias("least"), F.max("score").alias("most")).first()
+    if not total.good or not total.bad:
         return THRESHOLD
-    least, cut, lost, let_in = 1.0, scored[0][0], 0, bad
-    for (here, kind), (after, _) in zip(scored, scored[1:], strict=False):
-        lost, let_in = lost + kind, let_in - (not kind)
-        if after > here and lost / good + let_in / bad < least:
-            least, cut = lost / good + let_in / bad, (here + after) / 2
-    return cut
+    placed = running_sum(running_sum(positions(tally, "score"), [], "pos", "good", "lost"), [], "pos", "bad", "cast_out")
+    errors = (F.col("lost") + F.col("good")) / F.lit(float(total.good)) + (total.bad - F.col("cast_out") - F.col("bad")) / F.lit(float(total.bad))
+    here = placed.filter(F.col("score") < total.most).select("score", errors.alias("errors")).filter("errors < 1").orderBy("errors", "score").first()
+    if here is None:
+        return total.least
+    return (here.score + tally.filter(F.col("score") > here.score).agg(F.min("score").alias("after")).first().after) / 2
 
 
 def covered(places: Column) -> Column:
