@@ -20,9 +20,8 @@ def reply_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scored(replies: DataFrame) -> DataFrame:
-    """Scored rows of replies, with the folder each belongs to."""
-    rows = parse_replies(replies).withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(BUCKETS)).cast("int"))
-    return rows.select(*KEYS, "arrived", "reply", "ok", "score", "feedback", F.array_join("evidence", "\n").alias("evidence"), "bucket")
+    """Scored rows of replies (keys, reply, bucket)."""
+    return parse_replies(replies).select(*KEYS, "ok", "score", "feedback", F.array_join("evidence", "\n").alias("evidence"), "bucket")
 
 
 def _stored_keys(spark: SparkSession, out_dir: str, batch_id: int, buckets: list[int]) -> DataFrame | None:
@@ -45,12 +44,13 @@ def run_available(replies: DataFrame, out_dir: str, checkpoint: str) -> list[dic
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = first_per_key(scored(batch), KEYS, ["arrived", "reply"]).drop("arrived", "reply").persist()
-        buckets = [r.bucket for r in rows.select("bucket").distinct().collect()]  # BUCKETS at most
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(BUCKETS)).cast("int"))
+        buckets = [] if batch_id == 0 else [r.bucket for r in rows.select("bucket").distinct().collect()]  # BUCKETS at most
         known = _stored_keys(spark, out_dir, batch_id, buckets)
         fresh = rows if known is None else rows.join(known, KEYS, "left_anti")
-        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out_dir}/batch={batch_id}")
-        rows.unpersist()
+        # dealt by folder once, with the texts alone: the first of a review is found, read and written where it lies
+        first = first_per_key(fresh.repartition("bucket"), ["bucket", *KEYS], ["arrived", "reply"])
+        scored(first).write.mode("overwrite").partitionBy("bucket").parquet(f"{out_dir}/batch={batch_id}")
 
     query = (
         replies.writeStream.foreachBatch(store)
