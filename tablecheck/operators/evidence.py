@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablecheck.functions.replies import downgrade, needs_verification, parse_verdicts, sentiment_tag, verification_tag
+from tablecheck.functions.replies import downgrade, let, needs_verification, parse_verdicts, sentiment_tag, verification_tag
 
 
 def claim_numbers(evidence: Column) -> Column:
-    """Items with their place and, for claims to verify, a number 1..k inside the review."""
-    return F.transform(
-        evidence,
-        lambda x, i: F.struct(
-            i.alias("pos"),
-            x.alias("text"),
-            F.when(
-                needs_verification(x), F.size(F.filter(F.slice(evidence, 1, i + 1), needs_verification))
-            ).alias("claim_no"),
+    """Items with their place and, for claims to verify, a number 1..k inside the review; every item is looked at once."""
+    places = F.filter(F.transform(evidence, lambda x, i: F.when(needs_verification(x), i)), F.isnotnull)
+    return let(
+        F.struct(evidence.alias("items"), places.alias("claims")),
+        lambda r: F.transform(
+            r["items"],
+            lambda x, i: F.struct(
+                i.alias("pos"), x.alias("text"), F.nullif(F.array_position(r["claims"], i), F.lit(0)).cast("int").alias("claim_no")
+            ),
         ),
     )
 

@@ -49,3 +49,21 @@ def test_tone_of_words(spark):
     df = spark.createDataFrame([(t,) for t, _ in rows], "t string").select("t", rp.sentiment_words(F.col("t")).alias("tone"))
     # "bad" is no listed word, "poor" is
     assert {r.t: r.tone for r in df.collect()} == dict(rows)
+
+
+def test_claims_are_looked_at_once(spark):
+    lists = [["+VERIFIED: a", None, "x", "-verified b", "INFERRED, verified later", "VERIFIED"], ["x", None], [], None]
+    df = spark.createDataFrame([(i, e) for i, e in enumerate(lists)], "i int, evidence array<string>").select("i", ev.claim_numbers(F.col("evidence")).alias("c"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 2  # one look for each of the two words
+    got = {r.i: r.c and [tuple(x) for x in r.c] for r in df.collect()}
+    numbers = [1, None, None, 2, None, 3]
+    assert got == {0: [(p, t, n) for p, (t, n) in enumerate(zip(lists[0], numbers))], 1: [(0, "x", None), (1, None, None)], 2: [], 3: None}
+
+
+def test_usual_replies_are_read_outside_nested_functions(spark):
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(REPLIES)], "i int, reply string")
+    whole = df.select("i", rp.parse_reply(F.col("reply")).alias("p")).select("i", "p.*").orderBy("i").collect()
+    steps = rp.parse_replies(df).drop("reply").orderBy("i")
+    assert [tuple(r) for r in steps.collect()] == [tuple(r) for r in whole]
+    lines = steps._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("Project" in x and "from_json" in x and "lambda" not in x for x in lines)
