@@ -32,7 +32,7 @@ from tablecheck.session import scratch_path, ship_by_value
 ship_by_value(__name__)
 
 #: Characters of a batch (one text at least) and links spread out at once.
-CHUNK, LINKS = 6_000_000, 1 << 22
+CHUNK, LINKS = 4_000_000, 1 << 20
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 #: How byte-level vocabularies write bytes that are not printable (the others stand for themselves).
 PRINTABLE = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))

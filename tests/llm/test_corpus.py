@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -195,6 +196,24 @@ def test_alignment_equals_both_libraries(spark, monkeypatch, chunk, links):
     assert Counter(run_alignment(spark, rows, chunk=chunk)) == Counter(plain_alignment(rows))
 
 
+def test_a_batch_of_texts_stays_small():
+    """Two workers of an executor hold a batch each, and keep what it took."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        aligner = align.Aligner(align.load_a(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN), public_tokenizers.PATTERN, f.read())
+    words = random.Random(5).choices(["".join(random.Random(i).choices("etaoinshrdlu", k=2 + i % 9)) for i in range(5000)], k=200 * align.CHUNK // 1300)
+    texts, size = [], 200
+    for at in range(0, len(words), size):
+        texts.append(" ".join(words[at : at + size]))
+        if sum(map(len, texts[-1:])) * len(texts) >= align.CHUNK:
+            break
+    aligner.align(texts[:2])
+    tracemalloc.start()
+    aligner.align(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 450e6  # 618 MB with batches of 6 million characters and 4 million links
+
+
 def test_alignment_of_nothing(spark):
     assert run_alignment(spark, [(1, None), (2, "")]) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
     assert align.measures(spark.createDataFrame([], DOCS), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
