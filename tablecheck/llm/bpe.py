@@ -19,7 +19,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from tablecheck.session import ship_by_value
 
@@ -27,6 +27,8 @@ ship_by_value(__name__)
 
 #: Pieces remembered by one worker, and the longest piece worth remembering.
 MEMO, MEMO_CHARS = 500_000, 64
+#: Bytes of text whose ids a worker holds at once.
+SLICE = 1 << 20
 _MASK = (1 << 64) - 1
 
 
@@ -178,6 +180,42 @@ def encoder(vocabulary: Vocabulary, memo_size: int = MEMO) -> Callable[[str], by
     return encode
 
 
+def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have about ``SLICE`` bytes (one longer text is a part), so a worker never holds the ids of a whole batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        after = max(first + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        yield batch.slice(first, after - first)
+        first = after
+
+
+def id_lists(to_ids: Callable[[str], bytes], texts: pa.Array) -> pa.ListArray:
+    """The ids of each text; null and empty texts have none."""
+    packed = [to_ids(x or "") for x in texts.to_pylist()]
+    ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
+def by_id(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """Pieces in the order of their ids."""
+    pieces: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pieces
+
+
+def joined_pieces(pieces: pa.Array, lists: pa.ListArray) -> pa.Array:
+    """The bytes that each list of ids stands for; null lists stand for none, an unknown id is an error."""
+    lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
+    flat = pc.take(pieces, lists.flatten())
+    if flat.null_count:
+        raise ValueError("an id is not in the vocabulary")
+    ends = np.cumsum([0, *pc.list_value_length(lists).to_numpy(zero_copy_only=False)], dtype=np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), flat), pa.scalar(b"", pa.large_binary())).cast(pa.binary())
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """``df`` with the ids of each text, as the rank file at ``path`` and ``pattern`` give them.
 
@@ -190,12 +228,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(Vocabulary(*shared.value))
-        for batch in batches:
-            packed = [to_ids(x or "") for x in batch.column(text).to_pylist()]
-            ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int64)
-            flat = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids])
+        for whole in batches:
+            for batch in slices(whole, text):
+                yield pa.RecordBatch.from_arrays([*batch.columns, id_lists(to_ids, batch.column(text))], [*batch.schema.names, ids])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(ids, ArrayType(IntegerType(), False))]))
 
@@ -204,24 +239,37 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", decoded: str = "dec
     """``df`` with the bytes that the ids stand for; null ids decode to no bytes, an unknown id is an error."""
     if decoded in df.columns:
         raise ValueError(f"column {decoded} exists already")
-    ranks = Vocabulary.load(path, "").ranks
-    by_id: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        by_id[rank] = piece
-    shared = df.sparkSession.sparkContext.broadcast(by_id)
+    shared = df.sparkSession.sparkContext.broadcast(by_id(Vocabulary.load(path, "").ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pa.array(shared.value, pa.large_binary())
         for batch in batches:
-            lists = pc.fill_null(batch.column(ids), pa.scalar([], batch.column(ids).type)) if batch.column(ids).null_count else batch.column(ids)
-            flat = pc.take(pieces, lists.flatten())
-            if flat.null_count:
-                raise ValueError("an id is not in the vocabulary")
-            ends = np.cumsum([0, *pc.list_value_length(lists).to_numpy(zero_copy_only=False)], dtype=np.int32)
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), flat), pa.scalar(b"", pa.large_binary()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, joined.cast(pa.binary())], [*batch.schema.names, decoded])
+            yield pa.RecordBatch.from_arrays([*batch.columns, joined_pieces(pieces, batch.column(ids))], [*batch.schema.names, decoded])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(decoded, BinaryType())]))
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` in one Python worker, with the ids and the bytes they decode to in place of the text.
+
+    The ids go from one to the other inside the worker, so a core has one worker instead of two.
+    """
+    others = [c for c in df.columns if c != text]
+    if {ids, decoded} & set(others):
+        raise ValueError(f"column {ids} or {decoded} exists already")
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(path, pattern).parts())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(*shared.value)
+        to_ids, pieces = encoder(vocabulary), pa.array(by_id(vocabulary.ranks), pa.large_binary())
+        for whole in batches:
+            for batch in slices(whole, text):
+                lists = id_lists(to_ids, batch.column(text))
+                kept = [batch.column(c) for c in others]
+                yield pa.RecordBatch.from_arrays([*kept, lists, joined_pieces(pieces, lists)], [*others, ids, decoded])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, *df.sparkSession.createDataFrame([], f"`{decoded}` binary").schema.fields]))
+    made = [StructField(ids, ArrayType(IntegerType(), False)), StructField(decoded, BinaryType())]
+    return df.mapInArrow(run, StructType([*[f for f in df.schema.fields if f.name != text], *made]))
 
 
 def digests(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,7 +279,7 @@ def digests(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text
     encoded whole; other columns are ignored, whatever their names.
     """
     texts = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    coded = decode(encode(texts, path, pattern).drop("text"), path)
+    coded = round_trip(texts, path, pattern)
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

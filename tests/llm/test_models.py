@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -81,6 +82,24 @@ def test_tokens_equal_the_library(spark):
         bpe.encode(coded, path, public_tokenizers.PATTERN)
 
 
+def test_tokens_and_digests_need_one_worker_a_core(spark, monkeypatch):
+    """One Python step in the plan; batches are cut by their bytes, with nulls and a text longer than a part."""
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    df = spark.createDataFrame([(1, "one"), (2, None), (3, "long " * 50), (4, ""), (5, "two é"), (5, "two é")], DOCS)
+    plan = bpe.digests(df, path, pattern)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    monkeypatch.setattr(bpe, "SLICE", 11)
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in df.collect()])
+    parts = list(bpe.slices(batch, "text"))
+    assert [p.num_rows for p in parts] == [2, 1, 2, 1] and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert list(bpe.slices(batch.slice(0, 0), "text")) == []
+    one = bpe.round_trip(df, path, pattern).collect()
+    two = bpe.decode(bpe.encode(df, path, pattern).drop("text"), path).collect()
+    assert one == two and [bytes(r.decoded).decode() for r in one] == [r.text or "" for r in df.collect()]
+    with pytest.raises(ValueError):
+        bpe.round_trip(df.withColumn("decoded", F.lit(1)), path, pattern)
+
+
 def test_perfect_hash_is_minimal_and_exact():
     keys = [f"k{i}".encode() for i in range(3000)]
     table = bpe.PerfectHash(keys)
