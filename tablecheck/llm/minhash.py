@@ -9,8 +9,10 @@ Nodes meet in a table only if others have the same half keys, so half keys are c
 from what is left. Keys with the same members are one key. Under a key of few members all pairs are compared; members of a larger one are compared with one representative per
 round (the member with the most keys, then others by hash). Members that are linked to each other already need no comparison. What
 stays open under large keys is settled exactly: those nodes get as keys the first n - ceil(0.8 n) + 1 of their shingles,
-rarest first, of which two sets of similarity 0.8 must share one; after the same rounds all pairs left under a key that are in
-different components and can still reach the similarity by their sizes are compared. No key is dropped.
+rarest first, of which two sets of similarity 0.8 must share one. The first shingle that two sets share in that order tells how much
+they can share at most: nothing before it. Members of a key too far behind in their sets for any other member are left out, and after
+the same rounds all pairs left under a key are compared that are in different components and can still reach the similarity by their sizes
+and places. No key and no pair that could be a link is dropped.
 """
 
 from __future__ import annotations
@@ -125,21 +127,30 @@ def tables(nodes: DataFrame) -> DataFrame:
     held = left.groupBy("node").agg(F.collect_list("half").alias("held"))  # 2 * halves at most
     side = lambda odd: F.filter("held", lambda h: h.bitwiseAND(F.lit(1)) == odd)
     pairs = held.select("node", F.explode(side(0)).alias("a"), side(1).alias("second")).select("node", "a", F.explode("second").alias("b"))
-    return several(pairs.select(F.xxhash64("a", "b").alias("key"), "node"))
+    return several(pairs.select(F.xxhash64("a", "b").alias("key"), "node")).withColumn("before", F.lit(0))
 
 
-def several(members: DataFrame) -> DataFrame:
-    """Members of keys that more than one node has; of keys with the same members one (they are told apart by number and a mark of 64 bits)."""
+def several(members: DataFrame, *order: str) -> DataFrame:
+    """Members of keys that more than one node has; of keys with the same members the first in ``order`` (columns of the key; then the key itself).
+
+    Same members are told by number and a mark of 64 bits.
+    """
     mark = F.bit_xor(F.xxhash64("node"))
-    many = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), mark.alias("mark")).filter("n > 1")
-    kept = many.groupBy("n", "mark").agg(F.min("key").alias("key")).select("key")
-    return members.join(kept, "key", "left_semi")
+    many = members.groupBy("key", *order).agg(F.count(F.lit(1)).alias("n"), mark.alias("mark")).filter("n > 1")
+    kept = many.groupBy("n", "mark").agg(F.min(F.struct(*order, "key")).alias("first")).select("first.key")
+    return members.join(kept, "key", "left_semi").drop(*order)
 
 
 def near_size(percent: int) -> Column:
     return 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
 
 
+def near_place(percent: int) -> Column:
+    """Whether two members can reach the similarity if they share none of the ``before`` shingles that each has before the key; by size alone where these are 0."""
+    most = F.least(F.col("n") - F.col("before"), F.col("other_n") - F.col("other_before"))
+    return 100 * most >= percent * (F.col("n") + F.col("other_n") - most)
+
+
 def pair() -> list[Column]:
     return [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
 
@@ -159,10 +170,10 @@ def open_keys(labelled: DataFrame) -> DataFrame:
 
 
 def cross_pairs(labelled: DataFrame, percent: int) -> DataFrame:
-    """a, b: all pairs under a key whose components differ."""
-    others = labelled.select("key", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"))
+    """a, b: all pairs under a key whose components differ and that can reach the similarity, were it the first key that they share."""
+    others = labelled.select("key", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"), F.col("before").alias("other_before"))
     ahead = (F.col("label") != F.col("other_label")) & (F.col("node") < F.col("other"))
-    return labelled.join(others, "key").filter(ahead & near_size(percent)).select(*pair()).distinct()
+    return labelled.join(others, "key").filter(ahead & near_place(percent)).select(*pair()).distinct()
 
 
 class _Links:
@@ -195,8 +206,8 @@ class _Links:
         self.roots = cut_lineage(every.join(merged, "root", "left").select("node", F.coalesce("new_root", "root").alias("root")), "minhash-components")
 
     def labelled(self, members: DataFrame) -> DataFrame:
-        """``members`` (key, node, n, keys) with the component of each node."""
-        return members.join(self.roots, "node", "left").select("key", "node", "n", "keys", F.coalesce("root", "node").alias("label"))
+        """``members`` (key, node, before, n, keys) with the component of each node."""
+        return members.join(self.roots, "node", "left").select("key", "node", "before", "n", "keys", F.coalesce("root", "node").alias("label"))
 
     def settle(self, members: DataFrame, rounds: int) -> DataFrame:
         """Tests pairs under the keys of ``members``: all under keys with few open ones, a representative per round under others. Returns labelled
@@ -213,18 +224,27 @@ class _Links:
 
 
 def with_counts(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``members`` (key, node) with the size of each node's set and the number of its keys."""
+    """``members`` (key, node, before) with the size of each node's set and the number of its keys."""
     keys = members.groupBy("node").agg(F.count(F.lit(1)).alias("keys"))
-    return members.join(keys.join(nodes.select("node", "n"), "node"), "node").select("key", "node", "n", "keys")
+    return members.join(keys.join(nodes.select("node", "n"), "node"), "node").select("key", "node", "before", "n", "keys")
 
 
 def prefixes(sets: DataFrame, open_nodes: DataFrame, percent: int) -> DataFrame:
-    """key, node: of every open node the n - ceil(percent n / 100) + 1 shingles that the fewest open nodes have, where several have them."""
-    each = sets.join(open_nodes, "node", "left_semi").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    """key, node, before: of every open node the n - ceil(percent n / 100) + 1 shingles that the fewest open nodes have, where several have them, and how many
+    of its shingles come before each.
+
+    Two sets of that similarity share one of these, and of the first that they share neither has any before it in common with the other. Members that cannot
+    reach the similarity with another one of the key (by the least ``before`` there) are left out.
+    """
+    each = sets.join(open_nodes, "node", "left_semi").select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
     uses = each.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("uses", "key"))
-    ranked = each.join(uses, "key").withColumn("place", place)
-    return several(ranked.filter(100 * (F.col("place") - 1) <= (100 - percent) * F.col("n")).select("key", "node"))
+    before = F.row_number().over(Window.partitionBy("node").orderBy("uses", "key")) - 1
+    ranked = each.join(uses, "key").withColumn("before", before).filter(100 * F.col("before") <= (100 - percent) * F.col("n"))
+    ranked = cut_lineage(ranked.filter("uses > 1"), "minhash-ranked")
+    low = ranked.groupBy("key").agg(F.min("before").alias("low"))
+    inside = 100 * (F.col("n") - F.col("before")) >= percent * (F.col("n") + F.col("low"))  # all the rest of it is shared
+    larger = 100 * (100 - percent) * F.col("n") >= percent * (100 * F.col("low") + percent * F.col("before"))  # all the rest of a larger one is
+    return several(ranked.join(low, "key").filter(inside | larger).select("key", "node", "before", "uses"), "uses")
 
 
 def full_sets(docs: DataFrame, heads: DataFrame, shingle: int) -> DataFrame:

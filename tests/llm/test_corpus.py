@@ -107,6 +107,25 @@ def test_minhash_crowds_equal_brute_force(spark, monkeypatch, rounds, pairs):
     check_minhash(spark, rows, rounds=rounds)
 
 
+def test_minhash_prefixes_hold_all_links_in_few_pairs(spark):
+    """A crowd that shares a passage: its pairs are below the threshold by the place of what they share first, links are all there."""
+    rnd = random.Random(9)
+    passage = list(range(85))
+    sets = [[*passage, *(1000 + rnd.randrange(10**9) for _ in range(15))] for _ in range(300)]
+    for of in rnd.sample(sets, 40):  # near copies, larger and smaller ones
+        sets.append([x for x in of if rnd.random() > rnd.choice([0.01, 0.05, 0.12])] + [rnd.randrange(10**9) for _ in range(rnd.randrange(6))])
+    sets += [passage, passage[:70], passage[5:] + [10**10 + k for k in range(10)]]
+    rows = [(k, sorted(set(x))) for k, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node bigint, shingles array<bigint>")
+    nodes = df.select("node", F.size("shingles").cast("long").alias("n"))
+    members = minhash.prefixes(df, nodes.select("node"), 80).join(nodes, "node").withColumn("label", F.col("node"))
+    got = {(r.a, r.b) for r in minhash.cross_pairs(members, 80).collect()}
+    both = [(i, j, set(x), set(y)) for i, x in rows for j, y in rows if i < j]
+    links = {(i, j) for i, j, x, y in both if 100 * len(x & y) >= 80 * len(x | y)}
+    assert len(links) > 20 and links <= got
+    assert len(got) < 4 * len(rows)
+
+
 def test_minhash_loses_fewer_than_it_says(spark):
     """Of 20,000 simulated pairs at the threshold, half keys of one collection all differ about as often as by the formula."""
     rnd = np.random.default_rng(3)
