@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,8 +33,8 @@ ship_by_value(__name__)
 #: Pages of a host that are aligned, share of text that makes a child the way to the slot, share of pages on
 #: which a template container has the same text, and pages needed to say so.
 SAMPLE, DOMINANT, CONSTANT, LEAST_PAGES = 8, 0.7, 0.8, 3
-#: Product of two lists of children, and pairs of nodes, up to which the best alignment is sought.
-WIDE, EFFORT = 10_000, 50_000
+#: Product of two lists of children up to which they are aligned in plain Python; larger ones in numpy, with the same pairs.
+SMALL = 4096
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object textarea select title".split())
@@ -149,29 +151,10 @@ def parse(page: str) -> Node:
     return root
 
 
-def _in_order(left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
-    """Equally labelled nodes of two lists in order: what both begin and end with, and between that each with the next of its label."""
-    low, high_a, high_b = 0, len(left), len(right)
-    while low < min(high_a, high_b) and left[low].label == right[low].label:
-        low += 1
-    while min(high_a, high_b) > low and left[high_a - 1].label == right[high_b - 1].label:
-        high_a, high_b = high_a - 1, high_b - 1
-    places: dict[str, list[int]] = {}
-    for j in range(high_b - 1, low - 1, -1):
-        places.setdefault(right[j].label, []).append(j)
-    found, last = list(zip(left[:low], right[:low], strict=True)), low - 1
-    for node in left[low:high_a]:
-        queue = places.get(node.label, [])
-        while queue and queue[-1] <= last:
-            queue.pop()
-        if queue:
-            last = queue.pop()
-            found.append((node, right[last]))
-    return found + list(zip(left[high_a:], right[high_b:], strict=True))
-
-
-def _best(left: list[Node], right: list[Node], size) -> list[tuple[Node, Node]]:
-    """The order-preserving pairs of two lists with the largest sum of sizes; of equal ones the pairs lying first are left out."""
+def _best(left: Sequence[int], right: Sequence[int], size: Callable[[int, int], int]) -> list[tuple[int, int]]:
+    """Places of the order-preserving pairs of two lists of shapes with the largest sum of sizes; of equal ones the pairs lying first are left out."""
+    if len(left) * len(right) > SMALL:
+        return _best_of_many(left, right, size)
     rows = [[0] * (len(right) + 1)]
     for child in left:
         above, row = rows[-1], [0]
@@ -187,41 +170,80 @@ def _best(left: list[Node], right: list[Node], size) -> list[tuple[Node, Node]]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            found.append((left[i], right[j]))
+            found.append((i, j))
+    return found
+
+
+def _best_of_many(left: Sequence[int], right: Sequence[int], size: Callable[[int, int], int]) -> list[tuple[int, int]]:
+    """``_best`` by whole rows, of which every so many are kept and those between made again: the same pairs, with memory for a few hundred rows."""
+    kinds, places = np.unique(np.array(right), return_inverse=True)
+
+    def below(row: np.ndarray, child: int) -> np.ndarray:
+        gains = np.array([size(child, int(o)) for o in kinds], np.int64)[places]
+        out = np.zeros_like(row)
+        np.maximum.accumulate(np.maximum(row[1:], row[:-1] + gains), out=out[1:])
+        return out
+
+    step = math.isqrt(len(left)) + 1
+    row, kept = np.zeros(len(right) + 1, np.int64), []
+    for i, child in enumerate(left):
+        if i % step == 0:
+            kept.append(row)
+        row = below(row, child)
+    found, i, j = [], len(left), len(right)
+    while i and j:
+        start = (i - 1) // step * step
+        rows = [kept[start // step]]
+        for child in left[start:i]:
+            rows.append(below(rows[-1], child))
+        while i > start and j:
+            here, above = rows[i - start], rows[i - start - 1]
+            if here[j] == above[j]:
+                i -= 1
+            elif here[j] == here[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append((i, j))
     return found
 
 
 def match(a: Node, b: Node, pairs: dict[int, Node] | None = None) -> int:
     """Simple tree matching: the largest order-preserving matching of equally labelled nodes. ``pairs`` gets the partner of each matched node of ``a``.
 
-    Lists of children whose product exceeds ``WIDE``, and all lists once ``EFFORT`` pairs of nodes have been weighed, are aligned in order
-    of their labels instead, so the work stays in proportion to the pages. No recursion: pages may be nested at any depth.
+    Subtrees with the same labels throughout are one shape, and two shapes are weighed once, so long lists of like elements cost little. All
+    trees are aligned in this one way; two lists of all different subtrees cost the product of their lengths. No recursion: pages may be nested at any depth.
     """
-    done: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
-    size = lambda x, y: done.get((id(x), id(y)), (0,))[0]
-    waiting: list[tuple[Node, Node, list | None, bool]] = [(a, b, None, False)]
-    weighed = 0
+    shapes: dict[tuple[str, tuple[int, ...]], int] = {}
+    of: dict[int, int] = {}
+    for root in (a, b):
+        for node in in_post_order(root):
+            of[id(node)] = shapes.setdefault((node.label, tuple(of[id(k)] for k in node.elements())), len(shapes))
+    made = list(shapes)
+    done: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    size = lambda x, y: done.get((x, y), (0,))[0]
+    waiting = [(of[id(a)], of[id(b)], False)]
     while waiting:
-        x, y, near, wide = waiting.pop()
-        if near is None:
-            if x.label != y.label or (id(x), id(y)) in done:
-                continue
-            weighed += 1
-            left, right = x.elements(), y.elements()
-            wide = len(left) * len(right) > WIDE or weighed > EFFORT
-            near = _in_order(left, right) if wide else [(c, o) for c in left for o in right if c.label == o.label]
-            waiting.append((x, y, near, wide))
-            waiting.extend((c, o, None, False) for c, o in near)
-        else:
-            chosen = near if wide else _best(x.elements(), y.elements(), size)
-            done[id(x), id(y)] = 1 + sum(size(c, o) for c, o in chosen), chosen
-    if pairs is not None and size(a, b):
+        x, y, ready = waiting.pop()
+        (label, left), (other_label, right) = made[x], made[y]
+        if ready:
+            chosen = _best(left, right, size)
+            done[x, y] = 1 + sum(size(left[i], right[j]) for i, j in chosen), chosen
+        elif label == other_label and (x, y) not in done:
+            waiting.append((x, y, True))
+            by_label: dict[str, list[int]] = {}
+            for o in dict.fromkeys(right):
+                by_label.setdefault(made[o][0], []).append(o)
+            waiting.extend((c, o, False) for c in dict.fromkeys(left) for o in by_label.get(made[c][0], ()))
+    found = size(of[id(a)], of[id(b)])
+    if pairs is not None and found:
         follow = [(a, b)]
         while follow:
             x, y = follow.pop()
             pairs[id(x)] = y
-            follow.extend(done[id(x), id(y)][1])
-    return size(a, b)
+            left, right = x.elements(), y.elements()
+            follow.extend((left[i], right[j]) for i, j in done[of[id(x)], of[id(y)]][1])
+    return found
 
 
 def in_post_order(root: Node) -> list[Node]:

@@ -430,3 +430,28 @@ def test_tree_matching_counts_the_largest_alignment():
 def test_deep_and_long_pages_do_not_break():
     assert html_wrapper.extract("<div>" * 3000 + "in" + "</div>" * 3000) == "in"
     assert html_wrapper.extract("<article>" + "<p>a b</p>" * 20000) == "\n".join(["a b"] * 20000)
+
+
+def test_wide_and_rich_pages_are_aligned_like_small_ones():
+    """The best alignment at any size: an element that moved to the end costs only itself, however long the lists."""
+    for n in (3, 60, 150, 1500):
+        items = "".join(f"<p>{'<b></b>' * (k % 5)}</p>" for k in range(n))
+        a, b = html_wrapper.parse(f"<ul><div></div>{items}</ul>"), html_wrapper.parse(f"<ul>{items}<div></div></ul>")
+        pairs = {}
+        assert html_wrapper.match(a, b, pairs) == 2 + n + sum(k % 5 for k in range(n)) == len(pairs)
+    # more pairs of nodes than the former limit: the moved element comes last
+    many = "".join(f"<p>{'<b></b>' * (k % 40)}</p>" for k in range(90)) * 12
+    tail = "<em></em><em></em>"
+    a, b = html_wrapper.parse(f"<ul>{many}<div><i></i>{tail}</div></ul>"), html_wrapper.parse(f"<ul>{many}<div>{tail}<i></i></div></ul>")
+    assert html_wrapper.match(a, b) == len(html_wrapper.in_post_order(a)) - 1
+
+
+def test_long_lists_have_the_pairs_of_short_ones(monkeypatch):
+    rnd = random.Random(6)
+    for _ in range(200):
+        left, right = ([rnd.randrange(4) for _ in range(rnd.randint(1, 14))] for _ in range(2))
+        size = lambda x, y: (x == y) * (x + 1) + (x + y == 3)
+        monkeypatch.setattr(html_wrapper, "SMALL", 4096)
+        want = html_wrapper._best(left, right, size)
+        monkeypatch.setattr(html_wrapper, "SMALL", -1)
+        assert html_wrapper._best(left, right, size) == want
