@@ -7,7 +7,8 @@ of one collection differ: with 16 halves of three rows that happens to about one
 
 Nodes meet in a table only if others have the same half keys, so half keys are counted first and pairs of them formed only
 from what is left. Keys with the same members are one key. Under a key of few members all pairs are compared; members of a larger one are compared with one representative per
-round (the member with the most keys, then others by hash). Members that are linked to each other already need no comparison. What
+round (the member with the most keys, then others by hash), each under eight of its keys at most, so a crowd that shares most of 256 tables is not
+joined 256 times. Members that are linked to each other already need no comparison. What
 stays open under large keys is settled exactly: those nodes get as keys the first n - ceil(0.8 n) + 1 of their shingles,
 rarest first, of which two sets of similarity 0.8 must share one. The first shingle that two sets share in that order tells how much
 they can share at most: nothing before it. Members of a key too far behind in their sets for any other member are left out, and after
@@ -31,8 +32,9 @@ from tablecheck.session import cut_lineage, ship_by_value
 ship_by_value(__name__)
 
 SHINGLE, PERCENT, HALVES, ROWS = 5, 80, 16, 3
-#: Rounds with representatives, and open pairs per member of a key up to which all of the key are compared at once.
-ROUNDS, PAIRS = 3, 4
+#: Rounds with representatives, open pairs per member of a key up to which all of the key are compared at once, and keys whose representatives a node
+#: meets in a round.
+ROUNDS, PAIRS, ASKED = 3, 4, 8
 #: Shingles hashed at once, and words whose hashes a task remembers.
 CHUNK, MEMO = 1 << 19, 1 << 20
 #: Bits of the filter of rows whose texts are fetched again.
@@ -155,11 +157,19 @@ def pair() -> list[Column]:
     return [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
 
 
+def asking(labelled: DataFrame, salt: int) -> DataFrame:
+    """Members under at most ``ASKED`` keys of each node, others in every round: keys of a crowd mostly have the same representatives, and keys that stay open
+    are settled exactly later.
+    """
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("key", F.lit(salt)), "key"))
+    return labelled.withColumn("place", place).filter(F.col("place") <= ASKED).drop("place")
+
+
 def star_pairs(labelled: DataFrame, percent: int, salt: int) -> DataFrame:
-    """a, b: members of a key with its representative, where their components differ."""
+    """a, b: members of a key with its representative, where their components differ, for the keys that each node asks in this round."""
     by = F.struct((F.lit(0) if salt else -F.col("keys")).alias("by"), F.xxhash64("node", F.lit(salt)).alias("at"), F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"))
     heads = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(by).alias("head")).filter("low < high").select("key", "head.other", "head.other_label", "head.other_n")
-    return labelled.join(heads, "key").filter(F.col("label") != F.col("other_label")).filter(near_size(percent)).select(*pair()).distinct()
+    return asking(labelled, salt).join(heads, "key").filter(F.col("label") != F.col("other_label")).filter(near_size(percent)).select(*pair()).distinct()
 
 
 def open_keys(labelled: DataFrame) -> DataFrame:

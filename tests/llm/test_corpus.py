@@ -126,6 +126,18 @@ def test_minhash_prefixes_hold_all_links_in_few_pairs(spark):
     assert len(got) < 4 * len(rows)
 
 
+def test_minhash_rounds_grow_with_nodes_not_with_their_keys(spark):
+    """60 nodes under 64 keys, each with a representative of its own, and two nodes under one key: all nodes ask, under eight keys at most."""
+    crowd = [(k, n, 0, 100, 64, n) for k in range(64) for n in range(60)] + [(k, 1000 + k, 0, 100, 65, 1000 + k) for k in range(64)]
+    rows = [*crowd, (64, 2000, 0, 100, 1, 2000), (64, 2001, 0, 100, 1, 2001)]
+    labelled = spark.createDataFrame(rows, "key long, node long, before long, n long, keys long, label long")
+    met = [{(r.a, r.b) for r in minhash.star_pairs(labelled, 80, salt).collect()} for salt in (0, 1)]
+    assert {a for a, _ in met[0]} == {*range(60), 2000} and len(met[0]) == 60 * minhash.ASKED + 1
+    assert (2000, 2001) in met[1] and len(met[1]) <= (60 + 64) * minhash.ASKED + 1
+    under = [{(r.key, r.node) for r in minhash.asking(labelled, salt).collect()} for salt in (0, 1)]
+    assert under[0] != under[1]
+
+
 def test_minhash_loses_fewer_than_it_says(spark):
     """Of 20,000 simulated pairs at the threshold, half keys of one collection all differ about as often as by the formula."""
     rnd = np.random.default_rng(3)
