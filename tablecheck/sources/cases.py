@@ -61,7 +61,7 @@ def load_cases(spark: SparkSession, root: str, pattern: str = "case.yaml") -> Da
         for pdf in batches:
             yield pd.DataFrame([_case(p, t) for p, t in zip(pdf.path, pdf.text)], columns=COLUMNS, dtype=object)
 
-    return texts.mapInPandas(parse, CASE_SCHEMA).orderBy("path")
+    return texts.orderBy("path").mapInPandas(parse, CASE_SCHEMA)  # the sort reads its input twice, so nothing is parsed before it
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -332,6 +332,29 @@ def test_broken_case_is_reported(spark, tmp_path):
     assert [(r.id, r.error is None) for r in rows] == [("a", True), (None, False)]
 
 
+def test_case_files_are_written_by_many_tasks_and_parsed_once(spark, tmp_path, monkeypatch):
+    from tablecheck.plans import REGISTRY
+
+    spark.range(0, 2000, 50).selectExpr("id AS p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def load(text):
+        import uuid
+
+        import yaml
+
+        (seen / uuid.uuid4().hex).touch()
+        return yaml.safe_load(text)
+
+    monkeypatch.setattr(ca, "_load", load)
+    got = REGISTRY["src_cases"].run(spark, str(tmp_path))
+    files = [f.rsplit("/", 1)[1] for f in got.inputFiles()]
+    assert len(files) == 40 and len({f.split("-")[1] for f in files}) > 4
+    assert sorted(int(r.id.removeprefix("case-")) for r in got.collect()) == list(range(40))
+    assert len(list(seen.iterdir())) == 40
+
+
 def test_bundle_parts_make_the_whole(spark):
     rows = [("c", i, f"f{i}", "", f"text {i}", None) for i in range(20)]
     df = spark.createDataFrame(rows, "case_id string, file_idx long, path string, description string, content string, error string")
